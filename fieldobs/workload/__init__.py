@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("series",)
+THEMES = ("series", "live", "periods", "collection", "streams")
 
 
 def load():

@@ -74,12 +74,23 @@ class Tables:
 
     @cached_property
     def measured_events(self) -> DataFrame:
+        return self.measured(self.table("events"))
+
+    @cached_property
+    def event_stream(self) -> DataFrame:
+        """The event file as a stream of measured events."""
+        schema = self.table("events").schema
+        files = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+        return self.measured(files.parquet(self.sf_dir))
+
+    @staticmethod
+    def measured(events: DataFrame) -> DataFrame:
         """Events with their measurements, and the event columns."""
         k = F.get_json_object("props", "$.k").cast("int")
         v = F.floor("value").cast("double")
         kind = F.col("event_type")
         station = F.col("user_id") % 25
-        return self.table("events").select(
+        return events.select(
             "event_id", "user_id", "event_type", "value", k.alias("k"),
             station.alias("station_id"), F.col("ts").cast("timestamp_ntz").alias("observed_at"),
             ((v - 50) / 10).alias("temp_c"), k.alias("humidity"), ((v - 90) / 10).alias("dewpoint_c"),
