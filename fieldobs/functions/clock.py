@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Instant = dt.datetime | str
+# Key of the zone list in the metadata of a ``timezone`` column.
+ZONES_KEY = "zones"
 
 
 def instant(value: Instant) -> Column:
@@ -19,8 +23,29 @@ def zone_or_utc(tz: Column) -> Column:
     return F.coalesce(tz, F.lit("UTC"))
 
 
-def to_local(ts: Column, tz: Column) -> Column:
-    return F.convert_timezone(F.lit("UTC"), zone_or_utc(tz), ts)
+def declare_zones(stations: DataFrame, zones: Iterable[str]) -> DataFrame:
+    """Note on the ``timezone`` column which zones occur in it."""
+    return stations.withMetadata("timezone", {ZONES_KEY: list(zones)})
+
+
+def declared_zones(stations: DataFrame) -> list[str]:
+    return stations.schema["timezone"].metadata.get(ZONES_KEY, [])
+
+
+def to_local(ts: Column, tz: Column, zones: Iterable[str] = ()) -> Column:
+    """Wall-clock time of a UTC instant.
+
+    A zone known when the plan is built is compiled into it; looking a zone up by name
+    for every row costs about ten times as much. Zones not listed are looked up.
+    """
+    local = F.convert_timezone(F.lit("UTC"), zone_or_utc(tz), ts)
+    zones = list(zones)
+    if not zones:
+        return local
+    known = F.when(tz.isNull(), ts)
+    for zone in zones:
+        known = known.when(tz == zone, F.from_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz"))
+    return known.otherwise(local)
 
 
 def to_utc(local: Column, tz: Column) -> Column:

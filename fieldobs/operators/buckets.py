@@ -55,9 +55,9 @@ def hourly_wind_direction(readings: DataFrame, stations: DataFrame) -> DataFrame
 def wind_rose(readings: DataFrame) -> DataFrame:
     """Share of each station's bearings per compass octant; every octant is listed."""
     deg = F.col("wind_dir")
-    counts = (readings.where(deg.isNotNull())
-              .groupBy("station_id")
-              .agg(*[F.count_if(wind.sector_index(deg, 8) == i).alias(f"s{i}") for i in range(8)]))
+    seen = readings.where(deg.isNotNull()).select("station_id", wind.sector_index(deg, 8).alias("sector"))
+    counts = seen.groupBy("station_id").agg(
+        *[F.count_if(F.col("sector") == i).alias(f"s{i}") for i in range(8)])
     total = sum((F.col(f"s{i}") for i in range(8)), F.lit(0))
     octants = F.array(*[
         F.struct(F.lit(i).alias("sector"), F.lit(name).alias("direction"), F.col(f"s{i}").alias("n"))

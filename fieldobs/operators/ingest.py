@@ -58,26 +58,33 @@ def canonical_union(*branches: DataFrame) -> DataFrame:
     return canonical(whole)
 
 
-def _parsed_pws(payloads: DataFrame) -> DataFrame:
-    first = F.get(F.from_json("payload", PWS_PAYLOAD)["observations"], F.lit(0))
-    at = F.col("_o.obsTimeUtc").try_cast("timestamp").cast("timestamp_ntz")
-    return payloads.withColumn("_o", first).withColumn("observed_at", at)
-
-
-def _parsed_device(payloads: DataFrame) -> DataFrame:
-    """The text itself must open the object: leading blanks are not accepted."""
-    text = F.col("payload")
-    looks_right = text.startswith("{") & F.rtrim(text).endswith("}")
-    parsed = F.when(looks_right, F.from_json("payload", DEVICE_PAYLOAD))
-    epoch = F.col("_o.epoch")
-    at = F.when(F.abs(epoch) <= MAX_EPOCH, F.timestamp_seconds(epoch)).cast("timestamp_ntz")
-    return payloads.withColumn("_o", parsed).withColumn("observed_at", at)
-
-
-def _accepted(parsed: DataFrame, values: dict[str, Column]) -> DataFrame:
-    keep = [c for c in parsed.columns if c not in ("_o", "payload", "observed_at")]
-    rows = parsed.where(F.col("observed_at").isNotNull()).select(
-        *keep, "observed_at", *[v.alias(name) for name, v in values.items()])
+def _pws_observation(payload: Column) -> Column:
+    """The first observation as an array of none or one."""
+    return F.slice(F.from_json(payload, PWS_PAYLOAD)["observations"], 1, 1)
+
+
+def _pws_instant(observation: Column) -> Column:
+    return observation["obsTimeUtc"].try_cast("timestamp").cast("timestamp_ntz")
+
+
+def _device_values(payload: Column) -> Column:
+    """The payload as an array of none or one. The text itself must open the object:
+    leading blanks are not accepted."""
+    looks_right = payload.startswith("{") & F.rtrim(payload).endswith("}")
+    return F.when(looks_right, F.array(F.from_json(payload, DEVICE_PAYLOAD)))
+
+
+def _device_instant(values: Column) -> Column:
+    epoch = values["epoch"]
+    return F.when(F.abs(epoch) <= MAX_EPOCH, F.timestamp_seconds(epoch)).cast("timestamp_ntz")
+
+
+def _accepted(payloads: DataFrame, parsed: Column, at: Column, values: dict[str, Column]) -> DataFrame:
+    """Exploding the array parses each payload once: the filter below cannot move past it."""
+    keep = [c for c in payloads.columns if c != "payload"]
+    rows = (payloads.select(*keep, F.explode(parsed).alias("_o")).withColumn("observed_at", at)
+            .where(F.col("observed_at").isNotNull())
+            .select(*keep, "observed_at", *[v.alias(name) for name, v in values.items()]))
     return canonical(rows, *[c for c in keep if c not in READING_COLUMNS])
 
 
@@ -85,27 +92,25 @@ def ingest_pws(payloads: DataFrame) -> DataFrame:
     """Accepted readings of nested observation payloads; only the first observation counts."""
     values = {name: F.col(f"_o.{field}") for name, field in PWS_FIELDS.items()}
     values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(_parsed_pws(payloads), values)
+    return _accepted(payloads, _pws_observation(F.col("payload")), _pws_instant(F.col("_o")), values)
 
 
 def ingest_device(payloads: DataFrame) -> DataFrame:
     """Accepted readings of flat device and airport payloads."""
     values = {name: F.coalesce(*[F.col(f"_o.{f}") for f in fields]) for name, fields in DEVICE_FIELDS.items()}
     values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(_parsed_device(payloads), values)
-
-
-def _rejects(parsed: DataFrame, columns: list[str]) -> DataFrame:
-    return parsed.where(F.col("observed_at").isNull()).select(*columns)
+    return _accepted(payloads, _device_values(F.col("payload")), _device_instant(F.col("_o")), values)
 
 
 def rejected_pws(payloads: DataFrame) -> DataFrame:
     """Payloads without a usable observation, for the quarantine table."""
-    return _rejects(_parsed_pws(payloads), payloads.columns)
+    first = F.get(_pws_observation(F.col("payload")), F.lit(0))
+    return payloads.where(_pws_instant(first).isNull())
 
 
 def rejected_device(payloads: DataFrame) -> DataFrame:
-    return _rejects(_parsed_device(payloads), payloads.columns)
+    values = F.get(_device_values(F.col("payload")), F.lit(0))
+    return payloads.where(_device_instant(values).isNull())
 
 
 def ingest_mixed(payloads: DataFrame) -> DataFrame:

@@ -43,27 +43,50 @@ def wind_1h_avg(readings: DataFrame, as_of: dt.datetime) -> DataFrame:
     return rows.groupBy("station_id").agg(js_round(F.avg("wind_speed_kph"), 1).alias("avg_wind_kph"))
 
 
+def _recent_figures(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Per station with recent rows: today's figures and the trailing hour's wind, in one pass.
+
+    The scan is bounded to the longest possible day (which covers the hour), and the
+    aggregates ride along with the sunshine hours, so the rows are shuffled once.
+    """
+    columns = ["station_id", "observed_at", "temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"]
+    hour_ago = clock.instant(as_of - dt.timedelta(hours=1))
+    ts = F.col("observed_at")
+    today = ts >= F.col("day_start")
+    rows = (scan.since_midnight_bound(readings.select(*columns), stations, as_of)
+            .where(today | (ts >= hour_ago))
+            .withColumn("hour_wind", F.when(ts >= hour_ago, F.col("wind_speed_kph"))))
+    # Rows before midnight are only there for the trailing hour.
+    for name in ("temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"):
+        rows = rows.withColumn(name, F.when(today, F.col(name)))
+
+    carry = {"high": (F.max("temp_c"), F.max("high")), "low": (F.min("temp_c"), F.min("low")),
+             "gust": (F.max("wind_gust_kph"), F.max("gust"))}
+    means = {"temp_mean": "temp_c", "wind_mean": "wind_speed_kph", "avg_wind_kph": "hour_wind"}
+    for out, src in means.items():
+        carry[f"{out}_sum"] = (F.sum(src), F.sum(f"{out}_sum"))
+        carry[f"{out}_n"] = (F.count(src), F.sum(f"{out}_n"))
+    figures = sunshine.elapsed_by(rows, ["station_id"], carry)
+    return figures.select(
+        "station_id", js_round(F.col("high"), 1).alias("temp_high"), js_round(F.col("low"), 1).alias("temp_low"),
+        *[js_round(F.col(f"{out}_sum") / F.nullif(F.col(f"{out}_n"), F.lit(0)), 1).alias(out) for out in means],
+        js_round(F.col("gust"), 1).alias("gust"), F.col("sunshine_hours").alias("sunshine"))
+
+
+TODAY_FIGURES = ["temp_high", "temp_low", "temp_mean", "wind_mean", "gust", "rain", "sunshine"]
+
+
 def today_stats(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
     """High, low, means, gust and sunshine since each station's own midnight.
 
     Rain is the gauge of the latest row, whichever day that row is from. Every station
     gets a row.
     """
-    rows = scan.today_so_far(readings.select(
-        "station_id", "observed_at", "temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"),
-        stations, as_of)
-    stats = rows.groupBy("station_id").agg(
-        js_round(F.max("temp_c"), 1).alias("temp_high"),
-        js_round(F.min("temp_c"), 1).alias("temp_low"),
-        js_round(F.avg("temp_c"), 1).alias("temp_mean"),
-        js_round(F.avg("wind_speed_kph"), 1).alias("wind_mean"),
-        js_round(F.max("wind_gust_kph"), 1).alias("gust"))
-    sun = sunshine.elapsed_by(rows, ["station_id"]).withColumnRenamed("sunshine_hours", "sunshine")
     rain = latest_per_station(readings.select("station_id", "observed_at", "precip_total_mm"), as_of)
     return (stations.select("station_id")
-            .join(stats, "station_id", "left")
+            .join(_recent_figures(readings, stations, as_of), "station_id", "left")
             .join(rain.select("station_id", F.col("precip_total_mm").alias("rain")), "station_id", "left")
-            .join(sun, "station_id", "left"))
+            .select("station_id", *TODAY_FIGURES))
 
 
 def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
@@ -77,11 +100,14 @@ def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
 
 
 def station_cards(stations: DataFrame, readings: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Stations with latest reading, trailing-hour wind, today's figures and headline."""
+    """Stations with latest reading, trailing-hour wind, today's figures and headline.
+
+    Two scans: all of the readings for the latest rows, the last day for the figures.
+    """
     latest_columns = ["temp_c", "temp_indoor_c", "wind_speed_kph", "precip_total_mm"]
     cards = (with_latest(stations, readings, as_of, *latest_columns)
-             .join(wind_1h_avg(readings, as_of), "station_id", "left")
-             .join(today_stats(readings, stations, as_of), "station_id", "left"))
+             .join(_recent_figures(readings, stations, as_of), "station_id", "left")
+             .withColumn("rain", F.col("precip_total_mm")))
     return cards.withColumn("summary", headline(
         F.col("temp_high"), F.col("temp_low"), F.col("rain"), F.col("gust")))
 

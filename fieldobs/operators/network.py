@@ -24,21 +24,26 @@ def region_of(country: Column) -> Column:
 
 
 def region_stats(cards: DataFrame) -> DataFrame:
-    """Per region: stations with data, mean of their (rounded) means, warmest, windiest, most rain."""
-    keys = ["region"]
-    rows = cards.withColumn("region", region_of(F.col("country")))
-    live = rows.where(F.col("observed_at").isNotNull())
-    totals = rows.groupBy("region").agg(
-        F.count("observed_at").alias("station_count"),
-        js_round(F.avg(F.when(F.col("observed_at").isNotNull(), F.col("temp_mean"))), 1).alias("avg_temp"),
-        js_round(F.max(F.when(F.col("observed_at").isNotNull(), F.col("rain"))), 1).alias("max_rain"))
+    """Per region: stations with data, mean of their (rounded) means, warmest, windiest, most rain.
 
-    def leader(metric: str, name: str) -> DataFrame:
-        ranked = first_by(live.where(F.col(metric).isNotNull()), keys, F.desc(metric), *_listed_order())
-        return ranked.select("region", F.col("name").alias(name), F.col(metric).alias(f"{name}_value"))
+    One grouped pass; the leaders are the least (-value, listing order) structs.
+    """
+    c = F.col
+    live = c("observed_at").isNotNull()
 
-    return (totals.join(leader("temp_high", "warmest"), "region", "left")
-            .join(leader("wind_mean", "windiest"), "region", "left"))
+    def leader(metric: str) -> Column:
+        entry = F.struct((-c(metric)).alias("below"), (~c("is_primary")).alias("later"), "created_at", "station_id",
+                         "name", c(metric).alias("value"))
+        return F.min(F.when(live & c(metric).isNotNull(), entry))
+
+    regions = cards.groupBy(region_of(c("country")).alias("region")).agg(
+        F.count("observed_at").alias("station_count"),
+        js_round(F.avg(F.when(live, c("temp_mean"))), 1).alias("avg_temp"),
+        js_round(F.max(F.when(live, c("rain"))), 1).alias("max_rain"),
+        leader("temp_high").alias("warm"), leader("wind_mean").alias("wind"))
+    return regions.select("region", "station_count", "avg_temp", "max_rain",
+                          c("warm.name").alias("warmest"), c("warm.value").alias("warmest_value"),
+                          c("wind.name").alias("windiest"), c("wind.value").alias("windiest_value"))
 
 
 def region_headline(regions: DataFrame) -> DataFrame:

@@ -48,6 +48,16 @@ def readings_since(readings: DataFrame, start: dt.datetime, as_of: dt.datetime,
     return of_stations(rows, station_ids)
 
 
+def zones_in_use(stations: DataFrame, limit: int = 64) -> DataFrame:
+    """The dimension with its zones declared, read from it by one small job.
+
+    More zones than ``limit`` are not declared: every row then looks its zone up.
+    """
+    rows = stations.where(F.col("timezone").isNotNull()).select("timezone").distinct().limit(limit + 1).collect()
+    names = sorted(r["timezone"] for r in rows)
+    return clock.declare_zones(stations, names) if len(names) <= limit else stations
+
+
 def with_zone(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Attach each station's zone; readings of unknown stations are dropped.
 
@@ -60,10 +70,10 @@ def with_zone(readings: DataFrame, stations: DataFrame) -> DataFrame:
 
 def with_local_time(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Add ``local_ts`` and ``local_day`` on the station's own clock."""
-    local = clock.to_local(F.col("observed_at"), F.col("timezone"))
+    local = clock.to_local(F.col("observed_at"), F.col("timezone"), clock.declared_zones(stations))
     return (with_zone(readings, stations)
             .withColumn("local_ts", local)
-            .withColumn("local_day", local.cast("date")))
+            .withColumn("local_day", F.col("local_ts").cast("date")))
 
 
 def in_local_days(readings: DataFrame, stations: DataFrame, first: dt.date, end: dt.date) -> DataFrame:
@@ -80,12 +90,21 @@ def in_local_days(readings: DataFrame, stations: DataFrame, first: dt.date, end:
     return with_local_time(near, stations).where((day >= F.lit(first)) & (day < F.lit(end)))
 
 
-def today_so_far(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Rows since the station's own midnight."""
+def since_midnight_bound(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Rows of the last 25 hours with the start of their station's current day (``day_start``).
+
+    No local day is longer, and the constant bound reaches the scan.
+    """
     recent = readings_since(readings, as_of - LONGEST_DAY, as_of)
-    starts = stations.select("station_id", "timezone", clock.local_midnight(
+    starts = stations.select("station_id", clock.local_midnight(
         clock.instant(as_of), F.col("timezone")).alias("day_start"))
-    return recent.join(starts, "station_id").where(F.col("observed_at") >= F.col("day_start"))
+    return recent.join(starts, "station_id")
+
+
+def today_so_far(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Rows since the station's own midnight."""
+    rows = since_midnight_bound(readings, stations, as_of)
+    return rows.where(F.col("observed_at") >= F.col("day_start"))
 
 
 def daily_between(daily: DataFrame, first, end=None, station_ids: Iterable | None = None) -> DataFrame:

@@ -26,23 +26,30 @@ def extreme_day(daily: DataFrame, metric: str, lowest: bool = False) -> DataFram
 
 
 def summary_daily_stats(daily: DataFrame) -> DataFrame:
-    """Means, totals and record days per station over a window of daily rows."""
+    """Means, totals and record days per station over a window of daily rows, in one pass.
+
+    A record is the least (value or -value, day) struct: the earlier day wins a tie.
+    """
     c = F.col
 
-    def record(metric: str, name: str, lowest: bool = False) -> DataFrame:
-        return extreme_day(daily, metric, lowest).select(
-            "station_id", c(metric).alias(name), c("day").alias(f"{name}_day"))
+    def record(metric: str, lowest: bool = False) -> Column:
+        rank = c(metric) if lowest else -c(metric)
+        entry = F.struct(rank.alias("rank"), "day", c(metric).alias("value"))
+        return F.min(F.when(c(metric).isNotNull(), entry))
 
+    records = {"warmest": record("temp_max"), "coldest": record("temp_min", lowest=True),
+               "gust": record("wind_gust_kph")}
     stats = daily.groupBy("station_id").agg(
         js_round(F.avg("temp_avg"), 1).alias("temp_mean"),
         js_round(F.coalesce(F.sum("precip_total_mm"), F.lit(0.0)), 1).alias("rain_total"),
         F.count_if(c("precip_total_mm") > WET_MM).alias("wet_days"),
         js_round(F.sum("sunshine_hours"), 1).alias("sun_total"),
-        F.count("sunshine_hours").alias("sun_days"))
-    return (stats.withColumn("sun_per_day", js_round(c("sun_total") / F.nullif(c("sun_days"), F.lit(0)), 1))
-            .join(record("temp_max", "warmest"), "station_id", "left")
-            .join(record("temp_min", "coldest", lowest=True), "station_id", "left")
-            .join(record("wind_gust_kph", "gust"), "station_id", "left"))
+        F.count("sunshine_hours").alias("sun_days"),
+        *[struct.alias(f"_{name}") for name, struct in records.items()])
+    return stats.select(
+        "station_id", "temp_mean", "rain_total", "wet_days", "sun_total", "sun_days",
+        js_round(c("sun_total") / F.nullif(c("sun_days"), F.lit(0)), 1).alias("sun_per_day"),
+        *[c(f"_{n}.value").alias(n) for n in records], *[c(f"_{n}.day").alias(f"{n}_day") for n in records])
 
 
 def summary_daily_text(stats: DataFrame, label: str) -> DataFrame:

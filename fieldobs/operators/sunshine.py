@@ -28,61 +28,62 @@ def _credit(solar: Column, here_us: Column, next_us: Column) -> Column:
     return F.when(next_us.isNotNull(), F.when(is_sunny(solar), gap).otherwise(F.lit(0)))
 
 
-def _solar_rows(readings: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with a solar value, their instant in microseconds and their UTC hour."""
+def _timed(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their instant in microseconds, their UTC hour, whether they have a solar
+    value (``lit``), and the credit up to the next such row of the hour: null on the last."""
     us = clock.micros(F.col("observed_at"))
-    return (readings.where(F.col("solar_radiation").isNotNull())
-            .select(*keep, "solar_radiation", us.alias("us"),
-                    F.floor(us / F.lit(HOUR_US)).alias("hour")))
-
-
-def _within_hours(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``credit`` from the next reading of the same hour; null on the hour's last row."""
-    w = Window.partitionBy(*keys, "hour").orderBy("us")
-    return rows.withColumn("credit", _credit(F.col("solar_radiation"), F.col("us"), F.lead("us").over(w)))
+    rows = (readings.withColumn("us", us)
+            .withColumn("hour", F.floor(F.col("us") / F.lit(HOUR_US)))
+            .withColumn("lit", F.col("solar_radiation").isNotNull()))
+    w = Window.partitionBy(*keys, "hour", "lit").orderBy("us")
+    credit = _credit(F.col("solar_radiation"), F.col("us"), F.lead("us").over(w))
+    return rows.withColumn("credit", F.when(F.col("lit"), credit))
 
 
 def _hour_summaries(rows: DataFrame, keys: list[str], *carry: Column) -> DataFrame:
-    """Per hour: samples, inner credit, and the credit of its last row up to the next hour."""
-    last_us, last_solar = F.max("us"), F.max_by("solar_radiation", "us")
-    hours = rows.groupBy(*keys, "hour").agg(
+    """Per hour: samples, inner credit, and the credit of its last row up to the next hour.
+
+    Grouped like the window before it, so the rows are not shuffled again.
+    """
+    hours = rows.groupBy(*keys, "hour", "lit").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("credit"), F.lit(0)).alias("inner"),
-        F.min("us").alias("first_us"), last_us.alias("last_us"), last_solar.alias("last_solar"), *carry)
-    w = Window.partitionBy(*keys).orderBy("hour")
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"),
+        F.max_by("solar_radiation", "us").alias("last_solar"), *carry)
+    w = Window.partitionBy(*keys, "lit").orderBy("hour")
     closing = _credit(F.col("last_solar"), F.col("last_us"), F.lead("first_us").over(w))
-    return hours.withColumn("closing", F.coalesce(closing, F.lit(0)))
+    return hours.withColumn("closing", F.coalesce(F.when(F.col("lit"), closing), F.lit(0)))
 
 
 def _hours_1dp(us: Column) -> Column:
     return js_round(us / F.lit(float(HOUR_US)), 1)
 
 
-def elapsed_by(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """Hours per key; null below two solar readings, no row without any.
+def elapsed_by(readings: DataFrame, keys: list[str], carry: dict[str, tuple[Column, Column]] | None = None
+               ) -> DataFrame:
+    """Hours per key with readings; null below two solar readings.
 
     Intervals that leave the key (a station's midnight, when the day is a key) are dropped.
+    ``carry`` adds aggregates to the same pass: name -> (per hour, over the hours).
     """
-    hours = _hour_summaries(_within_hours(_solar_rows(readings, keys), keys), keys)
-    total = F.sum(F.col("inner") + F.col("closing"))
+    carry = carry or {}
+    hours = _hour_summaries(_timed(readings, keys), keys, *[part.alias(name) for name, (part, _) in carry.items()])
+    lit = F.col("lit")
+    total = F.sum(F.when(lit, F.col("inner") + F.col("closing")))
     return hours.groupBy(*keys).agg(
-        F.when(F.sum("n") >= 2, _hours_1dp(total)).alias("sunshine_hours"))
+        F.when(F.sum(F.when(lit, F.col("n"))) >= 2, _hours_1dp(total)).alias("sunshine_hours"),
+        *[whole.alias(name) for name, (_, whole) in carry.items()])
 
 
 def sunshine_elapsed(readings: DataFrame) -> DataFrame:
     """Hours of sunshine per station over the window; null without enough solar readings."""
-    known = readings.select("station_id").distinct()
-    return known.join(elapsed_by(readings, ["station_id"]), "station_id", "left")
+    return elapsed_by(readings.select("station_id", "observed_at", "solar_radiation"), ["station_id"])
 
 
 def sunshine_by_day(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Hours per station and local day with readings; a midnight-crossing interval is dropped."""
-    local = scan.with_local_time(readings, stations).withColumnRenamed("local_day", "day")
-    solar = F.col("solar_radiation")
-    keys = ["station_id", "day"]
-    days = local.groupBy(*keys).agg(F.count(solar).alias("samples"))
-    with_sun = elapsed_by(local, keys)
-    return (days.join(with_sun, keys, "left")
-            .select(*keys, "sunshine_hours", text.axis_day(F.col("day")).alias("label")))
+    local = scan.with_local_time(readings.select("station_id", "observed_at", "solar_radiation"), stations)
+    days = elapsed_by(local.withColumnRenamed("local_day", "day"), ["station_id", "day"])
+    return days.withColumn("label", text.axis_day(F.col("day")))
 
 
 def sunshine_latest_day(readings: DataFrame, stations: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def reading_credits(readings: DataFrame, stations: DataFrame) -> DataFrame:
     midnight belongs to the earlier day. The last reading is credited nothing.
     """
     keys = ["station_id"]
-    local = scan.with_local_time(readings, stations)
-    rows = _within_hours(_solar_rows(local, [*keys, "observed_at", "local_ts"]), keys)
+    solar = readings.where(F.col("solar_radiation").isNotNull()).select("station_id", "observed_at", "solar_radiation")
+    rows = _timed(scan.with_local_time(solar, stations), keys)
     closings = _hour_summaries(rows, keys).select(*keys, "hour", "closing")
     return rows.join(closings, [*keys, "hour"]).select(
         *keys, "observed_at", "local_ts", F.coalesce("credit", "closing").alias("credit"))
@@ -121,10 +122,9 @@ def sunshine_series_6h(readings: DataFrame, stations: DataFrame) -> DataFrame:
 
     Summed from within-bucket credits and hour closings, so only summaries are joined.
     """
-    local = scan.with_local_time(readings, stations)
-    bucket = clock.six_hour_start(F.col("local_ts"))
-    base = local.withColumn("bucket_start", bucket)
-    rows = _within_hours(_solar_rows(base, ["station_id", "bucket_start"]), ["station_id"])
+    solar = readings.where(F.col("solar_radiation").isNotNull()).select("station_id", "observed_at", "solar_radiation")
+    local = scan.with_local_time(solar, stations)
+    rows = _timed(local.withColumn("bucket_start", clock.six_hour_start(F.col("local_ts"))), ["station_id"])
     # The bucket an hour's last reading falls in takes the hour's closing interval.
     inner = F.coalesce(F.sum("credit"), F.lit(0)).alias("credit")
     by_bucket = (rows.groupBy("station_id", "hour", "bucket_start")

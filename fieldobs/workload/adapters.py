@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldobs.functions import clock
 from fieldobs.functions.rounding import pg_round
 from fieldobs.operators.ingest import feels_like
 from fieldobs.schema import DAILY_COLUMNS, READING_COLUMNS, SOURCE_DEVICE, SOURCE_PWS
@@ -46,8 +47,8 @@ class Tables:
     @cached_property
     def stations(self) -> DataFrame:
         key = F.col("n_nationkey").cast("bigint")
-        return self.nations.select(
-            key.alias("station_id"), F.col("n_name").alias("name"), *self._common(key))
+        rows = self.nations.select(key.alias("station_id"), F.col("n_name").alias("name"), *self._common(key))
+        return clock.declare_zones(rows, ZONES.values())
 
     @cached_property
     def fleet(self) -> DataFrame:
@@ -86,13 +87,13 @@ class Tables:
     @staticmethod
     def measured(events: DataFrame) -> DataFrame:
         """Events with their measurements, and the event columns."""
-        k = F.get_json_object("props", "$.k").cast("int")
-        v = F.floor("value").cast("double")
-        kind = F.col("event_type")
-        station = F.col("user_id") % 25
-        return events.select(
-            "event_id", "user_id", "event_type", "value", k.alias("k"),
-            station.alias("station_id"), F.col("ts").cast("timestamp_ntz").alias("observed_at"),
+        parsed = events.select(
+            "event_id", "user_id", "event_type", "value", (F.col("user_id") % 25).alias("station_id"),
+            F.col("ts").cast("timestamp_ntz").alias("observed_at"),
+            F.get_json_object("props", "$.k").cast("int").alias("k"), F.floor("value").cast("double").alias("v"))
+        k, v, kind, station = F.col("k"), F.col("v"), F.col("event_type"), F.col("station_id")
+        return parsed.select(
+            "event_id", "user_id", "event_type", "value", "k", "station_id", "observed_at",
             ((v - 50) / 10).alias("temp_c"), k.alias("humidity"), ((v - 90) / 10).alias("dewpoint_c"),
             F.when(v < 20, (v - 65) / 10).alias("windchill_c"),
             F.when(v >= 80, (v - 35) / 10).alias("heat_index_c"),
