@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.functions import text
+from fieldobs.functions import clock, text
 from fieldobs.functions.rounding import js_round
 from fieldobs.operators import scan, sunshine
 from fieldobs.operators.latest import first_by
@@ -107,17 +107,23 @@ def _rain_totals(days: DataFrame) -> DataFrame:
     return days.groupBy("station_id").agg(*_rain_aggregates()).where(F.col("gauge_days") > 0).drop("gauge_days")
 
 
-def extreme_moment(readings: DataFrame, stations: DataFrame, metric: str, lowest: bool = False) -> DataFrame:
-    """Per station the extreme value and the earliest local moment it was reached.
+def extreme_moments(readings: DataFrame, stations: DataFrame, metric: str) -> DataFrame:
+    """Per station the highest and lowest value and the earliest local moment of each.
 
     Readings first collapse to the earliest instant per distinct value, map-side, so only
     a sensor's distinct values are ranked.
     """
-    m = F.col(metric)
+    m, c = F.col(metric), F.col
     values = (readings.where(m.isNotNull()).groupBy("station_id", m.alias("value"))
-              .agg(F.min("observed_at").alias("observed_at")))
-    best = first_by(values, ["station_id"], F.asc("value") if lowest else F.desc("value"))
-    return scan.with_local_time(best, stations).select("station_id", "value", "local_ts")
+              .agg(F.min("observed_at").alias("at")))
+    ends = values.groupBy("station_id").agg(
+        F.min(F.struct((-c("value")).alias("rank"), "at", "value")).alias("high"),
+        F.min(F.struct("value", "at")).alias("low"))
+    zoned, zones = scan.with_zone(ends, stations), clock.declared_zones(stations)
+    return zoned.select(
+        "station_id", c("high.value").alias("high"), c("low.value").alias("low"),
+        clock.to_local(c("high.at"), c("timezone"), zones).alias("high_at"),
+        clock.to_local(c("low.at"), c("timezone"), zones).alias("low_at"))
 
 
 def summary_period_stats(readings: DataFrame, stations: DataFrame) -> DataFrame:
@@ -128,16 +134,10 @@ def summary_period_stats(readings: DataFrame, stations: DataFrame) -> DataFrame:
         js_round(F.sum("temp_sum") / F.nullif(F.sum("temp_n"), F.lit(0)), 1).alias("temp_mean"),
         *_rain_aggregates(), js_round(F.max("gust"), 1).alias("peak_gust"), F.sum("p_n").alias("p_n"),
         F.min_by("p_first", "p_from").alias("p_first"), F.max_by("p_last", "p_to").alias("p_last"))
-
-    def moment(lowest: bool, name: str) -> DataFrame:
-        return extreme_moment(readings, stations, "temp_c", lowest).select(
-            "station_id", c("value").alias(name), c("local_ts").alias(f"{name}_at"))
-
     return (totals.select("station_id", "temp_mean", "rain_total", "wet_days", "gauge_days", "peak_gust",
                           *_trend(c("p_n"), c("p_first"), c("p_last")))
-            .join(moment(False, "high"), "station_id", "left")
-            .join(moment(True, "low"), "station_id", "left")
-            .join(sunshine.elapsed_by(readings, ["station_id"]), "station_id", "left"))
+            .join(extreme_moments(readings, stations, "temp_c"), "station_id", "left")
+            .join(sunshine.sunshine_elapsed(readings), "station_id", "left"))
 
 
 def summary_period_text(stats: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Bright-sunshine hours from elapsed time, with gaps capped at half an hour.
 
-The interval after a reading counts when the reading is sunny. The next reading is
-found with ``lead`` inside one clock hour of a station, so a busy station spreads over
-as many tasks as it has hours. What crosses the hours is settled on the hour summaries
-(a first and a last reading each), a table whose size depends on elapsed time only.
+The interval after a reading counts when the reading is sunny. The next reading is never
+sought over a station's whole history in one task: readings are cut into hours (or, for
+figures per reading, into chunks that see half an hour of the next one), so a busy
+station spreads over as many tasks as it has hours.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from fieldobs.operators.daily import is_sunny
 MAX_GAP_MINUTES = 30
 GAP_US = MAX_GAP_MINUTES * 60_000_000
 HOUR_US = 3_600_000_000
+# Chunk of the per-reading form: each is read together with GAP_US of the next one.
+CHUNK_US = 2 * HOUR_US
 
 
 def _credit(solar: Column, here_us: Column, next_us: Column) -> Column:
@@ -43,13 +45,15 @@ def _timed(readings: DataFrame, keys: list[str]) -> DataFrame:
 def _hour_summaries(rows: DataFrame, keys: list[str], *carry: Column) -> DataFrame:
     """Per hour: samples, inner credit, and the credit of its last row up to the next hour.
 
-    Grouped like the window before it, so the rows are not shuffled again.
+    What crosses hours is settled on these summaries, whose number depends on elapsed
+    time only. Grouped like the window before it, so the rows are not shuffled again.
     """
     hours = rows.groupBy(*keys, "hour", "lit").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("credit"), F.lit(0)).alias("inner"),
         F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.max_by("solar_radiation", "us").alias("last_solar"), *carry)
-    w = Window.partitionBy(*keys, "lit").orderBy("hour")
+    # Hours with solar values sort last, so the row after one is the next of them.
+    w = Window.partitionBy(*keys).orderBy("lit", "hour")
     closing = _credit(F.col("last_solar"), F.col("last_us"), F.lead("first_us").over(w))
     return hours.withColumn("closing", F.coalesce(F.when(F.col("lit"), closing), F.lit(0)))
 
@@ -95,17 +99,29 @@ def sunshine_latest_day(readings: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def reading_credits(readings: DataFrame, stations: DataFrame) -> DataFrame:
-    """Every solar reading with the sunny microseconds credited to it.
+    """Every solar reading with the sunny microseconds credited to it, and its local time.
 
     The next reading is sought over the station's whole window, so an interval crossing
-    midnight belongs to the earlier day. The last reading is credited nothing.
+    midnight belongs to the earlier day. A gap counts for half an hour at most, so a chunk
+    needs only the first half hour of the next chunk: those rows are copied into it. A
+    reading with nothing in sight is credited the cap, unless it is its station's last.
     """
-    keys = ["station_id"]
-    solar = readings.where(F.col("solar_radiation").isNotNull()).select("station_id", "observed_at", "solar_radiation")
-    rows = _timed(scan.with_local_time(solar, stations), keys)
-    closings = _hour_summaries(rows, keys).select(*keys, "hour", "closing")
-    return rows.join(closings, [*keys, "hour"]).select(
-        *keys, "observed_at", "local_ts", F.coalesce("credit", "closing").alias("credit"))
+    us = clock.micros(F.col("observed_at"))
+    solar = (readings.where(F.col("solar_radiation").isNotNull())
+             .select("station_id", "observed_at", "solar_radiation", us.alias("us")))
+    last = solar.groupBy("station_id").agg(F.max("us").alias("last_us"))
+    chunk = F.floor(F.col("us") / F.lit(CHUNK_US))
+    early = F.col("us") - chunk * F.lit(CHUNK_US) < GAP_US
+    places = F.array(
+        F.struct(chunk.alias("chunk"), F.lit(False).alias("copy")),
+        F.when(early, F.struct((chunk - 1).alias("chunk"), F.lit(True).alias("copy"))))
+    placed = solar.withColumn("p", F.explode(F.array_compact(places))).select(
+        "station_id", "observed_at", "solar_radiation", "us", "p.chunk", "p.copy")
+    w = Window.partitionBy("station_id", "chunk").orderBy("us")
+    rows = placed.withColumn("next_us", F.lead("us").over(w)).where(~F.col("copy")).join(last, "station_id")
+    until = F.when(F.col("us") < F.col("last_us"), F.coalesce("next_us", F.col("us") + F.lit(GAP_US)))
+    credit = F.coalesce(_credit(F.col("solar_radiation"), F.col("us"), until), F.lit(0))
+    return scan.with_local_time(rows.select("station_id", "observed_at", credit.alias("credit")), stations)
 
 
 def sunshine_series_raw(readings: DataFrame, stations: DataFrame) -> DataFrame:
