@@ -13,6 +13,9 @@ from fieldobs.operators.latest import first_by
 from fieldobs.plans.timewin import RETENTION_DAYS
 from fieldobs.schema import DAILY_COLUMNS, DAILY_KEY, DAILY_METRICS, READING_KEY
 
+# Batches up to this many keys (some tens of megabytes) are broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def last_write(batch: DataFrame, sequence: str) -> DataFrame:
     """One row per key: the one written last.
@@ -23,15 +26,20 @@ def last_write(batch: DataFrame, sequence: str) -> DataFrame:
     return first_by(batch, list(READING_KEY), F.desc(sequence)).drop(sequence)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, coalesce_existing: bool = False) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, coalesce_existing: bool = False,
+           batch_rows: int | None = None) -> DataFrame:
     """Stored rows with the (key-unique) batch applied: a row is replaced whole, nulls included.
 
-    ``coalesce_existing`` keeps a stored value where the new row has none.
+    ``coalesce_existing`` keeps a stored value where the new row has none. With a counted
+    ``batch_rows`` small enough, the batch keys are broadcast and the stored rows not shuffled.
     """
     key = list(READING_KEY)
     columns = stored.columns
     if not coalesce_existing:
-        return stored.join(batch.select(*key), key, "left_anti").unionByName(batch.select(*columns))
+        keys = batch.select(*key)
+        if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        return stored.join(keys, key, "left_anti").unionByName(batch.select(*columns))
     merged = stored.alias("s").join(batch.alias("b"), key, "full")
     rest = [c for c in columns if c not in key]
     return merged.select(*key, *[F.coalesce(f"b.{c}", f"s.{c}").alias(c) for c in rest]).select(*columns)

@@ -109,28 +109,36 @@ def reading_credits(readings: DataFrame, stations: DataFrame) -> DataFrame:
     us = clock.micros(F.col("observed_at"))
     solar = (readings.where(F.col("solar_radiation").isNotNull())
              .select("station_id", "observed_at", "solar_radiation", us.alias("us")))
-    last = solar.groupBy("station_id").agg(F.max("us").alias("last_us"))
     chunk = F.floor(F.col("us") / F.lit(CHUNK_US))
     early = F.col("us") - chunk * F.lit(CHUNK_US) < GAP_US
-    places = F.array(
-        F.struct(chunk.alias("chunk"), F.lit(False).alias("copy")),
-        F.when(early, F.struct((chunk - 1).alias("chunk"), F.lit(True).alias("copy"))))
-    placed = solar.withColumn("p", F.explode(F.array_compact(places))).select(
+    own = F.struct(chunk.alias("chunk"), F.lit(False).alias("copy"))
+    before = F.struct((chunk - 1).alias("chunk"), F.lit(True).alias("copy"))
+    places = F.when(early, F.array(own, before)).otherwise(F.array(own))
+    placed = solar.withColumn("p", F.explode(places)).select(
         "station_id", "observed_at", "solar_radiation", "us", "p.chunk", "p.copy")
     w = Window.partitionBy("station_id", "chunk").orderBy("us")
-    rows = placed.withColumn("next_us", F.lead("us").over(w)).where(~F.col("copy")).join(last, "station_id")
-    until = F.when(F.col("us") < F.col("last_us"), F.coalesce("next_us", F.col("us") + F.lit(GAP_US)))
+    rows = placed.withColumn("next_us", F.lead("us").over(w)).where(~F.col("copy"))
+    # Keyed like the window, so the rows stay where they are.
+    last = (solar.groupBy("station_id").agg(F.max("us").alias("last_us"))
+            .withColumn("chunk", F.floor(F.col("last_us") / F.lit(CHUNK_US))))
+    rows = rows.join(last, ["station_id", "chunk"], "left")
+    more = F.col("last_us").isNull() | (F.col("us") < F.col("last_us"))
+    until = F.when(more, F.coalesce("next_us", F.col("us") + F.lit(GAP_US)))
     credit = F.coalesce(_credit(F.col("solar_radiation"), F.col("us"), until), F.lit(0))
     return scan.with_local_time(rows.select("station_id", "observed_at", credit.alias("credit")), stations)
 
 
+def _hundredths(credit: Column) -> Column:
+    """Hours to two digits, as a whole number of hundredths: exact, and cheap for every row."""
+    return F.floor((credit * 100 + HOUR_US // 2) / F.lit(float(HOUR_US)))
+
+
 def sunshine_series_raw(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Per reading: hours credited, two digits."""
-    ts = F.col("local_ts")
     return reading_credits(readings, stations).select(
-        "station_id", "observed_at", ts.cast("date").alias("day"),
-        js_round(F.col("credit") / F.lit(float(HOUR_US)), 2).alias("hours"),
-        F.date_format(ts, "HH:mm").alias("label"))
+        "station_id", "observed_at", F.col("local_day").alias("day"),
+        (_hundredths(F.col("credit")) / 100.0).alias("hours"),
+        F.date_format("local_ts", "HH:mm").alias("label"))
 
 
 def sunshine_series_6h(readings: DataFrame, stations: DataFrame) -> DataFrame:
@@ -161,19 +169,19 @@ def sunshine_cumulative(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Running total of the two-digit series, restarting at local midnight, one digit.
 
     Running sums stay inside a local hour; each hour starts from the sum of the day's
-    earlier hours, taken over at most 24 rows per day.
+    earlier hours, taken over at most 24 rows per day. All in whole hundredths.
     """
-    series = sunshine_series_raw(readings, stations).withColumn(
-        "hours", F.col("hours").cast("decimal(12,2)"))
     keys = ["station_id", "day"]
-    rows = series.withColumn("hr", F.substring("label", 1, 2))
+    rows = reading_credits(readings, stations).select(
+        "station_id", F.col("local_day").alias("day"), F.hour("local_ts").alias("hr"), "observed_at", "local_ts",
+        _hundredths(F.col("credit")).alias("step"))
     inside = Window.partitionBy(*keys, "hr").orderBy("observed_at").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy("hr").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.groupBy(*keys, "hr").agg(F.sum("hours").alias("hour_sum"))
-               .withColumn("before", F.coalesce(F.sum("hour_sum").over(earlier), F.lit(0).cast("decimal(12,2)")))
+    offsets = (rows.groupBy(*keys, "hr").agg(F.sum("step").alias("hour_sum"))
+               .withColumn("before", F.coalesce(F.sum("hour_sum").over(earlier), F.lit(0)))
                .select(*keys, "hr", "before"))
-    running = rows.withColumn("run", F.sum("hours").over(inside))
-    return running.join(offsets, [*keys, "hr"]).select(
-        *keys, "observed_at", "label",
-        js_round((F.col("run") + F.col("before")).cast("double"), 1).alias("cumulative"))
+    running = rows.withColumn("run", F.sum("step").over(inside)).join(offsets, [*keys, "hr"])
+    tenths = F.floor((F.col("run") + F.col("before") + 5) / 10.0)
+    return running.select(*keys, "observed_at", F.date_format("local_ts", "HH:mm").alias("label"),
+                          (tenths / 10.0).alias("cumulative"))

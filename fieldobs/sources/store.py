@@ -77,13 +77,13 @@ class ReadingStore(PartitionedStore):
 
     def merge(self, batch: DataFrame, sequence: str, coalesce_existing: bool = False) -> None:
         """Upsert a batch; within it the row with the highest ``sequence`` wins."""
-        # Used three times below; lost blocks are computed again.
+        # Used several times below; lost blocks are computed again.
         fresh = maintenance.last_write(batch.select(*READING_COLUMNS, sequence), sequence).withColumn(
             "obs_date", F.col("observed_at").cast("date")).persist()
         # The touched dates reach the stored scan as a dynamic partition filter.
         touched = fresh.select("obs_date").distinct()
         stored = self.read().join(touched, "obs_date", "left_semi").select(*READING_COLUMNS, "obs_date")
-        self._overwrite_partitions(maintenance.upsert(stored, fresh, coalesce_existing))
+        self._overwrite_partitions(maintenance.upsert(stored, fresh, coalesce_existing, fresh.count()))
         fresh.unpersist()
 
     def horizon(self) -> dt.datetime | None:

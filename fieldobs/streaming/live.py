@@ -8,28 +8,35 @@ recomputes whole days from the raw store, replaces them.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from fieldobs.operators import ingest, scan
 from fieldobs.operators.daily import PARTIAL_MINUTES, partial_aggregates
-from fieldobs.operators.latest import latest_per_station
+from fieldobs.operators.latest import latest_per_station, stale_stations
 from fieldobs.sources.store import ReadingStore
 from fieldobs.sources.tables import LANDING
 
 WATERMARK = "2 hours"
 
 
+def _run(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start a writer: continuously, a micro-batch ``every`` so often, or once over what is there."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def landed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Payload files as they land; every micro-batch takes the files new since the last."""
     return spark.readStream.schema(LANDING).json(folder)
 
 
 def ingest_to_store(payloads: DataFrame, store: ReadingStore, checkpoint: str,
-                    quarantine: str | None = None) -> StreamingQuery:
+                    quarantine: str | None = None, every: str | None = None) -> StreamingQuery:
     """Parse, conform and upsert every micro-batch. A replayed batch changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
         device = F.col("source") == ingest.SOURCE_DEVICE
@@ -40,8 +47,7 @@ def ingest_to_store(payloads: DataFrame, store: ReadingStore, checkpoint: str,
             rejects = ingest.rejected_pws(pws_rows).unionByName(ingest.rejected_device(device_rows))
             rejects.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
-    return (payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return _run(payloads.writeStream.foreachBatch(write), checkpoint, every)
 
 
 def with_event_time(readings: DataFrame) -> DataFrame:
@@ -67,18 +73,17 @@ def tumbling_15m(readings: DataFrame) -> DataFrame:
             .withColumn("bucket_start", F.col("window.start")).drop("window"))
 
 
-def append_to(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    return (stream.writeStream.outputMode("append").format("parquet").option("path", table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", table)
+    return _run(writer, checkpoint, every)
 
 
-def update_versions(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def update_versions(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write the groups each micro-batch changed under its own batch number, replacing them on replay."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    return (stream.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
 
 
 def newest_versions(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
@@ -88,15 +93,19 @@ def newest_versions(spark: SparkSession, table: str, keys: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
 
 
-def latest_live(readings: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def latest_live(readings: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Latest row per station and micro-batch; ``newest_latest`` folds them."""
     def write(batch: DataFrame, batch_id: int) -> None:
         latest_per_station(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    return (readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return _run(readings.writeStream.foreachBatch(write), checkpoint, every)
 
 
 def newest_latest(spark: SparkSession, table: str) -> DataFrame:
     rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*").drop("batch")
     return latest_per_station(rows)
+
+
+def stale_now(stations: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
+    """Staleness alert on the live latest rows: cheap enough to ask at every trigger."""
+    return stale_stations(stations, newest_latest(stations.sparkSession, table), as_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,19 @@ def stream_latest(t: Tables) -> DataFrame:
     return live.newest_latest(t.spark, f"{folder}/rows")
 
 
+@query("stream_stale", S.select([S.STATIONS, S.READINGS, """newest AS (
+  SELECT station_id, max(observed_at) AS newest FROM readings GROUP BY station_id),
+flagged AS (SELECT s.*, CASE WHEN source = 'weathercloud' THEN 120 ELSE 30 END AS minutes, newest
+  FROM stations s LEFT JOIN newest n ON n.station_id = s.station_id)"""], """
+SELECT station_id, name, source, minutes AS limit_minutes,
+  name || ' (' || wunderground_id || '): no data in last ' || minutes || ' minutes' AS issue
+FROM flagged WHERE coalesce(newest < TIMESTAMP '2024-01-31 00:00:00' - to_minutes(minutes), true)"""))
+def stream_stale(t: Tables) -> DataFrame:
+    folder = work_dir(t.spark, "stream-stale")
+    live.latest_live(_readings(t), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return live.stale_now(t.stations, f"{folder}/rows", dt.datetime(2024, 1, 31))
+
+
 @query("stream_station_feed", S.select([S.READINGS], """
 SELECT station_id, observed_at, temp_c FROM readings WHERE station_id BETWEEN 0 AND 24"""))
 def stream_station_feed(t: Tables) -> DataFrame:
