@@ -52,8 +52,9 @@ class PartitionedStore:
 
     def _overwrite_partitions(self, rows: DataFrame) -> None:
         staging = f"{self.path}__staging"
-        # Rows of one partition day spread over the tasks that produced them.
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        # Evens out the files: small days share a task, a busy day is split.
+        even = rows.hint("rebalance", self.partition)
+        even.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             self.partition).parquet(staging)
         (self.spark.read.schema(self.schema).parquet(staging)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
