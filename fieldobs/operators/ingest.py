@@ -79,38 +79,54 @@ def _device_instant(values: Column) -> Column:
     return F.when(F.abs(epoch) <= MAX_EPOCH, F.timestamp_seconds(epoch)).cast("timestamp_ntz")
 
 
-def _accepted(payloads: DataFrame, parsed: Column, at: Column, values: dict[str, Column]) -> DataFrame:
-    """Exploding the array parses each payload once: the filter below cannot move past it."""
+def _parsed(payloads: DataFrame, parsed: Column, at: Column) -> DataFrame:
+    """Payloads with their parsed form and instant, null where unusable.
+
+    Exploding the array of none or one parses each text once: no filter moves below it.
+    """
+    return payloads.select("*", F.explode_outer(parsed).alias("_o")).withColumn("observed_at", at)
+
+
+def _parsed_pws(payloads: DataFrame) -> DataFrame:
+    return _parsed(payloads, _pws_observation(F.col("payload")), _pws_instant(F.col("_o")))
+
+
+def _parsed_device(payloads: DataFrame) -> DataFrame:
+    return _parsed(payloads, _device_values(F.col("payload")), _device_instant(F.col("_o")))
+
+
+def _accepted(payloads: DataFrame, parsed: DataFrame, values: dict[str, Column]) -> DataFrame:
     keep = [c for c in payloads.columns if c != "payload"]
-    rows = (payloads.select(*keep, F.explode(parsed).alias("_o")).withColumn("observed_at", at)
-            .where(F.col("observed_at").isNotNull())
-            .select(*keep, "observed_at", *[v.alias(name) for name, v in values.items()]))
+    rows = parsed.where(F.col("observed_at").isNotNull()).select(
+        *keep, "observed_at", *[v.alias(name) for name, v in values.items()])
     return canonical(rows, *[c for c in keep if c not in READING_COLUMNS])
 
 
+def _rejected(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("observed_at").isNull()).select(*payloads.columns)
+
+
 def ingest_pws(payloads: DataFrame) -> DataFrame:
     """Accepted readings of nested observation payloads; only the first observation counts."""
     values = {name: F.col(f"_o.{field}") for name, field in PWS_FIELDS.items()}
     values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(payloads, _pws_observation(F.col("payload")), _pws_instant(F.col("_o")), values)
+    return _accepted(payloads, _parsed_pws(payloads), values)
 
 
 def ingest_device(payloads: DataFrame) -> DataFrame:
     """Accepted readings of flat device and airport payloads."""
     values = {name: F.coalesce(*[F.col(f"_o.{f}") for f in fields]) for name, fields in DEVICE_FIELDS.items()}
     values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(payloads, _device_values(F.col("payload")), _device_instant(F.col("_o")), values)
+    return _accepted(payloads, _parsed_device(payloads), values)
 
 
 def rejected_pws(payloads: DataFrame) -> DataFrame:
     """Payloads without a usable observation, for the quarantine table."""
-    first = F.get(_pws_observation(F.col("payload")), F.lit(0))
-    return payloads.where(_pws_instant(first).isNull())
+    return _rejected(payloads, _parsed_pws(payloads))
 
 
 def rejected_device(payloads: DataFrame) -> DataFrame:
-    values = F.get(_device_values(F.col("payload")), F.lit(0))
-    return payloads.where(_device_instant(values).isNull())
+    return _rejected(payloads, _parsed_device(payloads))
 
 
 def ingest_mixed(payloads: DataFrame) -> DataFrame:
