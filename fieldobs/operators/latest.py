@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from fieldobs.schema import SOURCE_DEVICE
 # Minutes without data before a station counts as stale, by source.
 STALE_MINUTES = 30
 STALE_MINUTES_DEVICE = 120
+# Latest rows are sought in this many days first.
+RECENT_DAYS = 2
 
 
 def latest_per_station(readings: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
@@ -31,10 +34,30 @@ def latest_per_station(readings: DataFrame, as_of: dt.datetime | None = None) ->
         *[F.max_by(c, "observed_at").alias(c) for c in rest])
 
 
+def latest_rows(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
+                days: int = RECENT_DAYS) -> DataFrame:
+    """``latest_per_station`` for a known dimension, without reading all history.
+
+    The last days come first; older rows are read only for stations silent since. When
+    there are none, adaptive execution drops the older branch before its scan starts.
+    """
+    since = as_of - dt.timedelta(days=days)
+    recent = latest_per_station(scan.readings_since(readings, since, as_of))
+    silent = stations.select("station_id").join(recent.select("station_id"), "station_id", "left_anti")
+    before = readings.where(F.col("observed_at") < clock.instant(since))
+    older = latest_per_station(before.join(silent, "station_id", "left_semi"))
+    return recent.unionByName(older)
+
+
 def with_latest(stations: DataFrame, readings: DataFrame, as_of: dt.datetime, *columns: str) -> DataFrame:
     """Stations with the chosen columns of their latest row; nulls where there is none."""
-    newest = latest_per_station(readings.select("station_id", "observed_at", *columns), as_of)
-    return stations.join(newest, "station_id", "left")
+    newest = latest_rows(stations, readings.select(*_scanned(readings, columns)), as_of)
+    return stations.join(newest.select("station_id", "observed_at", *columns), "station_id", "left")
+
+
+def _scanned(readings: DataFrame, columns: Iterable[str]) -> list[str]:
+    """Key and chosen columns, and the partition column where there is one."""
+    return ["station_id", "observed_at", *columns, *(c for c in ("obs_date",) if c in readings.columns)]
 
 
 def wind_1h_avg(readings: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -49,7 +72,7 @@ def _recent_figures(readings: DataFrame, stations: DataFrame, as_of: dt.datetime
     The scan is bounded to the longest possible day (which covers the hour), and the
     aggregates ride along with the sunshine hours, so the rows are shuffled once.
     """
-    columns = ["station_id", "observed_at", "temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"]
+    columns = _scanned(readings, ["temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"])
     hour_ago = clock.instant(as_of - dt.timedelta(hours=1))
     ts = F.col("observed_at")
     today = ts >= F.col("day_start")
@@ -82,10 +105,9 @@ def today_stats(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) ->
     Rain is the gauge of the latest row, whichever day that row is from. Every station
     gets a row.
     """
-    rain = latest_per_station(readings.select("station_id", "observed_at", "precip_total_mm"), as_of)
-    return (stations.select("station_id")
+    rain = with_latest(stations.select("station_id"), readings, as_of, "precip_total_mm")
+    return (rain.select("station_id", F.col("precip_total_mm").alias("rain"))
             .join(_recent_figures(readings, stations, as_of), "station_id", "left")
-            .join(rain.select("station_id", F.col("precip_total_mm").alias("rain")), "station_id", "left")
             .select("station_id", *TODAY_FIGURES))
 
 
@@ -102,7 +124,7 @@ def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
 def station_cards(stations: DataFrame, readings: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Stations with latest reading, trailing-hour wind, today's figures and headline.
 
-    Two scans: all of the readings for the latest rows, the last day for the figures.
+    Reads the last days only, unless a station has been silent for longer.
     """
     latest_columns = ["temp_c", "temp_indoor_c", "wind_speed_kph", "precip_total_mm"]
     cards = (with_latest(stations, readings, as_of, *latest_columns)

@@ -82,10 +82,10 @@ def in_local_days(readings: DataFrame, stations: DataFrame, first: dt.date, end:
     The zone-converted column cannot be pushed down, so a bound on the stored instant
     widened by the largest zone offsets goes along.
     """
-    def noon(day: dt.date, days: int) -> dt.datetime:
+    def midnight(day: dt.date, days: int) -> dt.datetime:
         return dt.datetime.combine(day, dt.time()) + dt.timedelta(days=days)
 
-    near = readings_between(readings, noon(first, -1), noon(end, 1))
+    near = readings_between(readings, midnight(first, -1), midnight(end, 1))
     day = F.col("local_day")
     return with_local_time(near, stations).where((day >= F.lit(first)) & (day < F.lit(end)))
 

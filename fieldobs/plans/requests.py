@@ -93,8 +93,8 @@ class Network:
         start = timewin.comparison_range_start(name, as_of)
         wanted = requested.select("station_id")
         if name in ("7d", "30d"):
-            rows = self.readings.join(wanted, "station_id", "left_semi")
-            series = daily_ops.readings_daily(rows, self.stations, start)
+            rows = scan.readings_since(self.readings, start, as_of).join(wanted, "station_id", "left_semi")
+            series = daily_ops.daily_rollup(rows, self.stations)
         else:
             series = scan.daily_between(self.daily, start.date()).join(wanted, "station_id", "left_semi")
         return compare.compare_stations(requested, self.stations, series, DAILY_METRICS)

@@ -115,3 +115,13 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
     text = plan(entry.queries()[name](spark, SF), "simple")
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
         assert operator not in text
+
+
+def test_older_readings_are_not_scanned_without_silent_stations(stored):
+    """Once every station is seen in the recent days, the older branch is dropped at run time."""
+    readings, stations = stored
+    rows = latest.latest_rows(stations, readings, AS_OF, days=25)
+    assert rows.count() == 25
+    rows.collect()
+    final = plan(rows, "simple").split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and final.count("FileScan") == 1 and "Union" not in final
