@@ -120,8 +120,8 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
 def test_older_readings_are_not_scanned_without_silent_stations(stored):
     """Once every station is seen in the recent days, the older branch is dropped at run time."""
     readings, stations = stored
-    rows = latest.latest_rows(stations, readings, AS_OF, days=25)
-    assert rows.count() == 25
-    rows.collect()
+    reporting = stations.where("station_id < 15")
+    rows = latest.latest_rows(reporting, readings, AS_OF, days=25)
+    assert len(rows.collect()) == 15
     final = plan(rows, "simple").split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final and final.count("FileScan") == 1 and "Union" not in final
