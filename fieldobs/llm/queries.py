@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import linededup, mixing, packing
-from fieldobs.llm.common import table
+from fieldobs.llm import langid, linededup, lmscore, mixing, packing
+from fieldobs.llm.common import id_remainder, table
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), path))
@@ -25,7 +29,15 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "cut")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_best_fit_packing, op9_source_mixing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    told = langid.identify(docs, langid.fit(docs, ~held_out))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_line_dedup, op4_lm_scoring, op7_best_fit_packing, op9_source_mixing, op10_language_id)}
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
