@@ -18,6 +18,8 @@ as often as they come; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldobs.llm.common import text_bytes
+
 PIECES = ("doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 
@@ -95,14 +99,20 @@ def pack_stream(pieces: Iterable[tuple], capacity: int, slots: int) -> Iterator[
     yield from last.drain()
 
 
+_LETTER = np.isin(np.arange(256), np.frombuffer(string.ascii_lowercase.encode(), np.uint8))
+_MARK = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
+
+
 class WordEncoder:
-    """Token ids of whole texts, remembering the ids of words already met.
+    """Token ids of whole texts, remembering the ids of word parts already met.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its
-    words' ids in turn. Texts with a special token's string go through the tokenizer whole.
+    The vocabulary lower-cases, drops white space, and never merges across it nor from a letter
+    to a punctuation mark behind it. So texts are cut at these places, each distinct part goes
+    through the tokenizer once, and a text's ids are its parts' ids in turn. A text that holds
+    the string of a special token goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,34 +120,49 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         self.separator = next(iter(added), None)
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of many words in one call, with a special token between them."""
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of many parts in one call, with a special token between them."""
+        words = [p.decode() for p in parts]
         if self.separator is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        joined = self.specials[0].join(words)
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+            encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        encoded = self.tokenizer.encode_batch_fast([self.specials[0].join(words)], add_special_tokens=False)
+        ids = np.array(encoded[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.separator)
         raw, starts, stops = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
         return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    @staticmethod
+    def parts(text: bytes) -> list[bytes]:
+        """Cut a text of lower-case A-Z at white space, and before a mark that follows a letter."""
+        raw = np.frombuffer(text, np.uint8)
+        cuts = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1
+        return np.insert(raw, cuts, 0x20).tobytes().split()
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.ids) > self.remember:
             self.ids.clear()
-        words, whole = [], {}
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                words.append([])
-            else:
-                words.append(text.replace("\n", " ").split(" "))
-        fresh = list(set().union(*words).difference(self.ids))
-        for at in range(0, len(fresh), 4000):
-            part = fresh[at:at + 4000]
-            self.ids.update(zip(part, self._encode_words(part)))
+        special = [s.lower().encode() for s in self.specials]
+        lower, whole = [t.lower() for t in texts], {}
+        for i, text in enumerate(lower):
+            if any(s in text for s in special):
+                lower[i] = b""
+                whole[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4")
+        cut = [self.parts(text) for text in lower]
+        fresh = list(set().union(*cut).difference(self.ids))
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at:at + 2000]
+            self.ids.update(zip(part, self._encode_parts(part)))
         get = self.ids.__getitem__
-        return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, w)), "<u4") for i, w in enumerate(words)]
+        return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, c)), "<u4") for i, c in enumerate(cut)]
+
+
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One per Python worker, which serves several tasks in turn."""
+    return WordEncoder(path)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
@@ -149,7 +174,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     unsigned 32-bit), sequence_id, offset.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordEncoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4")
 
         def pieces():
@@ -174,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 rows = []
         yield _frame(rows)
 
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     return read.mapInPandas(run, PIECES)
 
 
