@@ -26,15 +26,19 @@ ALPHABET = 256 - 6 + 1
 
 
 def word_codes(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every byte of the words, each closed by a space, and where each word starts."""
+    """Codes of every byte of the words, each closed by a space, and where each word starts.
+
+    Codes of an order of up to 6 are signed, as Spark's longs are; one of 7 fills all 64 bits.
+    """
+    kind = np.int64 if order < 7 else np.uint64
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, kind), np.empty(0, np.int64)
     text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     at = np.arange(1, len(text))
     spaces = np.flatnonzero(text == SPACE)
     lengths = np.diff(spaces)
     reach = at - np.repeat(spaces[:-1], lengths)  # bytes back to the space before the word
-    wide = text.astype(np.int64)
+    wide = text.astype(kind)
     codes = wide[1:].copy()
     for back in range(1, order + 1):
         inside = reach >= back

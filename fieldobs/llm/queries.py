@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import langid, linededup, lmscore, mixing, packing
+from fieldobs.llm import langid, linededup, lmscore, mixing, packing, toxicity
 from fieldobs.llm.common import id_remainder, table
 
 
@@ -24,6 +24,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), path))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Training rows: documents with their label, none of them held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = docs.where(id_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
+    return train.join(labels.select("doc_id", label).distinct(), "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity.fit(labelled(spark, sf_dir, "toxic")))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "cut")
@@ -37,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_lm_scoring, op7_best_fit_packing, op9_source_mixing, op10_language_id)}
+    op3_line_dedup, op4_lm_scoring, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
