@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import langid, linededup, lmscore, mixing, packing, quality, toxicity
+from fieldobs.llm import langid, linededup, lmscore, mixing, neardup, packing, quality, toxicity
 from fieldobs.llm.common import id_remainder, table
 
 
@@ -31,6 +31,10 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return train.join(labels.select("doc_id", label).distinct(), "doc_id")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), quality.fit(labelled(spark, sf_dir, "quality")))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_lm_scoring, op6_quality, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
+    op3_line_dedup, op4_lm_scoring, op5_minhash_near_dedup, op6_quality, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
