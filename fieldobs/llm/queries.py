@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import langid, linededup, lmscore, mixing, neardup, packing, quality, toxicity
+from fieldobs.llm import ann, langid, linededup, lmscore, mixing, neardup, packing, quality, topk, toxicity
 from fieldobs.llm.common import id_remainder, table
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_products(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -60,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_lm_scoring, op5_minhash_near_dedup, op6_quality, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
+    op1_ann_search, op2_threshold_topk, op3_line_dedup, op4_lm_scoring, op5_minhash_near_dedup, op6_quality, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
@@ -79,6 +89,14 @@ k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.pos
 """
 
 ORACLE = {
+    "op2_threshold_topk": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM p
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 20
+""",
     "op3_line_dedup": LINES_SQL.format(docs="documents") + """
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.kept, '') END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
