@@ -32,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldobs.llm.common import staged, text_bytes
-from fieldobs.llm.components import components
+from fieldobs.llm.components import components, joined
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -83,22 +84,23 @@ def _key(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """(doc_id, n, cid, sketch): set size, class key and the k smallest hashes, sorted unsigned."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, text_hash, n, cid, sketch): set size, class key and the k smallest hashes, sorted unsigned."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                sets = shingler.sets(part["text"].tolist())
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n": [len(s) for s in sets],
-                    "cid": pd.array([_key(s) if len(s) else None for s in sets], "Int64"), "sketch": [s[:k] for s in sets]})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingler.sets(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_key(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cid", "sketch"])
 
-    read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInPandas(run, "doc_id long, n long, cid long, sketch array<long>")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
+    return read.mapInArrow(run, "doc_id long, text_hash long, n long, cid long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 500_000) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 200_000) -> DataFrame:
     """(cid, n, set) of the wanted classes (cid, doc_id), shingled anew from their documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -170,8 +172,8 @@ def _pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
         F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int, similarity: Similarity, short: int) -> DataFrame:
-    """Links (a, b) between classes that leave the same components as all links."""
+def linked_classes(docs: DataFrame, reps: DataFrame, words: int, similarity: Similarity, short: int) -> DataFrame:
+    """(node, component) of every class that is linked with another."""
     prefixes = staged(_prefixes(reps, similarity), "near-lists")
     lengths = prefixes.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     listed = staged(prefixes.join(lengths, "value"), "near-lists")
@@ -204,7 +206,8 @@ def links(docs: DataFrame, reps: DataFrame, words: int, similarity: Similarity,
     found = staged(found.union(_confirmed(at_hub, sets, similarity)).distinct(), "near-links")
 
     # What a list's main component lacks, against all other components of the list.
-    grouped = long_lists.join(components(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+    placed = staged(components(found), "near-components")
+    grouped = long_lists.join(placed.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     grouped = staged(grouped, "near-dense")
     weighed = grouped.groupBy("value", "component").agg(F.count("*").alias("size"))
@@ -213,7 +216,7 @@ def links(docs: DataFrame, reps: DataFrame, words: int, similarity: Similarity,
     open_lists = grouped.join(split, "value")
     apart = F.col("x.component") != F.col("y.component")
     across = _pairs(open_lists.where("component != main"), open_lists, apart & fit).join(at_hub, ["a", "b"], "left_anti")
-    return found.union(_confirmed(across, sets, similarity)).distinct()
+    return joined(placed, staged(_confirmed(across, sets, similarity), "near-links"))
 
 
 def _unsigned(x: Column, y: Column) -> Column:
@@ -226,19 +229,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
     A component is what links of at least ``percent`` similarity connect; its smallest id
-    names it, and that document is the one that is kept.
+    names it, and that document is the one that is kept. A last column, text_hash, tells rows
+    of one id apart.
     """
     similarity = Similarity(percent, k)
     sets = staged(sketches(docs, words, k), "near-sketches")
     reps = staged(sets.where("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    found = staged(links(docs, reps, words, similarity, short), "near-links")
     # Components by class key, then named by their smallest document.
-    placed = components(found).withColumnRenamed("node", "cid")
+    placed = linked_classes(docs, reps, words, similarity, short).withColumnRenamed("node", "cid")
     named = reps.select("cid", "doc_id").join(placed, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.select(F.col("cid").alias("of"), "component").join(names, "component").select("of", "component_id")
-    told = sets.select("doc_id", "n", "cid").join(of, F.col("cid") == F.col("of"), "left")
+    told = sets.select("doc_id", "text_hash", "n", "cid").join(of, F.col("cid") == F.col("of"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       component.eqNullSafe(F.col("doc_id")).alias("kept"))
+                       component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept; of rows that repeat an id and text, one."""
+    kept = near_duplicates(docs, words, percent).where("kept").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])

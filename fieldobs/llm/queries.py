@@ -10,6 +10,22 @@ from fieldobs.llm import ann, langid, linededup, lmscore, mixing, neardup, packi
 from fieldobs.llm.common import id_remainder, table
 
 
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose labels may be learned from."""
+    return table(spark, sf_dir, "documents").where(id_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality.fit(training(spark, sf_dir), table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -34,25 +50,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), path))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Training rows: documents with their label, none of them held out."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    train = docs.where(id_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
-    return train.join(labels.select("doc_id", label).distinct(), "doc_id")
-
-
-def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
-
-
-def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(table(spark, sf_dir, "documents"), quality.fit(labelled(spark, sf_dir, "quality")))
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
-                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity.fit(labelled(spark, sf_dir, "toxic")))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity.fit(training(spark, sf_dir), table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
