@@ -22,29 +22,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldobs.llm import ppm
-from fieldobs.llm.common import text_bytes
+from fieldobs.llm.common import staged, text_bytes
 
 UNKNOWN = "und"
 
 
-def sample(docs: DataFrame, label: str, limit: int, longest: int, seed: int = 11) -> DataFrame:
-    """At most ``limit`` rows of each label, by the smallest hash of the id; texts of ``longest`` bytes at most.
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, seed: int = 11) -> DataFrame:
+    """(doc_id, text, label) of at most ``limit`` documents of each label, by the smallest hash of the id.
 
-    A threshold on the hash first cuts each label to about twice the limit, so that ranking
-    never sees a whole label.
+    ``docs`` has doc_id and text, ``labels`` (doc_id, label). Texts have at most ``longest`` bytes.
+    Only ids are joined, cut and ranked: a threshold on the hash first cuts each label to
+    about twice the limit, so that ranking never sees a whole label. The ids drawn, whose number
+    is bounded, then go to the texts.
     """
-    fit = docs.where(F.col(label).isNotNull() & (F.octet_length("text") <= longest)).withColumn(
-        "draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30))
+    short = docs.where(F.octet_length("text") <= longest).select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    known = labels.where(F.col(label).isNotNull()).select("doc_id", label).distinct()
+    fit = short.join(known, F.col("id") == F.col("doc_id")).select(
+        "id", "hash", label, (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
     totals = fit.groupBy(F.col(label).alias("of")).agg(F.count("*").alias("total"))
-    near = fit.join(totals, fit[label] == totals["of"]).where(
-        F.col("draw") * F.col("total") <= 2.0 * limit)
-    first = W.partitionBy(label).orderBy("draw", "doc_id", F.xxhash64("text"))
-    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("draw", "of", "total", "rank")
+    if totals.count() <= 10_000:  # so that no label's rows have to meet in one task
+        totals = F.broadcast(totals)
+    near = fit.join(totals, fit[label] == totals["of"]).where(F.col("draw") * F.col("total") <= 2.0 * limit)
+    first = W.partitionBy(label).orderBy("draw", "id", "hash")
+    drawn = staged(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).select("id", "hash", label), "sample")
+    if drawn.count() <= 100_000:
+        drawn = F.broadcast(drawn)
+    return docs.join(drawn, (docs["doc_id"] == F.col("id")) & (F.xxhash64(docs["text"]) == F.col("hash"))).select(
+        F.col("id").alias("doc_id"), docs["text"], label)
 
 
 def fit(docs: DataFrame, train: Column, order: int = 4, sample_docs: int = 1500,
@@ -59,9 +71,10 @@ def fit(docs: DataFrame, train: Column, order: int = 4, sample_docs: int = 1500,
                 distinct, inverse = np.unique(codes, return_inverse=True)
                 yield pd.DataFrame({"lang": lang, "code": distinct, "n": np.bincount(inverse, n, len(distinct)).astype(np.int64)})
 
-    rows = sample(docs.where(train).select("doc_id", "text", "lang"), "lang", sample_docs, sample_bytes)
+    train_docs = docs.where(train).select("doc_id", "text", "lang")
+    rows = sample(train_docs.select("doc_id", "text"), train_docs.select("doc_id", "lang"), "lang", sample_docs, sample_bytes)
     grams = rows.select("lang", text_bytes().alias("text")).mapInPandas(count, "lang string, code long, n long").groupBy(
-        "lang", "code").agg(F.sum("n").alias("n")).toPandas()
+        "lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return {lang: ppm.Trie(g["code"].to_numpy(np.int64), g["n"].to_numpy(float), order)
             for lang, g in sorted(grams.groupby("lang"), key=lambda x: x[0])}
 
@@ -108,8 +121,8 @@ class WordCosts:
         return out
 
 
-def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text), and the columns named in ``keep``.
 
     The score weighs the languages' bits per byte as if the text were ``sharpness`` bytes long,
     so that it tells close calls from clear ones at any length.
@@ -117,23 +130,29 @@ def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0
     langs = list(tries)
     sent = docs.sparkSession.sparkContext.broadcast(list(tries.values()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = WordCosts(sent.value) if langs else None
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                preds, scores = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                preds, scores = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if langs:
-                    texts = [t.lower().split() for t in part["text"]]
+                    texts = [t.lower().split() for t in part.column("bytes").to_pylist()]
                     bits = costs.totals(texts)
                     per_byte = bits / np.maximum([sum(map(len, t)) + len(t) for t in texts], 1)[:, None]
                     best = bits.argmin(1)
                     weights = np.exp2(-sharpness * (per_byte - per_byte.min(1, keepdims=True)))
-                    lettered = part["lettered"].to_numpy(bool)
+                    lettered = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
                     preds[lettered] = np.array(langs, object)[best[lettered]]
                     scores[lettered] = (1 / weights.sum(1))[lettered]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": preds, "score": scores})
-
-    read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"),
-                       F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("lettered"))
-    return read.mapInPandas(run, "doc_id long, lang_pred string, score double")
+                told = [part.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(told + [part.column(name) for name in kept], ["doc_id", "lang_pred", "score", *kept])
+
+    kept = [f"kept_{i}" for i in range(len(keep))]  # under names of their own on the way
+    read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes"),
+                       F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("lettered"),
+                       *[F.col(c).alias(name) for c, name in zip(keep, kept)])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), *[read.schema[name] for name in kept]])
+    told = read.mapInArrow(run, schema)
+    return told.select("doc_id", "lang_pred", "score", *[F.col(name).alias(c) for c, name in zip(keep, kept)])

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,14 +137,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def fit(labelled: DataFrame, dims: int = 64, vocabulary: int = 20_000, least: int = 3, window: int = 2,
+def fit(docs: DataFrame, labels: DataFrame, dims: int = 64, vocabulary: int = 20_000, least: int = 3, window: int = 2,
         sample_docs: int = 2000, sample_bytes: int = 1 << 16) -> dict:
-    """Word vectors and network from labelled rows (doc_id, text, quality)."""
-    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    totals = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    """Word vectors and network from training documents (doc_id, text) and labels (doc_id, quality)."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
+    totals = {r["quality"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("quality").count().collect()}
     if len(totals) < 2:
         return {"share": float(next(iter(totals), 0.5))}
-    drawn = staged(sample(rows, "quality", sample_docs, sample_bytes).select(
+    drawn = staged(sample(docs, known, "quality", sample_docs, sample_bytes).select(
         "quality", text_bytes().alias("text"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("apart")), "quality-sample")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,9 +180,9 @@ def fit(labelled: DataFrame, dims: int = 64, vocabulary: int = 20_000, least: in
         yield pd.DataFrame({"term": at, "dim": dim, "n": sums[at, dim]})
 
     summed = drawn.select("text").mapInPandas(neighbours, "term long, dim int, n double").groupBy("term", "dim").agg(
-        F.sum("n").alias("n")).toPandas()
+        F.sum("n").alias("n")).toArrow()
     vectors = np.zeros((len(terms), dims), np.float32)
-    vectors[summed["term"], summed["dim"]] = summed["n"]
+    vectors[summed.column("term").to_numpy(), summed.column("dim").to_numpy()] = summed.column("n").to_numpy()
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     model = {"terms": terms, "vectors": vectors}
 
@@ -191,7 +192,7 @@ def fit(labelled: DataFrame, dims: int = 64, vocabulary: int = 20_000, least: in
             yield pd.DataFrame({"quality": batch["quality"], "apart": batch["apart"],
                                 "vector": list(pooled(vectors, *numbers.of(batch["text"].tolist())).astype(float))})
 
-    data = drawn.mapInPandas(represent, "quality int, apart boolean, vector array<double>").toPandas()
+    data = drawn.mapInPandas(represent, "quality int, apart boolean, vector array<double>").toArrow().to_pandas()
     x, y, apart = np.stack(data["vector"]), data["quality"].to_numpy(), data["apart"].to_numpy(bool)
     size = np.bincount(y, minlength=2)
     weight = np.where(y == 1, totals[1] / max(size[1], 1), totals[0] / max(size[0], 1))
@@ -208,16 +209,17 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text): the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         numbers = Terms(model["terms"]) if "terms" in model else None
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at:at + 200]
-                scores = np.full(len(part), model.get("share", 0.5))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                scores = np.full(part.num_rows, model.get("share", 0.5))
                 if numbers is not None:
-                    scores = model["network"].probability(pooled(model["vectors"], *numbers.of(part["text"].tolist())))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": scores})
+                    texts = part.column("text").to_pylist()
+                    scores = model["network"].probability(pooled(model["vectors"], *numbers.of(texts)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInPandas(run, "doc_id long, score double")
+    return read.mapInArrow(run, "doc_id long, score double")
