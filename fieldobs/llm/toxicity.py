@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldobs.llm import ppm
-from fieldobs.llm.common import text_bytes
+from fieldobs.llm.common import staged, text_bytes
 from fieldobs.llm.kneserney import ClassModels
 from fieldobs.llm.langid import sample
 
@@ -88,50 +89,59 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(beta[0]), float(beta[1])
 
 
-def fit(labelled: DataFrame, order: int = 7, sample_docs: int = 2000, sample_bytes: int = 1 << 16,
+def fit(docs: DataFrame, labels: DataFrame, order: int = 7, sample_docs: int = 1500, sample_bytes: int = 1 << 16,
         strongest: int = 2) -> dict:
-    """The models and the curve from labelled rows (doc_id, text, toxic)."""
+    """The models and the curve from training documents (doc_id, text) and labels (doc_id, toxic)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, part in batch.groupby("toxic"):
                 seen = Counter(w for text in part["text"] for w in set(text.lower().split()))
-                yield pd.DataFrame({"toxic": toxic, "word": list(seen), "n": list(seen.values())})
-
-    rows = sample(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"),
-                  "toxic", sample_docs, sample_bytes)
-    rows = rows.select("toxic", text_bytes().alias("text"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("curve"))
-    counted = rows.where("not curve").select("toxic", "text").mapInPandas(count, "toxic int, word binary, n long").groupBy(
-        "toxic", "word").agg(F.sum("n").alias("n")).toPandas()
-    curve = rows.where("curve").toPandas()
-    share = float(np.mean(curve["toxic"])) if len(curve) else 0.0
-    if counted["toxic"].nunique() < 2 or curve["toxic"].nunique() < 2:
-        return {"share": share}
-    table = counted.pivot_table(index="word", columns="toxic", values="n", fill_value=0)
-    codes, starts = ppm.word_codes(table.index.tolist(), order)
-    distinct, inverse = np.unique(codes, return_inverse=True)
-    lengths = np.diff(np.append(starts, len(codes)))
-    counts = [np.bincount(inverse, np.repeat(table[c].to_numpy(float), lengths), len(distinct)) for c in (0, 1)]
-    models = ClassModels(distinct, counts, order)
-    evidence = Evidence(models).of(curve["text"].tolist(), strongest)
-    return {"models": models, "curve": logistic(evidence, curve["toxic"].to_numpy()), "strongest": strongest}
+                codes, starts = ppm.word_codes(list(seen), order)
+                n = np.repeat(list(seen.values()), np.diff(np.append(starts, len(codes))))
+                distinct, inverse = np.unique(codes, return_inverse=True)
+                yield pd.DataFrame({"toxic": toxic, "code": distinct.view(np.int64),
+                                    "n": np.bincount(inverse, n, len(distinct)).astype(np.int64)})
+
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    drawn = sample(docs, known, "toxic", sample_docs, sample_bytes)
+    rows = staged(drawn.select("toxic", text_bytes().alias("text"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("curve")), "toxicity-sample")
+    counted = rows.where("not curve").select("toxic", "text").mapInPandas(count, "toxic int, code long, n long").groupBy("code").agg(
+        *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)]).toArrow()
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    held = {r["toxic"] for r in rows.where("curve").select("toxic").distinct().collect()}
+    counts = [counted.column(f"n{c}").to_numpy() for c in (0, 1)]
+    if held != {0, 1} or not all(c.sum() for c in counts):
+        return {"share": sizes.get(1, 0) / max(sum(sizes.values()), 1)}
+    codes = counted.column("code").to_numpy().view(ppm.word_codes([], order)[0].dtype)
+    models = ClassModels(codes, counts, order)
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        evidence = Evidence(sent.value)
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": evidence.of(batch["text"].tolist(), strongest)})
+
+    curve = rows.where("curve").select("toxic", "text").mapInPandas(weigh, "toxic int, x double").orderBy("x", "toxic").toArrow()
+    return {"models": models, "strongest": strongest,
+            "curve": logistic(curve.column("x").to_numpy(), curve.column("toxic").to_numpy().astype(float))}
 
 
 def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         evidence = Evidence(model["models"]) if "models" in model else None
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                scores = np.full(len(part), model.get("share", 0.0))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                scores = np.full(part.num_rows, model.get("share", 0.0))
                 if evidence is not None:
                     slope, intercept = model["curve"]
-                    x = evidence.of(part["text"].tolist(), model["strongest"])
+                    x = evidence.of(part.column("text").to_pylist(), model["strongest"])
                     scores = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": scores})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInPandas(run, "doc_id long, score double")
+    return read.mapInArrow(run, "doc_id long, score double")
