@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import word_count
+from fieldobs.llm.common import WORD, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -87,3 +87,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int =
         "row.*", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"),
         F.when(F.col("size") > 0, epochs + whole).otherwise(0).cast("long").alias("epochs"),
         F.when(F.col("size") > 0, F.when(whole == 1, 0).otherwise(cut)).otherwise(0).cast("long").alias("cut"))
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix (with ``text`` kept) as often as it takes them; the copy at the budget is cut after its words."""
+    taken = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).where(
+        (F.col("copy") < F.col("epochs")) | (F.col("cut") > 0))
+    parts = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"))
+    cut = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.col("cut"), F.lit(1)).cast("int")), "")
+    return taken.withColumn("text", F.when(F.col("copy") < F.col("epochs"), F.col("text")).otherwise(cut)).drop("copy")

@@ -23,7 +23,7 @@ import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,13 +173,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     ``capacity``. Returns a row per piece: doc_id, piece, start, length, ids (little-endian
     unsigned 32-bit), sequence_id, offset.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4")
 
         def pieces():
             for batch in batches:
-                doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+                doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for at in range(0, len(texts), 256):
                     for doc_id, ids in zip(doc_ids[at:at + 256], encode(texts[at:at + 256])):
                         ids = np.concatenate([ids, end])
@@ -195,17 +195,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 offset += len(ids)
             sequence += 1
             if len(rows) >= 2000:
-                yield _frame(rows)
+                yield _batch(rows)
                 rows = []
-        yield _frame(rows)
+        if rows:
+            yield _batch(rows)
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInPandas(run, PIECES)
+    return read.mapInArrow(run, PIECES)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-    return frame.astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
 
 def digest(packed: DataFrame) -> DataFrame:
