@@ -164,18 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, dims: int = 64, vocabulary: int = 20
         index = np.stack([index_vector(t, dims) for t in terms])
         numbers, sums = Terms(terms), np.zeros((len(terms), dims))
         for batch in batches:
-            ids, lengths = numbers.of(batch["text"].tolist())
-            ids, text = ids.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
-            pairs = []
-            for step in range(1, window + 1):
-                near = text[step:] == text[:-step]
-                left, right = ids[:-step][near], ids[step:][near]
-                pairs += [left * len(terms) + right, right * len(terms) + left]
-            pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
-            term, other = pairs // len(terms), pairs % len(terms)
-            own, first = np.unique(term, return_index=True)
-            if len(own):
-                sums[own] += np.add.reduceat(index[other] * n[:, None], first)
+            for at in range(0, len(batch), 100):
+                ids, lengths = numbers.of(batch["text"].iloc[at:at + 100].tolist())
+                ids, text = ids.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+                pairs = []
+                for step in range(1, window + 1):
+                    near = text[step:] == text[:-step]
+                    left, right = ids[:-step][near], ids[step:][near]
+                    pairs += [left * len(terms) + right, right * len(terms) + left]
+                pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+                term, other = pairs // len(terms), pairs % len(terms)
+                own, first = np.unique(term, return_index=True)
+                if len(own):
+                    sums[own] += np.add.reduceat(index[other] * n[:, None].astype(np.float32), first)
         at, dim = np.nonzero(sums)
         yield pd.DataFrame({"term": at, "dim": dim, "n": sums[at, dim]})
 
