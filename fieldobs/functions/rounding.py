@@ -1,7 +1,7 @@
 """The two rounding rules of the data model.
 
 Both first settle the value to ten decimals: a mean then gives the same digit
-whatever order its partial sums were merged in.
+whatever order its partial sums were merged in. A value too large to settle gives null.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def settle(x: Column) -> Column:
-    return x.cast("decimal(30,10)").cast("double")
+    return x.try_cast("decimal(30,10)").cast("double")
 
 
 def js_round(x: Column, digits: int) -> Column:
@@ -22,4 +22,4 @@ def js_round(x: Column, digits: int) -> Column:
 
 def pg_round(x: Column, digits: int) -> Column:
     """Half away from zero: -0.25 at one digit is -0.3."""
-    return F.round(x.cast("decimal(30,10)"), digits).cast("double")
+    return F.round(x.try_cast("decimal(30,10)"), digits).cast("double")

@@ -28,8 +28,8 @@ def bearing(mean_east: Column, mean_north: Column) -> Column:
     The parts are settled to twelve decimals, so opposite winds cancel to the zero
     vector (bearing 0) and the result does not depend on the order of summation.
     """
-    east = mean_east.cast("decimal(20,12)").cast("double")
-    north = mean_north.cast("decimal(20,12)").cast("double")
+    east = mean_east.try_cast("decimal(20,12)").cast("double")
+    north = mean_north.try_cast("decimal(20,12)").cast("double")
     return pg_round(F.degrees(F.atan2(east, north)) + 360.0, 6) % F.lit(360.0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldobs.schema import (DEVICE_PAYLOAD, MEASUREMENTS, PWS_PAYLOAD, READING_COLUMNS,
                              SOURCE_DEVICE, SOURCE_PWS)
@@ -27,8 +28,12 @@ DEVICE_FIELDS = {
 }
 METAR_FORM = r"(?i)^[a-z]{4}$"
 DEVICE_KEY_PREFIX = "WC-"
-# Largest epoch second a timestamp is accepted for.
-MAX_EPOCH = 8.64e12
+# Only instants in this range are stored: from the first to a day after the present.
+EARLIEST = "1970-01-01 00:00:00"
+LATEST_AHEAD = "1 day"
+# Measurements from here on are no reading of any sensor and count as missing.
+ABSURD = 1e9
+STRICT_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
 def feels_like(windchill: Column, heat_index: Column, temp: Column) -> Column:
@@ -36,14 +41,14 @@ def feels_like(windchill: Column, heat_index: Column, temp: Column) -> Column:
 
 
 def canonical(rows: DataFrame, *extra: str) -> DataFrame:
-    """Any partial row as the 19 columns: missing ones null, whole-number ones rounded.
+    """Any partial row as the 19 columns: missing and absurd ones null, whole-number ones rounded.
 
     ``extra`` names batch bookkeeping columns to carry along.
     """
     def column(name: str, kind: str) -> Column:
         if name not in rows.columns:
             return F.lit(None).cast(kind).alias(name)
-        value = F.col(name)
+        value = F.when(F.abs(F.col(name)) < ABSURD, F.col(name))
         return (F.round(value).try_cast("int") if kind == "int" else value.cast(kind)).alias(name)
 
     return rows.select("station_id", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"),
@@ -58,9 +63,19 @@ def canonical_union(*branches: DataFrame) -> DataFrame:
     return canonical(whole)
 
 
+def _strict(payload: Column, kind: T.StructType) -> Column:
+    """The one object that the whole text is, as an array of none or one.
+
+    Read as the content of an array, so that anything after the object makes it malformed
+    or a second element.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), T.ArrayType(kind), STRICT_JSON)
+    return F.when(F.size(parsed) == 1, parsed)
+
+
 def _pws_observation(payload: Column) -> Column:
     """The first observation as an array of none or one."""
-    return F.slice(F.from_json(payload, PWS_PAYLOAD)["observations"], 1, 1)
+    return F.slice(F.get(_strict(payload, PWS_PAYLOAD), F.lit(0))["observations"], 1, 1)
 
 
 def _pws_instant(observation: Column) -> Column:
@@ -71,12 +86,18 @@ def _device_values(payload: Column) -> Column:
     """The payload as an array of none or one. The text itself must open the object:
     leading blanks are not accepted."""
     looks_right = payload.startswith("{") & F.rtrim(payload).endswith("}")
-    return F.when(looks_right, F.array(F.from_json(payload, DEVICE_PAYLOAD)))
+    return F.when(looks_right, _strict(payload, DEVICE_PAYLOAD))
 
 
 def _device_instant(values: Column) -> Column:
     epoch = values["epoch"]
-    return F.when(F.abs(epoch) <= MAX_EPOCH, F.timestamp_seconds(epoch)).cast("timestamp_ntz")
+    return F.when(F.abs(epoch) <= 1e11, F.timestamp_seconds(epoch)).cast("timestamp_ntz")
+
+
+def plausible(at: Column) -> Column:
+    """An instant a reading may bear; a clock that runs wild, or milliseconds for seconds, gives none."""
+    latest = (F.current_timestamp() + F.expr(f"INTERVAL {LATEST_AHEAD}")).cast("timestamp_ntz")
+    return F.when((at >= F.lit(EARLIEST).cast("timestamp_ntz")) & (at <= latest), at)
 
 
 def _parsed(payloads: DataFrame, parsed: Column, at: Column) -> DataFrame:
@@ -84,7 +105,7 @@ def _parsed(payloads: DataFrame, parsed: Column, at: Column) -> DataFrame:
 
     Exploding the array of none or one parses each text once: no filter moves below it.
     """
-    return payloads.select("*", F.explode_outer(parsed).alias("_o")).withColumn("observed_at", at)
+    return payloads.select("*", F.explode_outer(parsed).alias("_o")).withColumn("observed_at", plausible(at))
 
 
 def _parsed_pws(payloads: DataFrame) -> DataFrame:
@@ -106,18 +127,27 @@ def _rejected(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("observed_at").isNull()).select(*payloads.columns)
 
 
+def _with_feels_like(values: dict[str, Column]) -> dict[str, Column]:
+    return values | {"feels_like_c": feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])}
+
+
+def _pws_values() -> dict[str, Column]:
+    return _with_feels_like({name: F.col(f"_o.{field}") for name, field in PWS_FIELDS.items()})
+
+
+def _device_values_by_name() -> dict[str, Column]:
+    return _with_feels_like({
+        name: F.coalesce(*[F.col(f"_o.{f}") for f in fields]) for name, fields in DEVICE_FIELDS.items()})
+
+
 def ingest_pws(payloads: DataFrame) -> DataFrame:
     """Accepted readings of nested observation payloads; only the first observation counts."""
-    values = {name: F.col(f"_o.{field}") for name, field in PWS_FIELDS.items()}
-    values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(payloads, _parsed_pws(payloads), values)
+    return _accepted(payloads, _parsed_pws(payloads), _pws_values())
 
 
 def ingest_device(payloads: DataFrame) -> DataFrame:
     """Accepted readings of flat device and airport payloads."""
-    values = {name: F.coalesce(*[F.col(f"_o.{f}") for f in fields]) for name, fields in DEVICE_FIELDS.items()}
-    values["feels_like_c"] = feels_like(values["windchill_c"], values["heat_index_c"], values["temp_c"])
-    return _accepted(payloads, _parsed_device(payloads), values)
+    return _accepted(payloads, _parsed_device(payloads), _device_values_by_name())
 
 
 def rejected_pws(payloads: DataFrame) -> DataFrame:
@@ -129,10 +159,46 @@ def rejected_device(payloads: DataFrame) -> DataFrame:
     return _rejected(payloads, _parsed_device(payloads))
 
 
+def by_source(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Landed payloads of personal stations, of devices, and of no stated source: every row is in one of them."""
+    source, device = F.col("source"), F.col("source") == SOURCE_DEVICE
+    return (payloads.where(F.coalesce(~device, F.lit(False))), payloads.where(F.coalesce(device, F.lit(False))),
+            payloads.where(source.isNull()))
+
+
 def ingest_mixed(payloads: DataFrame) -> DataFrame:
     """Both payload kinds of one landing table, by its ``source`` column, as one batch."""
-    device = F.col("source") == SOURCE_DEVICE
-    return canonical_union(ingest_pws(payloads.where(~device)), ingest_device(payloads.where(device)))
+    pws, device, _ = by_source(payloads)
+    return canonical_union(ingest_pws(pws), ingest_device(device))
+
+
+def rejected_mixed(payloads: DataFrame) -> DataFrame:
+    """What ``ingest_mixed`` leaves out: together they account for every landed row."""
+    pws, device, unknown = by_source(payloads)
+    return rejected_pws(pws).unionByName(rejected_device(device)).unionByName(unknown)
+
+
+class Intake:
+    """One landed batch, each payload parsed once for both its readings and its rejects."""
+
+    def __init__(self, payloads: DataFrame):
+        pws, device, self._unknown = by_source(payloads)
+        self._pws, self._device = _parsed_pws(pws).persist(), _parsed_device(device).persist()
+        self._payloads = payloads
+
+    def accepted(self, *extra: str) -> DataFrame:
+        """Readings, with the named landing columns."""
+        pws = _accepted(self._payloads, self._pws, _pws_values())
+        device = _accepted(self._payloads, self._device, _device_values_by_name())
+        return pws.unionByName(device).select(*READING_COLUMNS, *extra)
+
+    def rejected(self) -> DataFrame:
+        return _rejected(self._payloads, self._pws).unionByName(
+            _rejected(self._payloads, self._device)).unionByName(self._unknown)
+
+    def close(self) -> None:
+        self._pws.unpersist()
+        self._device.unpersist()
 
 
 def indoor_enrich(batch: DataFrame, indoor: DataFrame, stations: DataFrame) -> DataFrame:

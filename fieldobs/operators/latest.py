@@ -35,23 +35,31 @@ def latest_per_station(readings: DataFrame, as_of: dt.datetime | None = None) ->
 
 
 def latest_rows(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
-                days: int = RECENT_DAYS) -> DataFrame:
+                days: int = RECENT_DAYS, daily: DataFrame | None = None) -> DataFrame:
     """``latest_per_station`` for a known dimension, without reading all history.
 
     The last days come first; older rows are read only for stations silent since. When
     there are none, adaptive execution drops the older branch before its scan starts.
+    With the rollup given, it tells the last day of each silent station: one small job
+    collects these days, and of the older partitions only theirs and the ones around are read.
     """
     since = as_of - dt.timedelta(days=days)
     recent = latest_per_station(scan.readings_since(readings, since, as_of))
     silent = stations.select("station_id").join(recent.select("station_id"), "station_id", "left_anti")
     before = readings.where(F.col("observed_at") < clock.instant(since))
+    if daily is not None and "obs_date" in readings.columns:
+        past = daily.where(F.col("day") <= F.lit(as_of.date() + dt.timedelta(days=1)))
+        last = past.join(silent, "station_id", "left_semi").groupBy("station_id").agg(F.max("day").alias("day"))
+        around = last.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("d")).distinct()
+        before = before.where(F.col("obs_date").isin(sorted(r["d"] for r in around.collect())))
     older = latest_per_station(before.join(silent, "station_id", "left_semi"))
     return recent.unionByName(older)
 
 
-def with_latest(stations: DataFrame, readings: DataFrame, as_of: dt.datetime, *columns: str) -> DataFrame:
+def with_latest(stations: DataFrame, readings: DataFrame, as_of: dt.datetime, *columns: str,
+                daily: DataFrame | None = None) -> DataFrame:
     """Stations with the chosen columns of their latest row; nulls where there is none."""
-    newest = latest_rows(stations, readings.select(*_scanned(readings, columns)), as_of)
+    newest = latest_rows(stations, readings.select(*_scanned(readings, columns)), as_of, daily=daily)
     return stations.join(newest.select("station_id", "observed_at", *columns), "station_id", "left")
 
 
@@ -69,8 +77,7 @@ def wind_1h_avg(readings: DataFrame, as_of: dt.datetime) -> DataFrame:
 def _recent_figures(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Per station with recent rows: today's figures and the trailing hour's wind, in one pass.
 
-    The scan is bounded to the longest possible day (which covers the hour), and the
-    aggregates ride along with the sunshine hours, so the rows are shuffled once.
+    The scan is bounded to the current days and the last hour, and the aggregates ride along with the sunshine hours, so the rows are shuffled once.
     """
     columns = _scanned(readings, ["temp_c", "wind_speed_kph", "wind_gust_kph", "solar_radiation"])
     hour_ago = clock.instant(as_of - dt.timedelta(hours=1))
@@ -121,13 +128,15 @@ def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
         F.when(gust > 0, text.sentence("gusts to ", n(gust), " km/h")))
 
 
-def station_cards(stations: DataFrame, readings: DataFrame, as_of: dt.datetime) -> DataFrame:
+def station_cards(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
+                  daily: DataFrame | None = None) -> DataFrame:
     """Stations with latest reading, trailing-hour wind, today's figures and headline.
 
-    Reads the last days only, unless a station has been silent for longer.
+    Reads the last days only, unless a station has been silent for longer; with the rollup
+    given, of that station's days only the last.
     """
     latest_columns = ["temp_c", "temp_indoor_c", "wind_speed_kph", "precip_total_mm"]
-    cards = (with_latest(stations, readings, as_of, *latest_columns)
+    cards = (with_latest(stations, readings, as_of, *latest_columns, daily=daily)
              .join(_recent_figures(readings, stations, as_of), "station_id", "left")
              .withColumn("rain", F.col("precip_total_mm")))
     return cards.withColumn("summary", headline(

@@ -13,9 +13,6 @@ from fieldobs.operators.latest import first_by
 from fieldobs.plans.timewin import RETENTION_DAYS
 from fieldobs.schema import DAILY_COLUMNS, DAILY_KEY, DAILY_METRICS, READING_KEY
 
-# Batches up to this many keys (some tens of megabytes) are broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 def last_write(batch: DataFrame, sequence: str) -> DataFrame:
     """One row per key: the one written last.
@@ -26,20 +23,16 @@ def last_write(batch: DataFrame, sequence: str) -> DataFrame:
     return first_by(batch, list(READING_KEY), F.desc(sequence)).drop(sequence)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, coalesce_existing: bool = False,
-           batch_rows: int | None = None) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, coalesce_existing: bool = False) -> DataFrame:
     """Stored rows with the (key-unique) batch applied: a row is replaced whole, nulls included.
 
-    ``coalesce_existing`` keeps a stored value where the new row has none. With a counted
-    ``batch_rows`` small enough, the batch keys are broadcast and the stored rows not shuffled.
+    ``coalesce_existing`` keeps a stored value where the new row has none. Batch keys below the
+    session's broadcast size are broadcast when the query runs, and the stored rows not shuffled.
     """
     key = list(READING_KEY)
     columns = stored.columns
     if not coalesce_existing:
-        keys = batch.select(*key)
-        if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
-        return stored.join(keys, key, "left_anti").unionByName(batch.select(*columns))
+        return stored.join(batch.select(*key), key, "left_anti").unionByName(batch.select(*columns))
     merged = stored.alias("s").join(batch.alias("b"), key, "full")
     rest = [c for c in columns if c not in key]
     return merged.select(*key, *[F.coalesce(f"b.{c}", f"s.{c}").alias(c) for c in rest]).select(*columns)
@@ -66,18 +59,20 @@ def prune_report(readings: DataFrame, as_of: dt.datetime, retention_days: int =
 
 
 def rollup_refresh(stored: DataFrame, readings: DataFrame, stations: DataFrame,
-                   horizon: dt.datetime) -> DataFrame:
+                   horizon: dt.datetime, only: DataFrame | None = None) -> DataFrame:
     """The rollup after recomputing what the raw store still holds in full.
 
     ``horizon`` is the start of the raw store. A local day that began before it may have
     lost rows to pruning, so it is taken from raw only when the rollup lacks it; days
-    without raw rows keep their stored row.
+    without raw rows keep their stored row. ``only`` (station_id, day) limits what is recomputed.
     """
     key = list(DAILY_KEY)
     zones = stations.select("station_id", "timezone")
     began = clock.to_utc(F.col("day").cast("timestamp_ntz"), F.col("timezone"))
     fresh = (daily_rollup(readings, stations).join(zones, "station_id")
              .withColumn("whole", began >= clock.instant(horizon)).select(*DAILY_COLUMNS, "whole"))
+    if only is not None:
+        fresh = fresh.join(only, key, "left_semi")
     both = (stored.select(*DAILY_COLUMNS, F.lit(True).alias("had")).alias("s")
             .join(fresh.alias("f"), key, "full"))
     use_fresh = F.col("f.whole") | F.col("s.had").isNull()
@@ -85,6 +80,15 @@ def rollup_refresh(stored: DataFrame, readings: DataFrame, stations: DataFrame,
         F.when(use_fresh, F.col(f"f.{m}")).otherwise(F.col(f"s.{m}")).alias(m) for m in DAILY_METRICS])
 
 
+def days_touched(keys: DataFrame) -> DataFrame:
+    """(station_id, day) of the local days that touched (station_id, obs_date) can reach.
+
+    A UTC date overlaps the local days from the one before to the one after.
+    """
+    around = F.explode(F.sequence(F.date_sub("obs_date", 1), F.date_add("obs_date", 1)))
+    return keys.select("station_id", around.alias("day")).distinct()
+
+
 def add_missing_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Older files read with a newer column list: what they lack is null."""
     return rows.withColumns({n: F.lit(None).cast(k) for n, k in columns.items() if n not in rows.columns})

@@ -15,8 +15,6 @@ from fieldobs.plans.timewin import RETENTION_DAYS, checked_window
 # Fixed value: the shape of a station id.
 UUID_FORM = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 MAX_COMPARED = 4
-# No local day is longer.
-LONGEST_DAY = dt.timedelta(hours=25)
 
 
 def station_list(stations: DataFrame) -> DataFrame:
@@ -91,14 +89,17 @@ def in_local_days(readings: DataFrame, stations: DataFrame, first: dt.date, end:
 
 
 def since_midnight_bound(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Rows of the last 25 hours with the start of their station's current day (``day_start``).
+    """Rows since the earliest local midnight, and of the last hour at least, with the start of
+    their station's current day (``day_start``).
 
-    No local day is longer, and the constant bound reaches the scan.
+    Days can be longer than 24 hours, so one small job asks the dimension how far back the
+    current ones reach; that bound then goes to the scan as a literal.
     """
-    recent = readings_since(readings, as_of - LONGEST_DAY, as_of)
     starts = stations.select("station_id", clock.local_midnight(
         clock.instant(as_of), F.col("timezone")).alias("day_start"))
-    return recent.join(starts, "station_id")
+    earliest = starts.agg(F.min("day_start")).first()[0]
+    since = min(earliest or as_of, as_of - dt.timedelta(hours=1))
+    return readings_since(readings, since, as_of).join(starts, "station_id")
 
 
 def today_so_far(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -137,23 +138,31 @@ def recent_n_ascending(readings: DataFrame, n: int) -> DataFrame:
 
 
 def data_range(readings: DataFrame, daily: DataFrame) -> DataFrame:
-    """First and last reading per station, and the first day of its rollup."""
+    """First and last reading per station, and the first day of its rollup.
+
+    Stations with rows in one of the two only are there, too.
+    """
     raw = readings.groupBy("station_id").agg(
         F.min("observed_at").alias("min_at"), F.max("observed_at").alias("max_at"))
     rolled = daily.groupBy("station_id").agg(F.min("day").alias("daily_min"))
-    return raw.join(rolled, "station_id", "left")
+    return raw.join(rolled, "station_id", "full")
+
+
+def period_bounds(ranges: DataFrame, stations: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Days, on the station's own clock, that a period may be picked from: raw-backed days
+    reach back to the retention floor, longer periods to the first rollup day."""
+    zone = F.col("timezone")
 
+    def local(ts: Column) -> Column:
+        return clock.to_local(ts, zone).cast("date")
 
-def period_bounds(ranges: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Days a period may be picked from: raw-backed days reach back to the retention
-    floor, longer periods to the first rollup day."""
-    floor = F.lit(as_of.date() - dt.timedelta(days=RETENTION_DAYS))
-    raw_min = F.col("min_at").cast("date")
-    return ranges.select(
+    floor = F.date_sub(local(clock.instant(as_of)), RETENTION_DAYS)
+    raw_min = local(F.col("min_at"))
+    return ranges.join(stations.select("station_id", "timezone"), "station_id").select(
         "station_id",
-        F.greatest(raw_min, floor).alias("day_floor"),
+        F.when(raw_min.isNotNull(), F.greatest(raw_min, floor)).alias("day_floor"),
         F.coalesce(F.col("daily_min"), raw_min).alias("period_floor"),
-        F.col("max_at").cast("date").alias("ceiling"),
+        local(F.col("max_at")).alias("ceiling"),
     )
 
 

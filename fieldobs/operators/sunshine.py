@@ -98,19 +98,28 @@ def sunshine_latest_day(readings: DataFrame, stations: DataFrame) -> DataFrame:
             .select("station_id", "day", "sunshine_hours"))
 
 
-def reading_credits(readings: DataFrame, stations: DataFrame) -> DataFrame:
+def sunshine_latest_daily(daily: DataFrame) -> DataFrame:
+    """The same figure from rollup rows: that of each station's last day, null when it has none."""
+    return daily.groupBy("station_id").agg(
+        F.max("day").alias("day"), F.max_by("sunshine_hours", "day").alias("sunshine_hours"))
+
+
+def reading_credits(readings: DataFrame, stations: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
     """Every solar reading with the sunny microseconds credited to it, and its local time.
 
     The next reading is sought over the station's whole window, so an interval crossing
     midnight belongs to the earlier day. A gap counts for half an hour at most, so a chunk
     needs only the first half hour of the next chunk: those rows are copied into it. A
     reading with nothing in sight is credited the cap, unless it is its station's last.
+    ``chunk_us`` may be narrowed, down to the half hour, for denser feeds.
     """
+    if chunk_us < GAP_US:
+        raise ValueError("a chunk must hold the longest credited gap")
     us = clock.micros(F.col("observed_at"))
     solar = (readings.where(F.col("solar_radiation").isNotNull())
              .select("station_id", "observed_at", "solar_radiation", us.alias("us")))
-    chunk = F.floor(F.col("us") / F.lit(CHUNK_US))
-    early = F.col("us") - chunk * F.lit(CHUNK_US) < GAP_US
+    chunk = F.floor(F.col("us") / F.lit(chunk_us))
+    early = F.col("us") - chunk * F.lit(chunk_us) < GAP_US
     own = F.struct(chunk.alias("chunk"), F.lit(False).alias("copy"))
     before = F.struct((chunk - 1).alias("chunk"), F.lit(True).alias("copy"))
     places = F.when(early, F.array(own, before)).otherwise(F.array(own))
@@ -120,7 +129,7 @@ def reading_credits(readings: DataFrame, stations: DataFrame) -> DataFrame:
     rows = placed.withColumn("next_us", F.lead("us").over(w)).where(~F.col("copy"))
     # Keyed like the window, so the rows stay where they are.
     last = (solar.groupBy("station_id").agg(F.max("us").alias("last_us"))
-            .withColumn("chunk", F.floor(F.col("last_us") / F.lit(CHUNK_US))))
+            .withColumn("chunk", F.floor(F.col("last_us") / F.lit(chunk_us))))
     rows = rows.join(last, ["station_id", "chunk"], "left")
     more = F.col("last_us").isNull() | (F.col("us") < F.col("last_us"))
     until = F.when(more, F.coalesce("next_us", F.col("us") + F.lit(GAP_US)))
@@ -165,6 +174,18 @@ def sunshine_series_6h(readings: DataFrame, stations: DataFrame) -> DataFrame:
     return buckets.with_6h_labels(sums)
 
 
+def sunshine_cumulative_6h(readings: DataFrame, stations: DataFrame) -> DataFrame:
+    """Running total of the six-hour series, restarting at local midnight, one digit.
+
+    A day has at most a handful of buckets, so a window over them is small.
+    """
+    series = sunshine_series_6h(readings, stations).withColumn("day", F.col("bucket_start").cast("date"))
+    so_far = Window.partitionBy("station_id", "day").orderBy("bucket_start").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return series.select("station_id", "day", "bucket_start", "label", "day_label", "full_label",
+                         js_round(F.sum("hours").over(so_far), 1).alias("cumulative"))
+
+
 def sunshine_cumulative(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Running total of the two-digit series, restarting at local midnight, one digit.
 

@@ -8,9 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.operators import compare, daily as daily_ops, latest, network, scan, summary
+from fieldobs.operators import buckets, compare, daily as daily_ops, latest, network, scan, summary
 from fieldobs.plans import timewin
 from fieldobs.schema import DAILY_METRICS
+from fieldobs.session import use_utc
+
+# Daily column that stands for a measurement in charts of daily rows.
+DAILY_OF = {"temp_c": "temp_avg"}
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,9 @@ class Network:
     readings: DataFrame
     daily: DataFrame
 
+    def __post_init__(self) -> None:
+        use_utc(self.stations.sparkSession)
+
     def station_list(self) -> DataFrame:
         return scan.station_list(self.stations)
 
@@ -38,7 +45,8 @@ class Network:
         """Rows of one station. Today and 7d (or a custom window) come raw, 30d is aggregated
         from raw rows, longer ranges read the rollup. There is no cap unless one is asked for."""
         one = scan.of_stations(self.readings, [station_id])
-        newest = latest.latest_per_station(one, as_of)
+        known = scan.of_stations(self.stations, [station_id])
+        newest = latest.latest_rows(known, one, as_of, daily=scan.of_stations(self.daily, [station_id]))
         if window:
             rows = scan.readings_between(one, *window).orderBy("observed_at")
             return Answer("raw", rows.limit(limit) if limit else rows, newest)
@@ -48,8 +56,8 @@ class Network:
             rows = scan.daily_between(self.daily, start.date(), station_ids=[station_id]).orderBy("day")
             return Answer("daily", rows.limit(limit) if limit else rows, newest)
         if name == "30d":
-            live = one.where(F.col("observed_at") <= F.lit(str(as_of)).cast("timestamp_ntz"))
-            return Answer("daily", daily_ops.readings_daily(live, self.stations, start).orderBy("day"), newest)
+            live = scan.readings_since(one, start, as_of)
+            return Answer("daily", daily_ops.daily_rollup(live, self.stations).orderBy("day"), newest)
         rows = (scan.today_so_far(one, self.stations, as_of).select(*one.columns) if name == "today"
                 else scan.readings_since(one, start, as_of))
         if limit:
@@ -57,7 +65,7 @@ class Network:
         return Answer("raw", rows.orderBy("observed_at"), newest)
 
     def overview(self, as_of: dt.datetime) -> DataFrame:
-        return latest.station_cards(self.stations, self.readings, as_of)
+        return latest.station_cards(self.stations, self.readings, as_of, self.daily)
 
     def regions(self, as_of: dt.datetime) -> DataFrame:
         return network.region_stats(self.overview(as_of))
@@ -69,8 +77,21 @@ class Network:
         return (latest.network_health(self.stations, self.readings, as_of),
                 latest.stale_stations(self.stations, self.readings, as_of))
 
-    def data_range(self) -> DataFrame:
-        return scan.data_range(self.readings, self.daily)
+    def data_range(self, station_id=None) -> DataFrame:
+        ids = None if station_id is None else [station_id]
+        return scan.data_range(scan.of_stations(self.readings, ids), scan.of_stations(self.daily, ids))
+
+    def chart_series(self, station_id, as_of: dt.datetime, range_name: str = "today",
+                     metrics: tuple[str, ...] = ("temp_c",)) -> Answer:
+        """Points of a chart: raw readings for a day, six-hour means for a week, daily rows beyond."""
+        name = timewin.checked_range(range_name)
+        answer = self.station_readings(station_id, as_of, name)
+        if name != "7d":
+            columns = [m for m in (DAILY_OF.get(m, m) if answer.mode == "daily" else m for m in metrics)]
+            at = "day" if answer.mode == "daily" else "observed_at"
+            return Answer(answer.mode, answer.data.select("station_id", at, *columns), answer.latest)
+        rows = buckets.bucket_6h(answer.data, scan.of_stations(self.stations, [station_id]), metrics)
+        return Answer("6h", rows, answer.latest)
 
     def compare_periods(self, a: timewin.Period, b: timewin.Period, station_id=None) -> dict[str, DataFrame]:
         ids = None if station_id is None else [station_id]
@@ -91,12 +112,15 @@ class Network:
         """Daily series of the requested stations: short ranges from raw, long ones from the rollup."""
         name = timewin.comparison_range(range_name)
         start = timewin.comparison_range_start(name, as_of)
-        wanted = requested.select("station_id")
+        # A request names a few stations: their ids go into the plan and reach the row groups.
+        ids = [r["station_id"] for r in requested.select("station_id").distinct().limit(scan.MAX_COMPARED + 1).collect()]
+        if len(ids) > scan.MAX_COMPARED:
+            raise ValueError(f"more than {scan.MAX_COMPARED} stations")
         if name in ("7d", "30d"):
-            rows = scan.readings_since(self.readings, start, as_of).join(wanted, "station_id", "left_semi")
+            rows = scan.readings_since(self.readings, start, as_of, ids)
             series = daily_ops.daily_rollup(rows, self.stations)
         else:
-            series = scan.daily_between(self.daily, start.date()).join(wanted, "station_id", "left_semi")
+            series = scan.daily_between(self.daily, start.date(), station_ids=ids)
         return compare.compare_stations(requested, self.stations, series, DAILY_METRICS)
 
     def summarise_days(self, start: dt.date, end: dt.date, label: str) -> DataFrame:

@@ -29,7 +29,11 @@ ANCHOR_FORMS = {
 
 
 def checked_window(start, end) -> tuple[str, str]:
-    """Both bounds of a half-open window as text; refuses an empty or malformed one."""
+    """Both bounds of a half-open window as text in UTC.
+
+    A bound with an offset is converted; one without is in UTC already. Refuses a mix of
+    both, and an empty or malformed window.
+    """
     def parse(value):
         if isinstance(value, dt.datetime):
             return value
@@ -38,6 +42,10 @@ def checked_window(start, end) -> tuple[str, str]:
         return dt.datetime.fromisoformat(str(value))
 
     lo, hi = parse(start), parse(end)
+    if (lo.tzinfo is None) != (hi.tzinfo is None):
+        raise ValueError(f"one bound has an offset, the other none: [{start}, {end})")
+    if lo.tzinfo is not None:
+        lo, hi = (x.astimezone(dt.timezone.utc).replace(tzinfo=None) for x in (lo, hi))
     if lo >= hi:
         raise ValueError(f"empty window: [{start}, {end})")
     return str(lo), str(hi)

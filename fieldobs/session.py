@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # "Most recent n" keeps its map-side limit up to this n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Recording the Python call site of every column costs more than planning.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
@@ -39,11 +41,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only a session
-    that leaves it unset (a local test) gets a temporary folder, kept for the session.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; only a local session
+    that leaves it unset (a test) gets a temporary folder, kept for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         base = tempfile.mkdtemp(prefix="fieldobs-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,9 +1,10 @@
 """Partitioned parquet stores for raw readings and the daily rollup.
 
-A merge rewrites only the partitions it touches. The new content is staged next to the
-store first and then written over by dynamic partition overwrite, so no job reads the
-files it replaces, and a job that died half-way can be run again with the same result.
-One writer per store.
+A merge rewrites only the partitions it touches. The new content is first staged beside the
+store and marked complete, then written over by dynamic partition overwrite, then the staging
+goes. A job that dies leaves either an unmarked staging, which counts for nothing, or a marked
+one, which the next job applies before it does anything else: no partition's rows are lost at
+any point. One writer per store.
 """
 
 from __future__ import annotations
@@ -17,59 +18,102 @@ from pyspark.sql import types as T
 from fieldobs.operators import maintenance
 from fieldobs.plans.timewin import RETENTION_DAYS
 from fieldobs.schema import DAILY_COLUMNS, READING_COLUMNS, daily_schema, reading_schema
+from fieldobs.session import use_utc
+
+ONE_DAY = dt.timedelta(days=1)
 
 
 class PartitionedStore:
     partition = ""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark = spark
+        self.spark = use_utc(spark)
         self.path = path.rstrip("/")
         self.schema = schema.add(self.partition, T.DateType())
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        at, fs = self._at(path)
+        return fs.exists(at)
+
+    def _delete(self, path: str) -> None:
+        at, fs = self._at(path)
+        fs.delete(at, True)
 
     def exists(self) -> bool:
-        path, fs = self._fs()
-        return fs.exists(path)
+        return self._exists(self.path)
 
-    def read(self) -> DataFrame:
-        """The whole store; columns that older files lack read as null."""
+    def read(self, days: list[dt.date] | None = None) -> DataFrame:
+        """The store, or the given partitions; columns that older files lack read as null."""
         if not self.exists():
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows if days is None else rows.where(F.col(self.partition).isin(days))
 
     def partitions(self) -> list[dt.date]:
-        """Partition days on disk: a listing, as long as the store is old."""
-        path, fs = self._fs()
+        """Partition days on disk: a listing, as long as the store is old. Other folders are skipped."""
+        path, fs = self._at(self.path)
         if not fs.exists(path):
             return []
-        prefix = f"{self.partition}="
-        names = [status.getPath().getName() for status in fs.listStatus(path)]
-        return sorted(dt.date.fromisoformat(n[len(prefix):]) for n in names if n.startswith(prefix))
+        days, prefix = [], f"{self.partition}="
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            try:
+                days += [dt.date.fromisoformat(name[len(prefix):])] if name.startswith(prefix) else []
+            except ValueError:
+                continue
+        return sorted(days)
 
-    def _overwrite_partitions(self, rows: DataFrame) -> None:
-        staging = f"{self.path}__staging"
+    @property
+    def _staging(self) -> str:
+        return f"{self.path}__staging"
+
+    @property
+    def _staged(self) -> str:
+        """Marks a staging as complete. Readers of the folder skip names with an underscore."""
+        return f"{self._staging}/_COMPLETE"
+
+    def recover(self) -> None:
+        """Apply a complete staging that an interrupted job left; drop an incomplete one."""
+        if self._exists(self._staged):
+            self._apply()
+        elif self._exists(self._staging):
+            self._delete(self._staging)
+
+    def _apply(self) -> None:
+        (self.spark.read.schema(self.schema).parquet(self._staging)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(self.partition).parquet(self.path))
+        self._delete(self._staging)
+
+    def _stage(self, rows: DataFrame) -> None:
         # Evens out the files: small days share a task, a busy day is split.
         even = rows.hint("rebalance", self.partition)
         even.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-            self.partition).parquet(staging)
-        (self.spark.read.schema(self.schema).parquet(staging)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.partition).parquet(self.path))
+            self.partition).parquet(self._staging)
+        mark, fs = self._at(self._staged)
+        fs.create(mark, True).close()
+
+    def _overwrite_partitions(self, rows: DataFrame) -> None:
+        self._stage(rows)
+        self._apply()
 
     def drop_before(self, day: dt.date) -> list[dt.date]:
-        path, fs = self._fs()
         gone = [d for d in self.partitions() if d < day]
         for d in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{self.partition}={d}"), True)
+            self._delete(f"{self.path}/{self.partition}={d}")
         return gone
 
 
 class ReadingStore(PartitionedStore):
-    """Raw readings by UTC date, unique on station and instant."""
+    """Raw readings by UTC date, unique on station and instant.
+
+    Beside the store lie the days that have been pruned (``__pruned``), rows that came too late
+    for them (``__late``), and the (station, date) pairs merged since the last rollup (``__touched``).
+    """
 
     partition = "obs_date"
 
@@ -77,27 +121,85 @@ class ReadingStore(PartitionedStore):
         super().__init__(spark, path, reading_schema(station_id or T.StringType()))
 
     def merge(self, batch: DataFrame, sequence: str, coalesce_existing: bool = False) -> None:
-        """Upsert a batch; within it the row with the highest ``sequence`` wins."""
+        """Upsert a batch; within it the row with the highest ``sequence`` wins.
+
+        Rows of pruned days are kept apart: their days can't be rolled up again from them.
+        """
+        self.recover()
         # Used several times below; lost blocks are computed again.
         fresh = maintenance.last_write(batch.select(*READING_COLUMNS, sequence), sequence).withColumn(
             "obs_date", F.col("observed_at").cast("date")).persist()
-        # The touched dates reach the stored scan as a dynamic partition filter.
-        touched = fresh.select("obs_date").distinct()
-        stored = self.read().join(touched, "obs_date", "left_semi").select(*READING_COLUMNS, "obs_date")
-        self._overwrite_partitions(maintenance.upsert(stored, fresh, coalesce_existing, fresh.count()))
+        pruned = self.pruned_before()
+        if pruned:
+            late = fresh.where(F.col("obs_date") < F.lit(pruned))
+            if not late.isEmpty():
+                late.write.mode("append").parquet(f"{self.path}__late")
+        current = fresh.where(F.col("obs_date") >= F.lit(pruned)) if pruned else fresh
+        # The touched dates go into the plan: only their partitions are listed and read.
+        touched = current.select("station_id", "obs_date").distinct()
+        dates = sorted(r["obs_date"] for r in touched.select("obs_date").distinct().collect())
+        if dates:
+            touched.write.mode("append").parquet(f"{self.path}__touched")
+            stored = self.read(dates).select(*READING_COLUMNS, "obs_date")
+            self._overwrite_partitions(maintenance.upsert(stored, current, coalesce_existing))
         fresh.unpersist()
 
+    def late(self) -> DataFrame | None:
+        """Rows that came after their day was pruned; a batch merged again repeats its own."""
+        path = f"{self.path}__late"
+        return self.spark.read.schema(self.schema).parquet(path) if self._exists(path) else None
+
+    def touched(self) -> DataFrame | None:
+        """(station_id, obs_date) merged since the last rollup."""
+        path = f"{self.path}__touched"
+        return self.spark.read.parquet(path) if self._exists(path) else None
+
+    def forget_touched(self) -> None:
+        self._delete(f"{self.path}__touched")
+
+    def pruned_before(self) -> dt.date | None:
+        """Days before this one have been pruned."""
+        path, fs = self._at(f"{self.path}__pruned")
+        if not fs.exists(path):
+            return None
+        days = [dt.date.fromisoformat(s.getPath().getName()) for s in fs.listStatus(path)]
+        return max(days) if days else None
+
     def horizon(self) -> dt.datetime | None:
-        days = self.partitions()
-        return dt.datetime.combine(days[0], dt.time()) if days else None
+        """From here on the raw rows are whole: since the last prune, or ever if there was none."""
+        if not self.partitions():
+            return None
+        return dt.datetime.combine(self.pruned_before() or dt.date(1970, 1, 1), dt.time())
 
     def prune(self, as_of: dt.datetime, retention_days: int = RETENTION_DAYS) -> int:
         """Drop whole dates past retention; returns the rows dropped."""
+        self.recover()
         cutoff = maintenance.prune_cutoff(as_of, retention_days).date()
-        pruned = self.read().where(F.col("obs_date") < F.lit(cutoff)).count()
+        # Recorded first: an interrupted prune must not pass for whole days.
+        mark, fs = self._at(f"{self.path}__pruned/{max(cutoff, self.pruned_before() or cutoff)}")
+        fs.create(mark, True).close()
+        gone = [d for d in self.partitions() if d < cutoff]
+        pruned = self.read(gone).count() if gone else 0
         self.drop_before(cutoff)
         return pruned
 
+    def remove_stations(self, removed: DataFrame) -> None:
+        """Delete all rows of the given stations (station_id)."""
+        self.recover()
+        holding = self.read().join(removed.select("station_id"), "station_id", "left_semi")
+        self._rewrite_without(holding, removed)
+
+    def _rewrite_without(self, holding: DataFrame, removed: DataFrame) -> None:
+        days = sorted(r[0] for r in holding.select(self.partition).distinct().collect())
+        if not days:
+            return
+        left = maintenance.without_stations(self.read(days), removed.select("station_id"))
+        emptied = set(days) - {r[0] for r in left.select(self.partition).distinct().collect()}
+        if len(emptied) < len(days):
+            self._overwrite_partitions(left.select(*self.schema.fieldNames()))
+        for day in emptied:
+            self._delete(f"{self.path}/{self.partition}={day}")
+
 
 class DailyStore(PartitionedStore):
     """Daily rollup by month of the station-local day, unique on station and day."""
@@ -108,17 +210,45 @@ class DailyStore(PartitionedStore):
         super().__init__(spark, path, daily_schema(station_id or T.StringType()))
 
     def merge(self, readings: ReadingStore, stations: DataFrame) -> None:
+        """Recompute the local days that merges have touched since the last rollup."""
+        self.recover()
+        readings.recover()
+        touched = readings.touched()
+        horizon = readings.horizon()
+        if touched is None or horizon is None:
+            return
+        dates = sorted(r["obs_date"] for r in touched.select("obs_date").distinct().collect())
+        # A touched date reaches the local days around it, and these the dates around them.
+        near = sorted({d + n * ONE_DAY for d in dates for n in (-2, -1, 0, 1, 2)})
+        raw = readings.read(near).join(touched.select("station_id").distinct(), "station_id", "left_semi")
+        months = sorted({(d + n * ONE_DAY).replace(day=1) for d in dates for n in (-1, 0, 1)})
+        self._refresh(raw, stations, horizon, months, maintenance.days_touched(touched))
+        readings.forget_touched()
+
+    def rebuild(self, readings: ReadingStore, stations: DataFrame) -> None:
         """Recompute every day the raw store still holds in full."""
+        self.recover()
+        readings.recover()
         horizon = readings.horizon()
         if horizon is None:
             return
-        raw = readings.read()
-        # A local day starts at most a day before its first UTC date.
-        months_from = F.trunc(F.lit(horizon.date() - dt.timedelta(days=1)), "month")
-        stored = self.read().where(F.col("day_month") >= months_from)
-        rows = maintenance.rollup_refresh(stored, raw, stations, horizon)
-        self._overwrite_partitions(rows.select(*DAILY_COLUMNS).withColumn(
-            "day_month", F.trunc("day", "month")))
+        days = readings.partitions()
+        # A local day starts at most a day before its first UTC date and ends at most one after.
+        first, last = days[0] - ONE_DAY, days[-1] + ONE_DAY
+        months, month = [], first.replace(day=1)
+        while month <= last:
+            months.append(month)
+            month = (month + 32 * ONE_DAY).replace(day=1)
+        self._refresh(readings.read(), stations, horizon, months)
+        readings.forget_touched()
+
+    def _refresh(self, raw: DataFrame, stations: DataFrame, horizon: dt.datetime, months: list[dt.date],
+                 only: DataFrame | None = None) -> None:
+        rows = maintenance.rollup_refresh(self.read(months), raw, stations, horizon, only)
+        self._overwrite_partitions(rows.select(*DAILY_COLUMNS).withColumn("day_month", F.trunc("day", "month")))
+
+    remove_stations = ReadingStore.remove_stations
+    _rewrite_without = ReadingStore._rewrite_without
 
 
 def roll_up_and_prune(readings: ReadingStore, daily: DailyStore, stations: DataFrame, as_of: dt.datetime,
@@ -130,4 +260,15 @@ def roll_up_and_prune(readings: ReadingStore, daily: DailyStore, stations: DataF
 
 def backfill_rollup(readings: ReadingStore, daily: DailyStore, stations: DataFrame) -> None:
     """Recompute the rollup after a schema change, pruning nothing."""
-    daily.merge(readings, stations)
+    daily.rebuild(readings, stations)
+
+
+def delete_stations(readings: ReadingStore, daily: DailyStore, stations: DataFrame, requested: DataFrame) -> DataFrame:
+    """Delete the requested stations' rows from both stores; returns the dimension without them.
+
+    The primary station stays, with all its rows.
+    """
+    removed = maintenance.removable(stations, requested)
+    readings.remove_stations(removed)
+    daily.remove_stations(removed)
+    return maintenance.without_stations(stations, removed)

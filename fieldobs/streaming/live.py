@@ -9,15 +9,17 @@ recomputes whole days from the raw store, replaces them.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from fieldobs.operators import ingest, scan
+from fieldobs.operators import ingest, maintenance, scan
 from fieldobs.operators.daily import PARTIAL_MINUTES, partial_aggregates
 from fieldobs.operators.latest import latest_per_station, stale_stations
+from fieldobs.session import use_utc
 from fieldobs.sources.store import ReadingStore
 from fieldobs.sources.tables import LANDING
 
@@ -31,21 +33,27 @@ def _run(writer: DataStreamWriter, checkpoint: str, every: str | None) -> Stream
 
 
 def landed_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload files as they land; every micro-batch takes the files new since the last."""
-    return spark.readStream.schema(LANDING).json(folder)
+    """Payload files as they land; every micro-batch takes the files new since the last.
+
+    A line that is no JSON comes as a payload without a source, which goes to quarantine.
+    """
+    whole = T.StructType([*LANDING.fields, T.StructField("_line", T.StringType())])
+    rows = use_utc(spark).readStream.schema(whole).option("columnNameOfCorruptRecord", "_line").json(folder)
+    return rows.withColumn("payload", F.coalesce("payload", "_line")).drop("_line")
 
 
 def ingest_to_store(payloads: DataFrame, store: ReadingStore, checkpoint: str,
                     quarantine: str | None = None, every: str | None = None) -> StreamingQuery:
-    """Parse, conform and upsert every micro-batch. A replayed batch changes nothing."""
+    """Parse, conform and upsert every micro-batch. A replayed batch changes nothing.
+
+    Every landed row is stored or quarantined.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        device = F.col("source") == ingest.SOURCE_DEVICE
-        pws_rows, device_rows = batch.where(~device), batch.where(device)
-        rows = ingest.ingest_pws(pws_rows).unionByName(ingest.ingest_device(device_rows))
-        store.merge(rows, "ingest_seq")
+        intake = ingest.Intake(batch)
+        store.merge(intake.accepted("ingest_seq"), "ingest_seq")
         if quarantine:
-            rejects = ingest.rejected_pws(pws_rows).unionByName(ingest.rejected_device(device_rows))
-            rejects.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+            intake.rejected().write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        intake.close()
 
     return _run(payloads.writeStream.foreachBatch(write), checkpoint, every)
 
@@ -78,34 +86,106 @@ def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None
     return _run(writer, checkpoint, every)
 
 
-def update_versions(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the groups each micro-batch changed under its own batch number, replacing them on replay."""
+class Versions:
+    """A keyed table kept as versions by micro-batch, folded now and then.
+
+    ``batches/batch=n`` holds what batch n changed, replaced on replay; ``folded/upto=n`` the
+    newest rows after batch n. Whoever reads takes the last complete fold and the batches after
+    it, so neither an interrupted fold nor a late deletion shows. At most ``every`` batches lie
+    there unfolded, however long the stream runs.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, every: int = 50):
+        self.spark, self.table, self.every = use_utc(spark), table, every
+
+    def _numbers(self, kind: str, prefix: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{kind}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath() for s in fs.listStatus(path)]
+        done = [p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n[len(prefix):]) for n in done if n.startswith(prefix))
+
+    def _drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def add(self, rows: DataFrame, batch_id: int, newest: Callable[[DataFrame], DataFrame]) -> None:
+        numbered = rows.withColumn("batch", F.lit(batch_id).cast("long"))
+        numbered.write.mode("overwrite").parquet(f"{self.table}/batches/batch_id={batch_id}")
+        if len(self._numbers("batches", "batch_id=")) > self.every:
+            self.fold(batch_id, newest)
+
+    def fold(self, upto: int, newest: Callable[[DataFrame], DataFrame]) -> None:
+        newest(self.rows()).write.mode("overwrite").parquet(f"{self.table}/folded/upto={upto}")
+        for n in self._numbers("folded", "upto="):
+            if n < upto:
+                self._drop(f"folded/upto={n}")
+        for n in self._numbers("batches", "batch_id="):
+            if n <= upto:
+                self._drop(f"batches/batch_id={n}")
+
+    def rows(self) -> DataFrame:
+        """All rows that count, with their ``batch``."""
+        folds = self._numbers("folded", "upto=")
+        upto = folds[-1] if folds else -1
+        paths = [f"{self.table}/folded/upto={upto}"] if folds else []
+        paths += [f"{self.table}/batches/batch_id={n}" for n in self._numbers("batches", "batch_id=") if n > upto]
+        return self.spark.read.parquet(*paths)
+
+
+def newest_by_batch(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """The latest batch's row of each key."""
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+
+    return newest
+
+
+def latest_by_batch(rows: DataFrame) -> DataFrame:
+    """The newest reading per station; of several at the same instant, the latest batch's."""
+    order = F.struct("observed_at", "batch")
+    rest = [c for c in rows.columns if c != "station_id"]
+    return rows.groupBy("station_id").agg(*[F.max_by(c, order).alias(c) for c in rest])
+
+
+def update_versions(stream: DataFrame, table: str, checkpoint: str, every: str | None = None,
+                    keys: tuple[str, ...] = ("station_id", "bucket_start")) -> StreamingQuery:
+    """Keep the groups each micro-batch changed as a version of the table."""
+    versions, newest = Versions(stream.sparkSession, table), newest_by_batch(list(keys))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        versions.add(batch, batch_id, newest)
 
     return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
 
 
 def newest_versions(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     """Current state of a versioned table: the latest batch's row of each key."""
-    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+    return newest_by_batch(keys)(Versions(spark, table).rows()).drop("batch")
+
+
+def latest_live(readings: DataFrame, table: str, checkpoint: str, every: str | None = None,
+                sequence: str | None = None) -> StreamingQuery:
+    """Latest row per station and micro-batch; ``newest_latest`` folds them.
 
+    ``sequence`` names the column by which the last write of a key within a batch wins.
+    """
+    versions = Versions(readings.sparkSession, table)
 
-def latest_live(readings: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Latest row per station and micro-batch; ``newest_latest`` folds them."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_station(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        rows = maintenance.last_write(batch, sequence) if sequence else batch
+        versions.add(latest_per_station(rows), batch_id, latest_by_batch)
 
     return _run(readings.writeStream.foreachBatch(write), checkpoint, every)
 
 
 def newest_latest(spark: SparkSession, table: str) -> DataFrame:
-    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*").drop("batch")
-    return latest_per_station(rows)
+    return latest_by_batch(Versions(spark, table).rows()).drop("batch")
 
 
 def stale_now(stations: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
-    """Staleness alert on the live latest rows: cheap enough to ask at every trigger."""
+    """Staleness alert on the live latest rows: one fold and the batches since."""
     return stale_stations(stations, newest_latest(stations.sparkSession, table), as_of)

@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("series", "live", "periods", "collection", "streams")
+THEMES = ("series", "live", "periods", "collection", "streams", "stores")
 
 
 def load():

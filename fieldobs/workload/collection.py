@@ -164,8 +164,7 @@ def indoor_enrich(t: Tables) -> DataFrame:
     return ingest.indoor_enrich(batch, feed, t.stations).drop("poll_id")
 
 
-_OUTCOMES = """arrived AS (SELECT user_id AS station_id, count(*) AS n FROM events
-  WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY user_id),
+_OUTCOMES = """arrived AS (SELECT user_id AS station_id, count(*) AS n FROM events GROUP BY user_id),
 outcomes AS (
   SELECT f.station_id, CASE WHEN source = 'weathercloud' THEN source_id ELSE wunderground_id END AS station,
     CASE WHEN n > 0 THEN 'ok' ELSE 'no_data' END AS status, coalesce(n, 0) AS rows
@@ -174,8 +173,7 @@ outcomes AS (
 
 
 def _outcomes(t: Tables) -> DataFrame:
-    accepted = t.table("events").where(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")).select(
-        F.col("user_id").alias("station_id"))
+    accepted = t.table("events").select(F.col("user_id").alias("station_id"))
     return ingest.collect_outcomes(t.fleet, accepted)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldobs.functions import text
 from fieldobs.operators import compare, scan, summary
-from fieldobs.operators.daily import readings_daily
+from fieldobs.operators.daily import daily_rollup
 from fieldobs.plans import timewin
 from fieldobs.workload import sql as S
 from fieldobs.workload.adapters import AS_OF, DAILY_AS_OF, Tables
@@ -21,14 +21,31 @@ DAY_A, DAY_B = dt.date(2024, 1, 20), dt.date(2024, 1, 21)
 SIDES = ("a", "b")
 
 
-def _in(period: timewin.Period, day: str = "day") -> str:
-    return f"({day} >= DATE '{period.start}' AND {day} < DATE '{period.end}')"
+# For the SQL side, written out rather than taken from the library.
+SQL_MONTHS = (("1999-06-01", "1999-07-01"), ("1998-06-01", "1998-07-01"))
+SQL_YEARS = (("1999-01-01", "2000-01-01"), ("1998-01-01", "1999-01-01"))
+SQL_DAYS = (("2024-01-20", "2024-01-21"), ("2024-01-21", "2024-01-22"))
+# Metric: raw column, figure of a period, figure of a day.
+SQL_METRICS = {
+    "temp_avg": ("temp_c", "avg", "avg"), "precip_total_mm": ("precip_total_mm", "sum", "max"),
+    "humidity": ("humidity", "avg", "avg"), "wind_speed_kph": ("wind_speed_kph", "avg", "avg"),
+    "pressure_mb": ("pressure_mb", "avg", "avg"), "uv": ("uv", "avg", "avg"),
+    "solar_radiation": ("solar_radiation", "avg", "avg"), "sunshine_hours": (None, "sum", None),
+    "humidity_indoor": ("humidity_indoor", "avg", "avg"),
+}
+SQL_RAW_METRICS = {m: raw for m, raw in SQL_METRICS.items() if raw[0]}
+SQL_STATION_TABLE = {"temp_avg": "avg", "temp_max": "max", "temp_min": "min", "precip_total_mm": "sum",
+                     "sunshine_hours": "sum", "wind_speed_kph": "avg", "humidity": "avg", "pressure_mb": "avg"}
+
+
+def _in(period: tuple[str, str], day: str = "day") -> str:
+    return f"({day} >= DATE '{period[0]}' AND {day} < DATE '{period[1]}')"
 
 
 def _sides(pair, source: str = "daily", day: str = "day") -> str:
     """Rows of both periods, tagged."""
     return "sides AS (" + " UNION ALL ".join(
-        f"SELECT *, '{side}' AS side, DATE '{p.start}' AS start FROM {source} WHERE {_in(p, day)}"
+        f"SELECT *, '{side}' AS side, DATE '{p[0]}' AS start FROM {source} WHERE {_in(p, day)}"
         for side, p in zip(SIDES, pair)) + ")"
 
 
@@ -36,9 +53,7 @@ def _on(side: str, value: str) -> str:
     return f"CASE WHEN side = '{side}' THEN {value} END"
 
 
-_DAYS = (timewin.day_period(DAY_A), timewin.day_period(DAY_B))
-_RAW = [S.STATIONS, S.READINGS, S.LOCAL, _sides(_DAYS, "loc", "local_day")]
-_FOLD = {"mean": "avg", "sum": "sum", "max": "max", "min": "min"}
+_RAW = [S.STATIONS, S.READINGS, S.LOCAL, _sides(SQL_DAYS, "loc", "local_day")]
 
 
 def _aligned(metric: str, pair_side: str) -> str:
@@ -46,10 +61,10 @@ def _aligned(metric: str, pair_side: str) -> str:
 
 
 @query("compare_periods_aligned", S.select([S.DAILY, *[f"""{side} AS (
-  SELECT *, date_diff('day', DATE '{p.start}', day) + 1 AS idx FROM daily WHERE {_in(p)})"""
-    for side, p in zip(SIDES, MONTHS)]], f"""
+  SELECT *, date_diff('day', DATE '{p[0]}', day) + 1 AS idx FROM daily WHERE {_in(p)})"""
+    for side, p in zip(SIDES, SQL_MONTHS)]], f"""
 SELECT coalesce(a.station_id, b.station_id) AS station_id, cast(coalesce(a.idx, b.idx) AS integer) AS idx,
-  {', '.join(_aligned(m, s) for m in compare.METRICS for s in SIDES)}
+  {', '.join(_aligned(m, s) for m in SQL_METRICS for s in SIDES)}
 FROM a FULL JOIN b ON a.station_id = b.station_id AND a.idx = b.idx"""))
 def compare_periods_aligned(t: Tables) -> DataFrame:
     return compare.compare_periods_aligned(t.daily, *MONTHS)
@@ -58,7 +73,7 @@ def compare_periods_aligned(t: Tables) -> DataFrame:
 @query("compare_days_hourly", S.select(_RAW, f"""
 SELECT station_id, cast(hour(local_ts) AS integer) AS idx,
   {', '.join(f"{S.jr(f'avg({_on(s, raw)})', 1)} AS {m}_{s}"
-             for m, (raw, _) in compare.RAW_METRICS.items() for s in SIDES)}
+             for m, (raw, _, _) in SQL_RAW_METRICS.items() for s in SIDES)}
 FROM sides GROUP BY station_id, hour(local_ts)"""))
 def compare_days_hourly(t: Tables) -> DataFrame:
     return compare.compare_days_hourly(t.readings, t.stations, DAY_A, DAY_B)
@@ -68,21 +83,18 @@ def _deltas(stats: str, metrics) -> str:
     return f"SELECT *, {', '.join(f'{S.jr(f"{m}_a - {m}_b", 1)} AS {m}_delta' for m in metrics)} FROM {stats}"
 
 
-@query("compare_period_stats", S.select([S.DAILY, _sides(YEARS), f"""stats AS (
-  SELECT station_id, {', '.join(f"{S.jr(f'{_FOLD[kind]}({_on(s, m)})', 1)} AS {m}_{s}"
-                                for m, (_, kind) in compare.METRICS.items() for s in SIDES)}
-  FROM sides GROUP BY station_id)"""], _deltas("stats", compare.METRICS)))
+@query("compare_period_stats", S.select([S.DAILY, _sides(SQL_YEARS), f"""stats AS (
+  SELECT station_id, {', '.join(f"{S.jr(f'{fold}({_on(s, m)})', 1)} AS {m}_{s}"
+                                for m, (_, fold, _) in SQL_METRICS.items() for s in SIDES)}
+  FROM sides GROUP BY station_id)"""], _deltas("stats", SQL_METRICS)))
 def compare_period_stats(t: Tables) -> DataFrame:
     return compare.compare_period_stats(t.daily, *YEARS)
 
 
-_DAY_FOLD = {"mean": "avg", "sum": "max"}
-
-
 @query("compare_day_stats", S.select([*_RAW, f"""stats AS (
-  SELECT station_id, {', '.join(f"{S.jr(f'{_DAY_FOLD[kind]}({_on(s, raw)})', 1)} AS {m}_{s}"
-                                for m, (raw, kind) in compare.RAW_METRICS.items() for s in SIDES)}
-  FROM sides GROUP BY station_id)"""], _deltas("stats", compare.RAW_METRICS)))
+  SELECT station_id, {', '.join(f"{S.jr(f'{fold}({_on(s, raw)})', 1)} AS {m}_{s}"
+                                for m, (raw, _, fold) in SQL_RAW_METRICS.items() for s in SIDES)}
+  FROM sides GROUP BY station_id)"""], _deltas("stats", SQL_RAW_METRICS)))
 def compare_day_stats(t: Tables) -> DataFrame:
     return compare.compare_day_stats(t.readings, t.stations, DAY_A, DAY_B)
 
@@ -93,19 +105,19 @@ def _requested(t: Tables) -> DataFrame:
 
 
 @query("compare_stations", S.select([S.STATIONS, S.READINGS, S.LOCAL, S.rollup(
-    f"observed_at >= {S.AS_OF} - INTERVAL 30 DAY"), "wanted AS (SELECT DISTINCT user_id AS station_id FROM events)"], """
+    f"observed_at >= {S.AS_OF} - INTERVAL 30 DAY AND observed_at <= {S.AS_OF}"), "wanted AS (SELECT DISTINCT user_id AS station_id FROM events)"], """
 SELECT w.station_id, coalesce(s.name, cast(w.station_id AS varchar)) AS name, day, temp_avg, precip_total_mm,
   sunshine_hours
 FROM wanted w LEFT JOIN stations s ON s.station_id = w.station_id LEFT JOIN rollup r ON r.station_id = w.station_id"""))
 def compare_stations(t: Tables) -> DataFrame:
     start = timewin.comparison_range_start("30d", AS_OF)
-    series = readings_daily(t.readings, t.stations, start)
+    series = daily_rollup(scan.readings_since(t.readings, start, AS_OF), t.stations)
     return compare.compare_stations(_requested(t), t.stations, series,
                                     ["temp_avg", "precip_total_mm", "sunshine_hours"])
 
 
 @query("compare_stations_table", S.select([S.DAILY], f"""
-SELECT station_id, {', '.join(f"{S.jr(f'{_FOLD[kind]}({m})', 1)} AS {m}" for m, kind in compare.STATION_TABLE.items())}
+SELECT station_id, {', '.join(f"{S.jr(f'{fold}({m})', 1)} AS {m}" for m, fold in SQL_STATION_TABLE.items())}
 FROM daily GROUP BY station_id"""))
 def compare_stations_table(t: Tables) -> DataFrame:
     return compare.compare_stations_table(t.daily)
@@ -135,7 +147,7 @@ def temp_band(t: Tables) -> DataFrame:
         F.get("band", F.lit(1)).alias("band_high"))
 
 
-_COMPARE = [S.DAILY, _sides(YEARS), f"""c AS (
+_COMPARE = [S.DAILY, _sides(SQL_YEARS), f"""c AS (
   SELECT station_id, {', '.join(f'''count({_on(s, '1')}) AS days_{s}, avg({_on(s, 'temp_avg')}) AS temp_{s},
     coalesce(sum({_on(s, 'precip_total_mm')}), 0) AS rain_{s}, avg({_on(s, 'wind_speed_kph')}) AS wind_{s}'''
                                 for s in SIDES)} FROM sides GROUP BY station_id),
@@ -157,7 +169,7 @@ def _said(*sentences: str) -> str:
     return f"concat_ws(chr(10), {', '.join(sentences)})"
 
 
-_A, _B = YEARS[0].label, YEARS[1].label
+_A, _B = "1999", "1998"
 
 
 @query("summary_comparison_text", S.select(_COMPARE, f"""
@@ -186,7 +198,7 @@ def _record(metric: str, name: str, order: str) -> str:
 
 
 _YEAR = YEARS[1]
-_SUMMARY = [S.DAILY, f"days AS (SELECT * FROM daily WHERE {_in(_YEAR)})",
+_SUMMARY = [S.DAILY, f"days AS (SELECT * FROM daily WHERE {_in(SQL_YEARS[1])})",
             _record("temp_max", "warmest", "DESC"), _record("temp_min", "coldest", "ASC"),
             _record("wind_gust_kph", "gust", "DESC"), f"""base AS (
   SELECT station_id, {S.jr('avg(temp_avg)', 1)} AS temp_mean,
@@ -220,7 +232,7 @@ def _day(col: str) -> str:
 
 @query("summary_daily_text", S.select(_SUMMARY, f"""
 SELECT station_id, {_said(
-    f"'Averaged ' || {S.num('temp_mean')} || '°C over {_YEAR.label}. Warmest ' || {S.num('warmest')} || '°C (' || "
+    f"'Averaged ' || {S.num('temp_mean')} || '°C over 1998. Warmest ' || {S.num('warmest')} || '°C (' || "
     f"{_day('warmest_day')} || '), coldest ' || {S.num('coldest')} || '°C (' || {_day('coldest_day')} || ').'",
     f"CASE WHEN wet_days = 0 THEN 'No measurable rain.' ELSE {S.num('rain_total')} || ' mm of rain across ' "
     f"|| wet_days || CASE WHEN wet_days = 1 THEN ' day.' ELSE ' days.' END END",

@@ -108,19 +108,30 @@ _RANGES = f"""ranges AS (
 rolled AS (SELECT station_id, min(day) AS daily_min FROM daily GROUP BY station_id)"""
 
 
-@query("data_range", S.select([S.READINGS, S.DAILY, _RANGES], """
-SELECT ranges.station_id, min_at, max_at, daily_min FROM ranges
-LEFT JOIN rolled ON rolled.station_id = ranges.station_id"""))
+@query("data_range", """
+WITH seen AS (SELECT user_id AS station_id, min(ts) AS min_at, max(ts) AS max_at FROM events GROUP BY user_id),
+rolled AS (SELECT o_custkey AS station_id, min(cast(o_orderdate AS date)) AS daily_min FROM orders GROUP BY o_custkey)
+SELECT coalesce(seen.station_id, rolled.station_id) AS station_id, min_at, max_at, daily_min
+FROM seen FULL JOIN rolled ON rolled.station_id = seen.station_id""")
 def data_range(t: Tables) -> DataFrame:
-    return scan.data_range(t.readings, t.daily)
+    """Over the fleet, where many stations have rows of one kind only."""
+    raw = t.table("events").select(F.col("user_id").alias("station_id"), F.col("ts").alias("observed_at"))
+    daily = t.table("orders").select(F.col("o_custkey").alias("station_id"), F.col("o_orderdate").cast("date").alias("day"))
+    return scan.data_range(raw, daily)
 
 
-@query("period_bounds", S.select([S.READINGS, S.DAILY, _RANGES], f"""
-SELECT ranges.station_id, greatest(cast(min_at AS date), DATE '2023-11-01') AS day_floor,
-  coalesce(daily_min, cast(min_at AS date)) AS period_floor, cast(max_at AS date) AS ceiling
-FROM ranges LEFT JOIN rolled ON rolled.station_id = ranges.station_id"""))
+def _local_date(ts: str) -> str:
+    return f"cast(timezone(coalesce(s.timezone, 'UTC'), timezone('UTC', {ts})) AS date)"
+
+
+@query("period_bounds", S.select([S.STATIONS, S.READINGS, S.DAILY, _RANGES], f"""
+SELECT s.station_id, CASE WHEN min_at IS NOT NULL
+    THEN greatest({_local_date('min_at')}, {_local_date(S.AS_OF)} - 90) END AS day_floor,
+  coalesce(daily_min, {_local_date('min_at')}) AS period_floor, {_local_date('max_at')} AS ceiling
+FROM stations s LEFT JOIN ranges ON ranges.station_id = s.station_id LEFT JOIN rolled ON rolled.station_id = s.station_id
+WHERE min_at IS NOT NULL OR daily_min IS NOT NULL"""))
 def period_bounds(t: Tables) -> DataFrame:
-    return scan.period_bounds(scan.data_range(t.readings, t.daily), AS_OF)
+    return scan.period_bounds(scan.data_range(t.readings, t.daily), t.stations, AS_OF)
 
 
 _SENSORS = ["temp_c", "temp_indoor_c", "humidity_indoor", "windchill_c", "heat_index_c", "solar_radiation"]
@@ -244,6 +255,24 @@ def sunshine_series_6h(t: Tables) -> DataFrame:
     return sunshine.sunshine_series_6h(t.readings, t.stations)
 
 
+@query("sunshine_cumulative_6h", S.select([*BASE, S.credits("loc", "station_id"), f"""six AS (
+  SELECT station_id, {_SIX} AS bucket_start, {S.jr('cast(sum(credit) AS double) / 3600000000', 1)} AS hours
+  FROM credits GROUP BY station_id, {_SIX}), labelled AS (SELECT *, {_SIX_LABELS} FROM six)"""], f"""
+SELECT station_id, cast(bucket_start AS date) AS day, bucket_start, label, day_label, full_label,
+  {S.jr("""cast(sum(cast(hours AS decimal(12,1))) OVER (PARTITION BY station_id, cast(bucket_start AS date)
+    ORDER BY bucket_start) AS double)""", 1)} AS cumulative
+FROM labelled"""))
+def sunshine_cumulative_6h(t: Tables) -> DataFrame:
+    return sunshine.sunshine_cumulative_6h(t.readings, t.stations)
+
+
+@query("sunshine_today_daily", S.select([S.DAILY], """
+SELECT station_id, day, sunshine_hours FROM daily
+QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY day DESC) = 1"""))
+def sunshine_today_daily(t: Tables) -> DataFrame:
+    return sunshine.sunshine_latest_daily(t.daily)
+
+
 @query("sunshine_cumulative", S.select([*_SERIES, """run AS (
   SELECT *, sum(cast(hours AS decimal(12,2))) OVER (PARTITION BY station_id, day ORDER BY observed_at) AS total
   FROM series)"""], f"SELECT station_id, day, observed_at, label, {S.jr('total', 1)} AS cumulative FROM run"))

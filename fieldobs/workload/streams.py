@@ -88,10 +88,10 @@ def stream_stale(t: Tables) -> DataFrame:
 
 
 @query("stream_station_feed", S.select([S.READINGS], """
-SELECT station_id, observed_at, temp_c FROM readings WHERE station_id BETWEEN 0 AND 24"""))
+SELECT station_id, observed_at, temp_c FROM readings WHERE station_id IN (3, 7, 24)"""))
 def stream_station_feed(t: Tables) -> DataFrame:
     folder = work_dir(t.spark, "stream-feed")
-    feed = live.station_feed(_readings(t).select("station_id", "observed_at", "temp_c"), range(25))
+    feed = live.station_feed(_readings(t).select("station_id", "observed_at", "temp_c"), [3, 7, 24])
     live.append_to(feed, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{folder}/rows")
 

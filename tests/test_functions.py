@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,3 +160,29 @@ def test_station_id_lists(spark):
     ids = scan.station_ids(F.col("x"))
     assert values(spark, ids, texts, "string")[0] == [a, b]
     assert values(spark, scan.station_ids_valid(ids), texts, "string") == [True, False, False, False]
+
+
+def test_outliers_round_to_null(spark):
+    row = one(spark.createDataFrame([(1e25, 2.25, float("nan"))], "a double, b double, c double").select(
+        js_round(F.col("a"), 1).alias("a"), pg_round(F.col("a"), 1).alias("p"), js_round(F.col("b"), 1).alias("b"),
+        js_round(F.col("c"), 1).alias("c")))
+    assert tuple(row) == (None, None, 2.3, None)
+
+
+def test_windows_with_an_offset():
+    assert w.checked_window("2024-01-10T00:00+02:00", "2024-01-11T00:00+02:00") == ("2024-01-09 22:00:00", "2024-01-10 22:00:00")
+    with pytest.raises(ValueError):
+        w.checked_window("2024-01-10T00:00+02:00", "2024-01-11")
+    with pytest.raises(ValueError):
+        w.checked_window("2024-01-10T00:00+02:00", "2024-01-09T21:00Z")
+
+
+def test_coordinate_blocks(spark):
+    def page(text):
+        return f'<html><p id="x">9 9 9 N</p><div class="c" id="profile-coordinates" data-x="1">{text}</div><p>1 1 1 S 2 2 2 W</p>'
+
+    texts = ["45&deg; 53' 6\" N&nbsp; 82&deg; 34' 4\" W", "45&#176; 53&#39; 6&quot; S <b>82</b>° 34' 4.5\" E", "0° 0' 0\" N 0° 0' 0\" E",
+             "45° 53' N 82° 34' 4\" W", "45° 53' 6\" N", "", "Elevation 12 m, 45° 53' 6\" N 82° 34' 4\" W"]
+    rows = spark.createDataFrame([(i, page(t)) for i, t in enumerate(texts)] + [(7, None), (8, "<p>45 53 6 N 82 34 4 W</p>")], "i int, html string")
+    got = {r.i: r.p and tuple(r.p) for r in rows.select("i", geo.page_coordinates(F.col("html")).alias("p")).collect()}
+    assert got == {0: (45.885, -82.56778), 1: (-45.885, 82.56792), 2: (0.0, 0.0), 3: None, 4: None, 5: None, 6: (45.885, -82.56778), 7: None, 8: None}

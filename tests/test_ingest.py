@@ -87,3 +87,23 @@ def test_geo_backfill(spark, make):
                    "ocean": (50.5, None, None, True), "lost": (None, "Asia/Tokyo", "J", False)}
     assert one(quality.backfill_report(targets)).asDict() == {"checked": 4, "updated": 3, "misses": 1}
     assert quality.apply_backfill(stations, targets).count() == 5
+
+
+def test_strict_payloads(spark):
+    """What a JSON parser refuses, or more than one object, is no payload."""
+    bad = ['{"epoch":1704067200,"temp":NaN}', "{'epoch':1704067200}", '{"epoch":1704067200}{"epoch":1}',
+           '{"epoch":1704067200},{"epoch":1704067200}', '{"epoch":1704067200,}', '{"epoch":1704067200000}', '{"epoch":-5}']
+    rows = payloads(spark, *bad, '{"epoch":1704067200,"temp":1e25,"hum":5}')
+    got = one(ingest.ingest_device(rows))
+    assert (got.temp_c, got.humidity) == (None, 5)
+    assert {r.payload for r in ingest.rejected_device(rows).collect()} == set(bad)
+
+
+def test_every_landed_row_is_accounted_for(spark):
+    good = '{"epoch":1704067200,"temp":1.0}'
+    rows = spark.createDataFrame([("d", "weathercloud", 1, good), ("d", None, 2, good), ("p", "wunderground", 3, "x"), ("p", "other", 4, good)],
+                                 "station_id string, source string, ingest_seq long, payload string")
+    assert ingest.ingest_mixed(rows).count() == 1 and ingest.rejected_mixed(rows).count() == 3
+    intake = ingest.Intake(rows)
+    assert intake.accepted("ingest_seq").count() == 1 and {r.ingest_seq for r in intake.rejected().collect()} == {2, 3, 4}
+    intake.close()

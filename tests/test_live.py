@@ -1,6 +1,8 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from fieldobs.operators import latest, network
+from fieldobs.operators import latest, network, scan
 from tests.conftest import at, one
 
 NOW = at("2024-01-30 12:00")
@@ -105,3 +107,13 @@ def test_region_order(make):
     stations = make.stations({"station_id": "1", "country": "Chile", "is_primary": True}, {"station_id": "2", "country": "Austria"},
                              {"station_id": "3"}, {"station_id": "4", "country": "Zambia"})
     assert [r.region for r in network.region_order(stations).collect()] == ["Chile", "Austria", "Zambia", "Other"]
+
+
+def test_days_longer_than_25_hours(make):
+    """Casey, Antarctica, had 27 hours on 2023-03-09."""
+    stations = make.stations({"station_id": "s", "timezone": "Antarctica/Casey"})
+    pairs = [(str(at("2023-03-08 12:00") + dt.timedelta(minutes=30 * i)), 1.0) for i in range(90)]
+    rows = make.series("temp_c", pairs)
+    as_of = at("2023-03-09 15:30")
+    whole = scan.with_local_time(rows, stations).where("local_day = '2023-03-09'").where(F.col("observed_at") <= F.lit(str(as_of)).cast("timestamp_ntz"))
+    assert scan.today_so_far(rows, stations, as_of).count() == whole.count() > 50

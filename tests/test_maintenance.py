@@ -1,11 +1,12 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldobs.operators import maintenance
 from fieldobs.operators.daily import daily_rollup
 from fieldobs.sources import tables
-from fieldobs.sources.store import DailyStore, ReadingStore, backfill_rollup, roll_up_and_prune
+from fieldobs.sources.store import DailyStore, ReadingStore, backfill_rollup, delete_stations, roll_up_and_prune
 from tests.conftest import at, one
 
 
@@ -108,3 +109,85 @@ def test_prune_report(make):
     got = one(maintenance.prune_report(rows, at("2024-01-05 12:00"), 3))
     assert (got.kept, got.pruned) == (1, 2)
     assert maintenance.retained(rows, at("2024-01-05 12:00"), 3).count() == 1
+
+
+def held_rows(store):
+    return {(r.station_id, str(r.observed_at)): r.temp_c for r in store.read().collect()}
+
+
+def hourly(make, start, hours, value=None):
+    begin = at(start)
+    return make.readings(*[{"observed_at": str(begin + dt.timedelta(hours=h)), "temp_c": float(h % 24) if value is None else value}
+                           for h in range(hours)]).withColumn("seq", F.lit(1))
+
+
+def test_rows_of_pruned_days_are_kept_apart(spark, make, tmp_path):
+    """A late row after a prune changes no rollup day, and is not lost."""
+    stations = make.stations({"station_id": "s", "timezone": "Pacific/Auckland"})
+    readings, daily = ReadingStore(spark, str(tmp_path / "raw")), DailyStore(spark, str(tmp_path / "daily"))
+    readings.merge(hourly(make, "2024-01-01 00:00", 24 * 6), "seq")
+    roll_up_and_prune(readings, daily, stations, at("2024-01-06 12:00"), 3)
+    before = daily.read().orderBy("day").collect()
+    assert readings.late() is None and str(readings.pruned_before()) == "2024-01-03"
+    readings.merge(hourly(make, "2024-01-01 13:00", 1, 99.0), "seq")
+    assert [str(d) for d in readings.partitions()][0] == "2024-01-03" and readings.late().count() == 1
+    daily.merge(readings, stations)
+    backfill_rollup(readings, daily, stations)
+    assert daily.read().orderBy("day").collect() == before
+
+
+@pytest.mark.parametrize("moment", ["staged", "applying", "staging"])
+def test_interrupted_merge_loses_nothing(spark, make, tmp_path, moment, monkeypatch):
+    """Killed before, during and after the overwrite; the next job ends with all rows."""
+    store = ReadingStore(spark, str(tmp_path / "raw"))
+    store.merge(hourly(make, "2024-01-01 00:00", 30), "seq")
+
+    def stop(self):
+        if moment == "applying":  # what an overwrite does first
+            self._delete(f"{self.path}/obs_date=2024-01-01")
+        raise RuntimeError("killed")
+
+    batch = hourly(make, "2024-01-01 10:30", 20, 50.0)
+    monkeypatch.setattr(ReadingStore, "_apply", stop)
+    if moment == "staging":
+        monkeypatch.setattr(ReadingStore, "_at", lambda self, path, real=ReadingStore._at: stop(self) if path.endswith("_COMPLETE") and store._exists(store.path + "__staging") else real(self, path))
+    with pytest.raises(RuntimeError):
+        store.merge(batch, "seq")
+    monkeypatch.undo()
+    assert store._exists(store.path + "__staging")
+    if moment == "staging":
+        store.recover()
+        assert len(held_rows(store)) == 30
+    store.merge(batch, "seq")
+    rows = held_rows(store)
+    assert len(rows) == 50 and sum(v == 50.0 for v in rows.values()) == 20
+    assert not store._exists(store.path + "__staging")
+
+
+def test_incremental_rollup_equals_a_full_one(spark, make, tmp_path):
+    stations = make.stations({"station_id": "s", "timezone": "Asia/Kolkata"})
+    readings, daily = ReadingStore(spark, str(tmp_path / "raw")), DailyStore(spark, str(tmp_path / "daily"))
+    whole = DailyStore(spark, str(tmp_path / "whole"))
+    for start, hours, value in (("2024-01-30 00:00", 60, None), ("2024-01-31 05:30", 3, 70.0), ("2024-03-01 00:00", 5, 1.0)):
+        readings.merge(hourly(make, start, hours, value), "seq")
+        daily.merge(readings, stations)
+        assert readings.touched() is None
+    whole.rebuild(readings, stations)
+    assert daily.read().orderBy("day").collect() == whole.read().orderBy("day").collect()
+    daily.merge(readings, stations)  # nothing is touched
+    assert daily.read().count() == whole.read().count()
+
+
+def test_odd_folders_and_deletes(spark, make, tmp_path):
+    stations = make.stations({"station_id": "p", "is_primary": True}, {"station_id": "x"})
+    readings, daily = ReadingStore(spark, str(tmp_path / "raw")), DailyStore(spark, str(tmp_path / "daily"))
+    rows = make.readings(*[{"station_id": s, "observed_at": f"2024-01-0{d} 00:00", "temp_c": 1.0} for s, d in (("p", 1), ("x", 1), ("x", 2))])
+    readings.merge(rows.withColumn("seq", F.lit(1)), "seq")
+    (tmp_path / "raw" / "obs_date=+55969-09-28").mkdir()
+    assert len(readings.partitions()) == 2
+    daily.merge(readings, stations)
+    asked = spark.createDataFrame([("p",), ("x",)], "station_id string")
+    left = delete_stations(readings, daily, stations, asked)
+    assert [r.station_id for r in left.collect()] == ["p"]
+    assert {r.station_id for r in readings.read(readings.partitions()).collect()} == {"p"}
+    assert {r.station_id for r in daily.read().collect()} == {"p"} and len(readings.partitions()) == 1

@@ -1,6 +1,9 @@
 import datetime as dt
 
+import __spark_entry__ as entry
+
 from fieldobs.operators import compare, summary
+from fieldobs.operators.daily import daily_rollup
 from fieldobs.plans import timewin
 from fieldobs.plans.requests import Network
 from tests.conftest import at, one
@@ -160,3 +163,28 @@ def test_requests_route_by_range(make):
     assert net.summarise_days(dt.date(2023, 1, 1), dt.date(2024, 1, 1), "x").count() == 1
     assert set(net.compare_periods(A, B)) == {"aligned", "stats", "text"}
     assert net.compare_days(dt.date(2024, 1, 29), dt.date(2024, 1, 30))["stats"].count() == 1
+
+
+def test_presets_and_anchors_give_the_query_s_windows(spark):
+    """The plain functions against the column form, for every day orders were placed on."""
+    for row in entry.queries()["preset_windows"](spark, "/root/testdata/sf0.001").collect():
+        a, before = timewin.preset_periods("mom", row.day)
+        assert (a.start, a.end, a.label) == (row.a_from, row.a_to, row.a_label)
+        assert (before.start, before.end, before.label) == (row.mom_from, row.mom_to, row.mom_label)
+        _, last_year = timewin.preset_periods("momYoY", row.day)
+        assert (last_year.start, last_year.end, last_year.label) == (row.mom_yoy_from, row.mom_yoy_to, row.mom_yoy_label)
+        year, past = timewin.preset_periods("yoy", row.day)
+        assert (year.start, past.start, past.end) == (row.year_from, row.yoy_from, row.yoy_to)
+        assert timewin.default_anchors("day", row.day)[1] == str(row.day_anchor)
+        assert timewin.default_anchors("week", row.day)[1] == str(row.week_anchor)
+        assert timewin.default_anchors("month", row.day)[1] == row.month_anchor
+
+
+def test_chart_series_by_range(make, spark):
+    stations = make.stations({"station_id": "s", "timezone": "Asia/Kolkata"})
+    rows = make.series("temp_c", [(f"2024-01-{d:02d} {h:02d}:00", float(d)) for d in range(1, 31) for h in (1, 13)])
+    net = Network(stations, rows, daily_rollup(rows, stations))
+    kinds = {name: net.chart_series("s", at("2024-01-30 14:00"), name, ("temp_c",)) for name in ("today", "7d", "30d", "1y")}
+    assert {n: a.mode for n, a in kinds.items()} == {"today": "raw", "7d": "6h", "30d": "daily", "1y": "daily"}
+    assert kinds["today"].data.columns == ["station_id", "observed_at", "temp_c"] and kinds["today"].data.count() == 2
+    assert kinds["7d"].data.where("temp_c = 30.0").count() == 2 and kinds["1y"].data.columns == ["station_id", "day", "temp_avg"]

@@ -7,11 +7,15 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from fieldobs.operators import compare, daily, latest, maintenance, scan, sunshine
+from fieldobs.plans.requests import Network
 from fieldobs.plans.timewin import Period
 from fieldobs.schema import READING_COLUMNS
+from fieldobs.sources.store import ReadingStore
+from fieldobs.workload import load
 from fieldobs.workload.adapters import AS_OF, Tables
 
 SF = "/root/testdata/sf0.001"
@@ -73,6 +77,8 @@ def test_rankings_are_limited_before_the_shuffle(stored):
     assert text.count("WindowGroupLimit") == 2
     text = plan(scan.recent_n(readings.select("station_id", "observed_at", "temp_c"), 200), "simple")
     assert text.count("WindowGroupLimit") == 4
+    text = plan(scan.recent_n(readings.select("station_id", "observed_at", "temp_c"), 1200), "simple")
+    assert text.count("WindowGroupLimit") == 4
 
 
 def test_sunshine_windows_are_cut_by_time(stored):
@@ -102,15 +108,49 @@ def test_periods_are_compared_in_one_scan(spark):
     assert text.count("FileScan") == plan(rows, "simple").count("FileScan") > 0
 
 
-def test_small_batch_is_broadcast_after_a_count(stored):
+PRUNED = re.compile(r"PartitionFilters: \[[^\]]*(obs_date#\d+ IN|obs_date#\d+ INSET|obs_date#\d+ >=)")
+
+
+def scans(text: str) -> list[str]:
+    return [line for line in text.splitlines() if "FileScan" in line and "obs_date" in line]
+
+
+def test_merge_reads_the_touched_days_only(stored, spark, tmp_path):
     readings, _ = stored
-    rows = readings.select(*READING_COLUMNS)
-    small = plan(maintenance.upsert(rows, rows, batch_rows=10), "simple")
-    large = plan(maintenance.upsert(rows.hint("merge"), rows, batch_rows=10_000_000), "simple")
-    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
+    store = ReadingStore(spark, str(tmp_path / "raw"), T.LongType())
+    store.merge(readings.withColumn("seq", F.lit(1)).limit(50), "seq")
+    days = store.partitions()
+    assert scans(plan(store.read(days[:2]), "simple")) and all(PRUNED.search(s) for s in scans(plan(store.read(days[:2]), "simple")))
+
+
+def test_requests_prune_partitions(stored, spark):
+    """Every range of one station, and the cards with one station silent for weeks."""
+    readings, stations = stored
+    silent = readings.where("station_id <> 7 or observed_at < timestamp_ntz'2024-01-05'")
+    rolled = daily.daily_rollup(silent, stations).persist()
+    net = Network(stations, silent, rolled)
+    for name in ("today", "7d", "30d"):
+        answer = net.station_readings(3, AS_OF, name)
+        for frame in (answer.data, answer.latest):
+            found = scans(plan(frame, "simple"))
+            assert found and all(PRUNED.search(s) for s in found), (name, found)
+    found = scans(plan(net.overview(AS_OF), "simple"))
+    assert found and all(PRUNED.search(s) for s in found)
+    at = {r.station_id: r.observed_at for r in net.overview(AS_OF).collect()}
+    newest = {r.station_id: r.observed_at for r in latest.latest_per_station(silent, AS_OF).collect()}
+    assert {k: v for k, v in at.items() if v} == newest
+    assert at[7] < dt.datetime(2024, 1, 5)
+
+
+def test_compared_ids_reach_the_scan(stored, spark):
+    readings, stations = stored
+    asked = spark.createDataFrame([(3, 0), (5, 1)], "station_id long, position int")
+    net = Network(stations, readings, daily.daily_rollup(readings, stations))
+    text = plan(net.compare_stations(asked, AS_OF), "formatted")
+    assert re.search(r"PushedFilters: .*In\(station_id, \[3,5\]\)", text)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in load().QUERIES if not n.startswith(("stream_", "store_", "rollup_incremental", "ingest_accounting"))])
 def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
     text = plan(entry.queries()[name](spark, SF), "simple")
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):

@@ -140,8 +140,16 @@ def test_availability_and_bounds(make):
     got = one(scan.sensor_availability(rows, ["temp_c", "uv"]))
     assert (got.has_temp_c, got.has_uv) == (True, False)
     ranges = scan.data_range(rows, make.daily({"day": "2022-03-01"}))
-    bounds = one(scan.period_bounds(ranges, at("2024-01-30 12:00")))
+    bounds = one(scan.period_bounds(ranges, make.stations(), at("2024-01-30 12:00")))
     assert tuple(map(str, bounds[1:])) == ("2023-11-01", "2022-03-01", "2024-01-05")
+    ahead = make.stations({"station_id": "s", "timezone": "Pacific/Auckland"})
+    late = scan.data_range(make.series("temp_c", [("2024-01-05 20:00", 1.0)]), make.daily())
+    bounds = one(scan.period_bounds(late, ahead, at("2024-01-30 12:00")))
+    assert tuple(map(str, bounds[1:])) == ("2024-01-06", "2024-01-06", "2024-01-06")
+    only_daily = scan.data_range(make.readings(), make.daily({"day": "2022-03-01"}))
+    assert str(one(only_daily).daily_min) == "2022-03-01"
+    bounds = one(scan.period_bounds(only_daily, make.stations(), at("2024-01-30 12:00")))
+    assert tuple(map(str, bounds[1:])) == ("None", "2022-03-01", "None")
 
 
 def test_station_order(make):
