@@ -13,7 +13,7 @@ from fieldobs.functions.rounding import js_round
 from fieldobs.operators import scan
 from fieldobs.plans.timewin import Period, day_of_period
 
-# Daily column -> (raw column, how a period total is formed).
+# Daily column -> (raw column, how a period total is formed).
 METRICS: dict[str, tuple[str, str]] = {
     "temp_avg": ("temp_c", "mean"),
     "precip_total_mm": ("precip_total_mm", "sum"),
@@ -157,7 +157,7 @@ def compare_summary_stats(daily: DataFrame, a: Period, b: Period) -> DataFrame:
 
 
 def summary_comparison_text(stats: DataFrame, a_label: str, b_label: str) -> DataFrame:
-    """Sentences comparing the periods. Differences below 0.1 °C, 0.5 mm or 0.5 km/h are no change."""
+    """Sentences (fixed wording) comparing the periods. Differences below 0.1 °C, 0.5 mm or 0.5 km/h are no change."""
     c, n, say = F.col, text.number_text, text.sentence
 
     def size(m: str) -> Column:

@@ -119,7 +119,7 @@ def today_stats(readings: DataFrame, stations: DataFrame, as_of: dt.datetime) ->
 
 
 def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
-    """One line for a station card; null when there is nothing to say."""
+    """One line (fixed wording) for a station card; null when there is nothing to say."""
     n = text.number_text
     return text.joined(
         F.when(high.isNotNull() & low.isNotNull(),

@@ -52,6 +52,8 @@ def summary_daily_stats(daily: DataFrame) -> DataFrame:
         *[c(f"_{n}.value").alias(n) for n in records], *[c(f"_{n}.day").alias(f"{n}_day") for n in records])
 
 
+# The wording of the sentences below.
+
 def summary_daily_text(stats: DataFrame, label: str) -> DataFrame:
     c, n, say, day = F.col, text.number_text, text.sentence, text.day_short
     temp = say("Averaged ", n(c("temp_mean")), f"°C over {label}. Warmest ", n(c("warmest")), "°C (",
@@ -107,27 +109,23 @@ def _rain_totals(days: DataFrame) -> DataFrame:
     return days.groupBy("station_id").agg(*_rain_aggregates()).where(F.col("gauge_days") > 0).drop("gauge_days")
 
 
-def extreme_moments(readings: DataFrame, stations: DataFrame, metric: str) -> DataFrame:
-    """Per station the highest and lowest value and the earliest local moment of each.
+def sunshine_and_extremes(readings: DataFrame, stations: DataFrame, metric: str) -> DataFrame:
+    """Per station the hours of sunshine, and the highest and lowest value of a metric with the
+    earliest local moment of each: one pass over the readings."""
+    c, zones = F.col, clock.declared_zones(stations)
+    rows = readings.select("station_id", "observed_at", "solar_radiation", metric)
+    figures = scan.with_zone(sunshine.elapsed_by(rows, ["station_id"], extremes=metric), stations)
 
-    Readings first collapse to the earliest instant per distinct value, map-side, so only
-    a sensor's distinct values are ranked.
-    """
-    m, c = F.col(metric), F.col
-    values = (readings.where(m.isNotNull()).groupBy("station_id", m.alias("value"))
-              .agg(F.min("observed_at").alias("at")))
-    ends = values.groupBy("station_id").agg(
-        F.min(F.struct((-c("value")).alias("rank"), "at", "value")).alias("high"),
-        F.min(F.struct("value", "at")).alias("low"))
-    zoned, zones = scan.with_zone(ends, stations), clock.declared_zones(stations)
-    return zoned.select(
-        "station_id", c("high.value").alias("high"), c("low.value").alias("low"),
-        clock.to_local(c("high.at"), c("timezone"), zones).alias("high_at"),
-        clock.to_local(c("low.at"), c("timezone"), zones).alias("low_at"))
+    def local(us: Column) -> Column:
+        return clock.to_local(F.timestamp_micros(us).cast("timestamp_ntz"), c("timezone"), zones)
+
+    return figures.select(
+        "station_id", (-c("high.rank")).alias("high"), c("low.rank").alias("low"),
+        local(c("high.us")).alias("high_at"), local(c("low.us")).alias("low_at"), "sunshine_hours")
 
 
 def summary_period_stats(readings: DataFrame, stations: DataFrame) -> DataFrame:
-    """Figures of a window of raw readings per station."""
+    """Figures of a window of raw readings per station, in two passes over them."""
     c = F.col
     per_day = _per_day(readings, stations)
     totals = per_day.groupBy("station_id").agg(
@@ -136,8 +134,7 @@ def summary_period_stats(readings: DataFrame, stations: DataFrame) -> DataFrame:
         F.min_by("p_first", "p_from").alias("p_first"), F.max_by("p_last", "p_to").alias("p_last"))
     return (totals.select("station_id", "temp_mean", "rain_total", "wet_days", "gauge_days", "peak_gust",
                           *_trend(c("p_n"), c("p_first"), c("p_last")))
-            .join(extreme_moments(readings, stations, "temp_c"), "station_id", "left")
-            .join(sunshine.sunshine_elapsed(readings), "station_id", "left"))
+            .join(sunshine_and_extremes(readings, stations, "temp_c"), "station_id", "left"))
 
 
 def summary_period_text(stats: DataFrame, label: str) -> DataFrame:

@@ -62,15 +62,31 @@ def _hours_1dp(us: Column) -> Column:
     return js_round(us / F.lit(float(HOUR_US)), 1)
 
 
-def elapsed_by(readings: DataFrame, keys: list[str], carry: dict[str, tuple[Column, Column]] | None = None
-               ) -> DataFrame:
+def _moment(metric: str, highest: bool) -> tuple[Column, Column]:
+    """The (rank, instant) of a metric's extreme, per hour and over the hours: the earliest wins a tie."""
+    edge = F.max(metric) if highest else F.min(metric)
+    here = F.col(metric) == F.col("_high" if highest else "_low")
+    found = F.struct((-edge if highest else edge).alias("rank"), F.min(F.when(here, F.col("us"))).alias("us"))
+    name = "high" if highest else "low"
+    return F.when(edge.isNotNull(), found), F.min(name)
+
+
+def elapsed_by(readings: DataFrame, keys: list[str], carry: dict[str, tuple[Column, Column]] | None = None,
+               extremes: str | None = None) -> DataFrame:
     """Hours per key with readings; null below two solar readings.
 
     Intervals that leave the key (a station's midnight, when the day is a key) are dropped.
-    ``carry`` adds aggregates to the same pass: name -> (per hour, over the hours).
+    ``carry`` adds aggregates to the same pass: name -> (per hour, over the hours). ``extremes``
+    names a metric whose highest and lowest value come along, as ``high`` and ``low`` with
+    their (rank, us); they are sought in the same hours, so no row is shuffled for them.
     """
     carry = carry or {}
-    hours = _hour_summaries(_timed(readings, keys), keys, *[part.alias(name) for name, (part, _) in carry.items()])
+    rows = _timed(readings, keys)
+    if extremes:
+        hour = Window.partitionBy(*keys, "hour", "lit")
+        rows = rows.withColumn("_high", F.max(extremes).over(hour)).withColumn("_low", F.min(extremes).over(hour))
+        carry = {**carry, "high": _moment(extremes, True), "low": _moment(extremes, False)}
+    hours = _hour_summaries(rows, keys, *[part.alias(name) for name, (part, _) in carry.items()])
     lit = F.col("lit")
     total = F.sum(F.when(lit, F.col("inner") + F.col("closing")))
     return hours.groupBy(*keys).agg(

@@ -25,7 +25,7 @@ STATION = _struct([
     ("country", _S), ("created_at", _TS),
 ])
 
-# Column name -> Spark type of every measurement, in storage order.
+# Column name -> Spark type of every measurement, in storage order.
 MEASUREMENTS: dict[str, str] = {
     "temp_c": "double",
     "humidity": "int",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
-from fieldobs.operators import compare, daily, latest, maintenance, scan, sunshine
+from fieldobs.operators import compare, daily, latest, maintenance, scan, summary, sunshine
 from fieldobs.plans.requests import Network
 from fieldobs.plans.timewin import Period
 from fieldobs.schema import READING_COLUMNS
@@ -100,6 +100,13 @@ def test_cumulative_sunshine_reads_once(stored, spark):
     assert text.count("ReusedExchange") >= 2
 
 
+def test_window_figures_read_twice_and_shuffle_no_values(stored):
+    readings, stations = stored
+    text = plan(summary.summary_period_stats(readings, stations), "simple")
+    facts = [line for line in text.splitlines() if "FileScan" in line and "obs_date" in line]
+    assert len(facts) == 2 and "value#" not in "".join(l for l in text.splitlines() if "Exchange hashpartitioning" in l)
+
+
 def test_periods_are_compared_in_one_scan(spark):
     rows = Tables(spark, SF).daily
     first = dt.date(1999, 6, 1)
