@@ -82,7 +82,7 @@ def fit(docs: DataFrame, train: Column, order: int = 4, sample_docs: int = 1500,
 class WordCosts:
     """Bits of each word under every tree; words and codes already met are remembered."""
 
-    def __init__(self, tries: list[ppm.Trie], remember: int = 4_000_000):
+    def __init__(self, tries: list[ppm.Trie], remember: int = 2_000_000):
         self.tries, self.order = tries, tries[0].order
         self.remember = max(10_000, remember // (4 + len(tries)))
         self.forget()

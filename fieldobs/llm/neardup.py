@@ -48,7 +48,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes; hashes of words are remembered."""
 
-    def __init__(self, words: int, remember: int = 600_000):
+    def __init__(self, words: int, remember: int = 300_000):
         self.words, self.remember = words, remember
         self.hashes: dict[bytes, int] = {}
 

@@ -19,6 +19,7 @@ as often as they come; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import string
 from collections.abc import Iterable, Iterator
 
@@ -112,11 +113,11 @@ class WordEncoder:
     the string of a special token goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 500_000, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
+        self.remember, self.keep = remember, keep
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         self.separator = next(iter(added), None)
@@ -134,6 +135,11 @@ class WordEncoder:
         raw, starts, stops = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
         return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
+    def trim(self) -> None:
+        """Keep the parts met first, which by and large are the frequent ones."""
+        if len(self.ids) > self.keep:
+            self.ids = dict(itertools.islice(self.ids.items(), self.keep))
+
     @staticmethod
     def parts(text: bytes) -> list[bytes]:
         """Cut a text of lower-case A-Z at white space, and before a mark that follows a letter."""
@@ -143,7 +149,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.ids) > self.remember:
-            self.ids.clear()
+            self.trim()
         special = [s.lower().encode() for s in self.specials]
         lower, whole = [t.lower() for t in texts], {}
         for i, text in enumerate(lower):
@@ -199,6 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 rows = []
         if rows:
             yield _batch(rows)
+        encode.trim()  # the worker goes on to other work
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     return read.mapInArrow(run, PIECES)

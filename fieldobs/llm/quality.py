@@ -57,7 +57,7 @@ def index_vector(term: bytes, dims: int, marks: int = 8) -> np.ndarray:
 class Terms:
     """Texts to numbers of vocabulary terms; words already met are remembered."""
 
-    def __init__(self, vocabulary: list[bytes], remember: int = 600_000):
+    def __init__(self, vocabulary: list[bytes], remember: int = 300_000):
         self.number = {t: i for i, t in enumerate(vocabulary)}
         self.remember = remember
         self.forget()

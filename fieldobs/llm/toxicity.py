@@ -41,7 +41,7 @@ SHORT = 4
 class Evidence:
     """Length-normalised log-likelihood ratio of each word, remembered."""
 
-    def __init__(self, models: ClassModels, remember: int = 500_000):
+    def __init__(self, models: ClassModels, remember: int = 300_000):
         self.models, self.remember = models, remember
         self.forget()
 
