@@ -205,20 +205,14 @@ def sunshine_cumulative_6h(readings: DataFrame, stations: DataFrame) -> DataFram
 def sunshine_cumulative(readings: DataFrame, stations: DataFrame) -> DataFrame:
     """Running total of the two-digit series, restarting at local midnight, one digit.
 
-    Running sums stay inside a local hour; each hour starts from the sum of the day's
-    earlier hours, taken over at most 24 rows per day. All in whole hundredths.
+    A window holds one day of one station, so a busy station spreads over its days. All in
+    whole hundredths.
     """
     keys = ["station_id", "day"]
     rows = reading_credits(readings, stations).select(
-        "station_id", F.col("local_day").alias("day"), F.hour("local_ts").alias("hr"), "observed_at", "local_ts",
+        "station_id", F.col("local_day").alias("day"), "observed_at", "local_ts",
         _hundredths(F.col("credit")).alias("step"))
-    inside = Window.partitionBy(*keys, "hr").orderBy("observed_at").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy("hr").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.groupBy(*keys, "hr").agg(F.sum("step").alias("hour_sum"))
-               .withColumn("before", F.coalesce(F.sum("hour_sum").over(earlier), F.lit(0)))
-               .select(*keys, "hr", "before"))
-    running = rows.withColumn("run", F.sum("step").over(inside)).join(offsets, [*keys, "hr"])
-    tenths = F.floor((F.col("run") + F.col("before") + 5) / 10.0)
-    return running.select(*keys, "observed_at", F.date_format("local_ts", "HH:mm").alias("label"),
-                          (tenths / 10.0).alias("cumulative"))
+    so_far = Window.partitionBy(*keys).orderBy("observed_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tenths = F.floor((F.sum("step").over(so_far) + 5) / 10.0)
+    return rows.select(*keys, "observed_at", F.date_format("local_ts", "HH:mm").alias("label"),
+                       (tenths / 10.0).alias("cumulative"))
