@@ -35,10 +35,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import staged, text_bytes
+from fieldobs.llm.common import blocks_for, lean, staged, text_bytes
 from fieldobs.llm.components import components, joined
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +96,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cid", "sketch"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
-    return read.mapInArrow(run, "doc_id long, text_hash long, n long, cid long, sketch array<long>")
+    return read.mapInArrow(lean(run), "doc_id long, text_hash long, n long, cid long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 200_000) -> DataFrame:
@@ -113,7 +112,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 200_0
     if wanted.count() <= small:  # ids of at most some megabytes; beyond that the join shuffles
         wanted = F.broadcast(wanted)
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
-    return read.select("cid", "text").mapInPandas(run, "cid long, n long, set array<long>").dropDuplicates(["cid"])
+    return read.select("cid", "text").mapInPandas(lean(run), "cid long, n long, set array<long>").dropDuplicates(["cid"])
 
 
 class Similarity:
@@ -134,8 +133,8 @@ class Similarity:
         need = F.when(exact, F.ceil(n * self.percent / 100)).otherwise(F.least(kept, F.lit(self.shared)))
         return kept - need + 1
 
-    def full_prefix(self, n: Column) -> Column:
-        return n - F.ceil(n * self.percent / 100) + 1
+    def full_prefix(self, n: int) -> int:
+        return n - -(-n * self.percent // 100) + 1
 
     def positions_fit(self, n: Column, i: Column, m: Column, j: Column) -> Column:
         """At most what stands from the shared value on is common: I >= percent / (100 + percent) * (n + m)."""
@@ -158,6 +157,38 @@ def _prefixes(reps: DataFrame, similarity: Similarity) -> DataFrame:
         F.col("hit.value").alias("value"), "cid", "n")
 
 
+def _full_prefixes(sets: DataFrame, similarity: Similarity, block_sets: int = 500) -> DataFrame:
+    """(value, cid, n, pos) of the rarest values of each full set, of which others hold some.
+
+    Sets are dealt into blocks; a block asks once for each of its distinct values, however many
+    of its sets hold it, so that a group of copies costs about its edits and not its size times
+    its length.
+    """
+    blocks = blocks_for(sets.count(), block_sets)
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
+
+    def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values, n = np.unique(np.concatenate(rows["set"].to_numpy()), return_counts=True)
+        return pd.DataFrame({"block": key[0], "value": values, "held": n})
+
+    def rank(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("value")
+        known, freq = told["value"].to_numpy(np.int64), told["freq"].to_numpy(np.int64)
+        out = []
+        for cid, n, own in zip(rows["cid"], rows["n"], rows["set"]):
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            often = np.where(known[at] == own, freq[at], 1) if len(known) else np.ones(len(own), np.int64)
+            order = np.lexsort((own, often))[:similarity.full_prefix(n)]
+            pos = np.flatnonzero(often[order] > 1)
+            out.append(pd.DataFrame({"value": own[order[pos]], "cid": cid, "n": n, "pos": pos}))
+        return pd.concat(out) if out else pd.DataFrame({"value": [], "cid": [], "n": [], "pos": []})
+
+    asked = staged(dealt.groupBy("block").applyInPandas(ask, "block long, value long, held long"), "near-values")
+    counts = asked.groupBy("value").agg(F.sum("held").alias("freq")).where("freq > 1")
+    told = asked.select("block", "value").join(counts, "value")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(rank, "value long, cid long, n long, pos long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
     """Of pairs (a, b), those whose full sets are linked."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
@@ -193,12 +224,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, similarity: Sim
     found = staged(_confirmed(near, sets, similarity), "near-links")
 
     # Full sets of the classes in long lists, by their values, rarest among these classes first.
-    values = sets.join(dense, "cid").select("cid", "n", F.explode("set").alias("value"))
-    counts = values.groupBy("value").agg(F.count("*").alias("freq"))
-    rank = W.partitionBy("cid").orderBy("freq", "value")
-    ranked = values.join(counts, "value").withColumn("pos", F.row_number().over(rank) - 1)
-    long_lists = staged(ranked.where((F.col("pos") < similarity.full_prefix(F.col("n"))) & (F.col("freq") > 1)).select(
-        "value", "cid", "n", "pos"), "near-dense")
+    long_lists = staged(_full_prefixes(staged(sets.join(dense, "cid"), "near-dense"), similarity), "near-dense")
     fit &= similarity.positions_fit(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     hubs = long_lists.groupBy("value").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "cid", "n", "pos")).alias("hub"))
     hubs = hubs.select("value", "hub.cid", "hub.n", "hub.pos")
