@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldobs.llm import ppm
-from fieldobs.llm.common import staged, text_bytes
+from fieldobs.llm.common import lean, staged, text_bytes
 from fieldobs.llm.kneserney import ClassModels
 from fieldobs.llm.langid import sample
 
@@ -144,4 +144,4 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInArrow(run, "doc_id long, score double")
+    return read.mapInArrow(lean(run), "doc_id long, score double")
