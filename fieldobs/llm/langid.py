@@ -42,6 +42,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest:
     about twice the limit, so that ranking never sees a whole label. The ids drawn, whose number
     is bounded, then go to the texts.
     """
+    docs = docs.select("doc_id", "text")  # no other column can clash with the ones added here
     short = docs.where(F.octet_length("text") <= longest).select(
         F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     known = labels.where(F.col(label).isNotNull()).select("doc_id", label).distinct()
