@@ -10,6 +10,10 @@ documents, those with the smallest hash of the id, none longer than ``sample_byt
 size has a bound that the corpus doesn't move, and they may be sent to every task. Scoring
 reads every document and whole texts.
 
+``limits`` says how far a text may be from every language: of each it has the bits per byte that
+labelled documents kept out of the fit need. ``identify`` calls a text ``und`` that needs far more
+under every tree, so gibberish and languages never learned are told from the learned ones.
+
 Defined cases: a text that is null, empty or has no letter is ``und`` with score 0, as is every
 text when nothing could be learned; ties go to the language first in order; repeated rows are
 scored each; an empty table gives no rows; other columns are ignored.
@@ -32,6 +36,16 @@ from fieldobs.llm import ppm
 from fieldobs.llm.common import lean, staged, text_bytes
 
 UNKNOWN = "und"
+#: A text is too far when it needs this many times the bits per byte of a language's median document,
+FAR = 3.0
+#: or this many times those of the document at the 95 % quantile, if that is more.
+FAR_TAIL = 1.25
+#: Typical bytes added to a text when its bits per byte are held against a limit: a short text says little.
+FAMILIAR = 32
+#: A label is believed unless another language needs less than this share of its bits.
+BELIEVED = 0.6
+#: A language with fewer documents kept out goes by the documents of all languages together.
+LEAST_KEPT = 10
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, seed: int = 11) -> DataFrame:
@@ -122,15 +136,55 @@ class WordCosts:
         return out
 
 
-def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def limits(docs: DataFrame, kept_out: Column, tries: dict[str, ppm.Trie], sample_docs: int = 500,
+           sample_bytes: int = 1 << 16) -> dict[str, tuple[float, float]]:
+    """(median, limit) of the bits per byte of each language, from the labelled rows that ``kept_out`` names.
+
+    A document counts under its own label's tree. The limit is ``FAR`` times the median or
+    ``FAR_TAIL`` times the 95 % quantile: labels that are wrong for one document in twenty don't
+    move it. With fewer than ``LEAST_KEPT`` documents in all, nothing is too far.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tries)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs, costs = list(sent.value), WordCosts(list(sent.value.values()))
+        for batch in batches:
+            texts = [t.lower().split() for t in batch["text"]]
+            own = costs.totals(texts)[np.arange(len(texts)), [langs.index(lang) for lang in batch["lang"]]]
+            n = np.array([sum(map(len, t)) + len(t) for t in texts])
+            yield pd.DataFrame({"lang": batch["lang"], "bits": own, "n": n})[n > 0]
+
+    rows = docs.where(kept_out & F.col("lang").isin(list(tries)) & F.regexp_like("text", F.lit(r"\p{L}")))
+    drawn = sample(rows.select("doc_id", "text"), rows.select("doc_id", "lang"), "lang", sample_docs, sample_bytes)
+    told = drawn.select("lang", text_bytes().alias("text")).mapInPandas(measure, "lang string, bits double, n long").toArrow().to_pandas()
+
+    def fitted(rows: pd.DataFrame) -> tuple[float, float]:
+        median = (rows["bits"] / rows["n"]).median()
+        tail = ((rows["bits"] + FAMILIAR * median) / (rows["n"] + FAMILIAR)).quantile(0.95)
+        return float(median), float(max(FAR * median, FAR_TAIL * tail))
+
+    every = fitted(told) if len(told) >= LEAST_KEPT else (0.0, np.inf)
+    own = dict(list(told.groupby("lang")))
+    return {lang: fitted(own[lang]) if len(own.get(lang, ())) >= LEAST_KEPT else every for lang in tries}
+
+
+def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0, keep: tuple[str, ...] = (),
+             limits: dict[str, tuple[float, float]] | None = None, label: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text), and the columns named in ``keep``.
 
     The score weighs the languages' bits per byte as if the text were ``sharpness`` bytes long,
-    so that it tells close calls from clear ones at any length.
+    so that it tells close calls from clear ones at any length. With ``limits`` given, a text
+    beyond every language's limit is ``und`` with score 0. ``label`` names a column with the
+    language a text is said to be in, which stays unless its tree does clearly worse (``BELIEVED``).
     """
     langs = list(tries)
+    median, limit = np.array([(limits or {}).get(lang, (0.0, np.inf)) for lang in langs]).reshape(-1, 2).T
     sent = docs.sparkSession.sparkContext.broadcast(list(tries.values()))
 
+    def trust(part: pa.RecordBatch) -> np.ndarray:
+        said = np.array(part.column("said").to_pylist(), object)
+        return np.where(said[:, None] == np.array(langs, object), BELIEVED, 1.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = WordCosts(sent.value) if langs else None
         for batch in batches:
@@ -140,10 +194,12 @@ def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0
                 if langs:
                     texts = [t.lower().split() for t in part.column("bytes").to_pylist()]
                     bits = costs.totals(texts)
-                    per_byte = bits / np.maximum([sum(map(len, t)) + len(t) for t in texts], 1)[:, None]
-                    best = bits.argmin(1)
+                    n = np.array([sum(map(len, t)) + len(t) for t in texts])
+                    per_byte = bits / np.maximum(n, 1)[:, None]
+                    best = (bits * trust(part)).argmin(1)
+                    near = ((bits + FAMILIAR * median) / (n + FAMILIAR)[:, None] <= limit).any(1)
                     weights = np.exp2(-sharpness * (per_byte - per_byte.min(1, keepdims=True)))
-                    lettered = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+                    lettered = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool) & near
                     preds[lettered] = np.array(langs, object)[best[lettered]]
                     scores[lettered] = (1 / weights.sum(1))[lettered]
                 told = [part.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores)]
@@ -151,6 +207,7 @@ def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0
 
     kept = [f"kept_{i}" for i in range(len(keep))]  # under names of their own on the way
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes"),
+                       (F.col(label) if label else F.lit(None)).cast("string").alias("said"),
                        F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("lettered"),
                        *[F.col(c).alias(name) for c, name in zip(keep, kept)])
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
