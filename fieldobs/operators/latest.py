@@ -40,18 +40,24 @@ def latest_rows(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
 
     The last days come first; older rows are read only for stations silent since. When
     there are none, adaptive execution drops the older branch before its scan starts.
-    With the rollup given, it tells the last day of each silent station: one small job
-    collects these days, and of the older partitions only theirs and the ones around are read.
+    With the rollup given, one small job asks it for the last day of each silent station, and
+    older partitions are left out that cannot hold its latest row: the rollup only says that a
+    station has rows on a day, so all days since the earliest of these days are read, however
+    far it lags. A silent station that the rollup doesn't know has all its history read.
     """
     since = as_of - dt.timedelta(days=days)
     recent = latest_per_station(scan.readings_since(readings, since, as_of))
     silent = stations.select("station_id").join(recent.select("station_id"), "station_id", "left_anti")
     before = readings.where(F.col("observed_at") < clock.instant(since))
     if daily is not None and "obs_date" in readings.columns:
-        past = daily.where(F.col("day") <= F.lit(as_of.date() + dt.timedelta(days=1)))
+        # A local day reaches from a day before the UTC date of its name to a day after; only one
+        # that ended before ``since`` surely has a row that is asked for.
+        past = daily.where(F.col("day") < F.lit(since.date() - dt.timedelta(days=1)))
         last = past.join(silent, "station_id", "left_semi").groupBy("station_id").agg(F.max("day").alias("day"))
-        around = last.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("d")).distinct()
-        before = before.where(F.col("obs_date").isin(sorted(r["d"] for r in around.collect())))
+        told = silent.distinct().join(last, "station_id", "left").agg(
+            F.min("day").alias("first"), F.count_if(F.col("day").isNull()).alias("unknown")).first()
+        if told["first"] is not None and not told["unknown"]:
+            before = before.where(F.col("obs_date") >= F.lit(told["first"] - dt.timedelta(days=1)))
     older = latest_per_station(before.join(silent, "station_id", "left_semi"))
     return recent.unionByName(older)
 

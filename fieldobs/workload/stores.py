@@ -140,6 +140,23 @@ _raw_request("today", f"timezone('UTC', timezone(coalesce(timezone, 'UTC'), date
 _raw_request("7d", f"{_AS_OF} - INTERVAL 7 DAY")
 
 
+_SILENT = "station_id % 2 = 0 AND observed_at >= TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@query("network_overview_stale", S.select([S.STATIONS, S.READINGS, f"""newest AS (
+  SELECT station_id, observed_at, temp_c FROM readings WHERE observed_at <= {_AS_OF} AND NOT ({_SILENT})
+  QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC) = 1)"""], """
+SELECT s.station_id, n.observed_at, n.temp_c FROM stations s LEFT JOIN newest n ON n.station_id = s.station_id"""))
+def network_overview_stale(t: Tables) -> DataFrame:
+    """All stations; half are silent, and the rollup lags or lacks them."""
+    from fieldobs.operators.daily import daily_rollup
+
+    rows = t.readings.where(~F.expr(_SILENT))
+    rollup = daily_rollup(rows, t.stations).where("day <= DATE '2024-01-10' AND station_id % 8 <> 0")
+    dated = rows.withColumn("obs_date", F.to_date("observed_at"))
+    return Network(t.stations, dated, rollup).overview(AS_OF).select("station_id", "observed_at", "temp_c")
+
+
 @query("network_30d", S.select([S.STATIONS, S.READINGS, S.LOCAL, S.rollup(
     f"observed_at >= {_AS_OF} - INTERVAL 30 DAY AND observed_at <= {_AS_OF}")], f"SELECT {S.DAILY_LIST} FROM rollup WHERE station_id = {_STATION}"))
 def network_30d(t: Tables) -> DataFrame:
