@@ -6,8 +6,9 @@ its bytes, with escapes to shorter contexts (``ppm``); the shortest wins. Since
 within words, a task codes each distinct word once per language and adds up the words of its texts.
 
 The trees are fitted on a bounded sample: of every language at most ``sample_docs`` training
-documents, those with the smallest hash of the id, none longer than ``sample_bytes``. So their
-size has a bound that the corpus doesn't move, and they may be sent to every task. Scoring
+documents, those with the smallest hash of the id, whole and of any length, until they have
+``sample_docs * sample_bytes`` bytes. So their size has a bound that the corpus doesn't move, and
+they may be sent to every task. Scoring
 reads every document and whole texts.
 
 ``limits`` says how far a text may be from every language: of each it has the bits per byte that
@@ -36,6 +37,8 @@ from fieldobs.llm import ppm
 from fieldobs.llm.common import lean, staged, text_bytes
 
 UNKNOWN = "und"
+#: So many documents of each label are drawn whatever their length.
+FIRST = 10
 #: A text is too far when it needs this many times the bits per byte of a language's median document,
 FAR = 3.0
 #: or this many times those of the document at the 95 % quantile, if that is more.
@@ -48,26 +51,34 @@ BELIEVED = 0.6
 LEAST_KEPT = 10
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, seed: int = 11) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int | None = None, seed: int = 11,
+           mean_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, label) of at most ``limit`` documents of each label, by the smallest hash of the id.
 
-    ``docs`` has doc_id and text, ``labels`` (doc_id, label). Texts have at most ``longest`` bytes.
+    ``docs`` has doc_id and text, ``labels`` (doc_id, label). With ``mean_bytes``, a label's documents
+    end with the one that takes them to ``limit * mean_bytes`` bytes, but not before the first
+    ``FIRST``; each is whole. Texts of any length are drawn unless ``longest`` says otherwise.
     Only ids are joined, cut and ranked: a threshold on the hash first cuts each label to
     about twice the limit, so that ranking never sees a whole label. The ids drawn, whose number
     is bounded, then go to the texts.
     """
     docs = docs.select("doc_id", "text")  # no other column can clash with the ones added here
-    short = docs.where(F.octet_length("text") <= longest).select(
-        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    size = F.octet_length("text")
+    read = docs.where(size.isNotNull() if longest is None else size <= longest).select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), size.cast("long").alias("size"))
     known = labels.where(F.col(label).isNotNull()).select("doc_id", label).distinct()
-    fit = short.join(known, F.col("id") == F.col("doc_id")).select(
-        "id", "hash", label, (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
+    fit = read.join(known, F.col("id") == F.col("doc_id")).select(
+        "id", "hash", "size", label, (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
     totals = fit.groupBy(F.col(label).alias("of")).agg(F.count("*").alias("total"))
     if totals.count() <= 10_000:  # so that no label's rows have to meet in one task
         totals = F.broadcast(totals)
     near = fit.join(totals, fit[label] == totals["of"]).where(F.col("draw") * F.col("total") <= 2.0 * limit)
     first = W.partitionBy(label).orderBy("draw", "id", "hash")
-    drawn = staged(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).select("id", "hash", label), "sample")
+    ranked = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+    if mean_bytes is not None:
+        before = F.coalesce(F.sum("size").over(first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.withColumn("before", before).where((F.col("nth") <= FIRST) | (F.col("before") < limit * mean_bytes))
+    drawn = staged(ranked.select("id", "hash", label), "sample")
     if drawn.count() <= 100_000:
         drawn = F.broadcast(drawn)
     return docs.join(drawn, (docs["doc_id"] == F.col("id")) & (F.xxhash64(docs["text"]) == F.col("hash"))).select(
@@ -87,7 +98,7 @@ def fit(docs: DataFrame, train: Column, order: int = 4, sample_docs: int = 1500,
                 yield pd.DataFrame({"lang": lang, "code": distinct, "n": np.bincount(inverse, n, len(distinct)).astype(np.int64)})
 
     train_docs = docs.where(train).select("doc_id", "text", "lang")
-    rows = sample(train_docs.select("doc_id", "text"), train_docs.select("doc_id", "lang"), "lang", sample_docs, sample_bytes)
+    rows = sample(train_docs.select("doc_id", "text"), train_docs.select("doc_id", "lang"), "lang", sample_docs, mean_bytes=sample_bytes)
     grams = rows.select("lang", text_bytes().alias("text")).mapInPandas(count, "lang string, code long, n long").groupBy(
         "lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return {lang: ppm.Trie(g["code"].to_numpy(np.int64), g["n"].to_numpy(float), order)
@@ -155,7 +166,7 @@ def limits(docs: DataFrame, kept_out: Column, tries: dict[str, ppm.Trie], sample
             yield pd.DataFrame({"lang": batch["lang"], "bits": own, "n": n})[n > 0]
 
     rows = docs.where(kept_out & F.col("lang").isin(list(tries)) & F.regexp_like("text", F.lit(r"\p{L}")))
-    drawn = sample(rows.select("doc_id", "text"), rows.select("doc_id", "lang"), "lang", sample_docs, sample_bytes)
+    drawn = sample(rows.select("doc_id", "text"), rows.select("doc_id", "lang"), "lang", sample_docs, mean_bytes=sample_bytes)
     told = drawn.select("lang", text_bytes().alias("text")).mapInPandas(measure, "lang string, bits double, n long").toArrow().to_pandas()
 
     def fitted(rows: pd.DataFrame) -> tuple[float, float]:

@@ -8,7 +8,7 @@ before it as one special term, so that no word is without a vector. A two-layer
 the mean into a probability, which a temperature fitted on unseen rows calibrates.
 
 Everything is fitted on a bounded sample: at most ``sample_docs`` labelled training documents of
-each label, by the smallest hash of the id, none longer than ``sample_bytes``; the vocabulary
+each label, by the smallest hash of the id, whole, until they have ``sample_docs * sample_bytes`` bytes; the vocabulary
 holds at most ``vocabulary`` terms. Neighbour sums and document vectors are worked out on
 Spark, the network (a few thousand rows) on the driver. Labels weigh as in all labelled rows,
 not as in the sample. Scoring reads every document and whole texts.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, dims: int = 64, vocabulary: int = 20
     totals = {r["quality"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("quality").count().collect()}
     if len(totals) < 2:
         return {"share": float(next(iter(totals), 0.5))}
-    drawn = staged(sample(docs, known, "quality", sample_docs, sample_bytes).select(
+    drawn = staged(sample(docs, known, "quality", sample_docs, mean_bytes=sample_bytes).select(
         "quality", text_bytes().alias("text"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("apart")), "quality-sample")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

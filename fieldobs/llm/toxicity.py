@@ -8,9 +8,10 @@ common words, alike in both classes, count nothing. A logistic curve turns evide
 it is fitted on documents the models have not seen.
 
 The models are fitted on a bounded sample: at most ``sample_docs`` labelled training documents
-of each class, by the smallest hash of the id, none longer than ``sample_bytes``. Each
-document counts a word once. Four fifths of them train the models, one fifth the curve; both
-may be sent to every task. Scoring reads every document and whole texts.
+of each class, by the smallest hash of the id, whole and of any length, until they have
+``sample_docs * sample_bytes`` bytes. Each document counts a word once. Four fifths of them train
+the models, one fifth the curve, or all of them both if one part lacks a class; both may be sent
+to every task. Scoring reads every document and whole texts.
 
 Defined cases: a text without words has no evidence and scores as low as the curve goes; if one
 of the classes is missing from the sample, every score is the share of toxic labels (0 without
@@ -103,15 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 7, sample_docs: int = 1
                                     "n": np.bincount(inverse, n, len(distinct)).astype(np.int64)})
 
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    drawn = sample(docs, known, "toxic", sample_docs, sample_bytes)
+    drawn = sample(docs, known, "toxic", sample_docs, mean_bytes=sample_bytes)
     rows = staged(drawn.select("toxic", text_bytes().alias("text"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("curve")), "toxicity-sample")
-    counted = rows.where("not curve").select("toxic", "text").mapInPandas(count, "toxic int, code long, n long").groupBy("code").agg(
+    parts = {(r["toxic"], r["curve"]): r["count"] for r in rows.groupBy("toxic", "curve").count().collect()}
+    sizes = {c: sum(n for (toxic, _), n in parts.items() if toxic == c) for c in (0, 1)}
+    apart = len(parts) == 4  # else a class is missing on one side, and all rows serve for both
+    trained, curved = (rows.where("not curve"), rows.where("curve")) if apart else (rows, rows)
+    counted = trained.select("toxic", "text").mapInPandas(count, "toxic int, code long, n long").groupBy("code").agg(
         *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)]).toArrow()
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    held = {r["toxic"] for r in rows.where("curve").select("toxic").distinct().collect()}
     counts = [counted.column(f"n{c}").to_numpy() for c in (0, 1)]
-    if held != {0, 1} or not all(c.sum() for c in counts):
-        return {"share": sizes.get(1, 0) / max(sum(sizes.values()), 1)}
+    if not all(c.sum() for c in counts):
+        return {"share": sizes[1] / max(sum(sizes.values()), 1)}
     codes = counted.column("code").to_numpy().view(ppm.word_codes([], order)[0].dtype)
     models = ClassModels(codes, counts, order)
     sent = docs.sparkSession.sparkContext.broadcast(models)
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 7, sample_docs: int = 1
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "x": evidence.of(batch["text"].tolist(), strongest)})
 
-    curve = rows.where("curve").select("toxic", "text").mapInPandas(weigh, "toxic int, x double").orderBy("x", "toxic").toArrow()
+    curve = curved.select("toxic", "text").mapInPandas(weigh, "toxic int, x double").orderBy("x", "toxic").toArrow()
     return {"models": models, "strongest": strongest,
             "curve": logistic(curve.column("x").to_numpy(), curve.column("toxic").to_numpy().astype(float))}
 
