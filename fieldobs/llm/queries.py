@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import ann, langid, linededup, lmscore, mixing, neardup, packing, quality, topk, toxicity
+from fieldobs.llm import (ann, fim, langid, linededup, lmscore, mixing, neardup, packing, piecebpe, quality, runs, topk,
+                          toxicity)
 from fieldobs.llm.common import id_remainder, table
 
 
@@ -68,8 +69,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
+    return fim.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    round_trip = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return round_trip.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                             F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.collapse(runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ann_search, op2_threshold_topk, op3_line_dedup, op4_lm_scoring, op5_minhash_near_dedup, op6_quality, op7_best_fit_packing, op8_toxicity, op9_source_mixing, op10_language_id)}
+    op1_ann_search, op2_threshold_topk, op3_line_dedup, op4_lm_scoring, op5_minhash_near_dedup, op6_quality, op7_best_fit_packing,
+    op8_toxicity, op9_source_mixing, op10_language_id, op11_fill_in_middle, op12_piece_encoding, op13_periodic_runs)}
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
@@ -125,5 +143,22 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS
        CAST(CASE WHEN size > 0 THEN whole + CASE WHEN part = size THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS epochs,
        CAST(CASE WHEN part = size THEN 0 ELSE part END AS BIGINT) AS cut
 FROM h
+""",
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+h AS (SELECT *, CAST('0x' || key[1:8] AS BIGINT) AS h1, CAST('0x' || key[9:16] AS BIGINT) AS h2,
+             CAST('0x' || key[17:24] AS BIGINT) AS h3, CAST('0x' || key[25:32] AS BIGINT) AS h4,
+             regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:lo], '') AS a, array_to_string(units[lo + 1:hi], '') AS b,
+             array_to_string(units[hi + 1:], '') AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
 """,
 }
