@@ -113,16 +113,30 @@ class WordEncoder:
     the string of a special token goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, remember: int = 500_000, keep: int = 150_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remember: int = 500_000, keep: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words of a-z alone need no normalising, and white space is all there is to cut them at.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        suffix, vocabulary = self.plain.model.end_of_word_suffix, self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.worded = bool(self.ends.any())
         self.remember, self.keep = remember, keep
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         self.separator = next(iter(added), None)
         self.ids: dict[bytes, bytes] = {}
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of a-z in one call; the token that ends a word tells where the next begins."""
+        encoded = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(encoded[0].ids, "<u4")
+        raw, stops = ids.tobytes(), (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+        return [raw[a:b] for a, b in itertools.pairwise([0, *stops])]
+
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         """Ids of many parts in one call, with a special token between them."""
         words = [p.decode() for p in parts]
@@ -157,10 +171,12 @@ class WordEncoder:
                 lower[i] = b""
                 whole[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4")
         cut = [self.parts(text) for text in lower]
-        fresh = list(set().union(*cut).difference(self.ids))
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at:at + 2000]
-            self.ids.update(zip(part, self._encode_parts(part)))
+        fresh = set().union(*cut).difference(self.ids)
+        words = [part for part in fresh if self.worded and part.isalpha()]
+        for encode, parts in ((self._encode_words, words), (self._encode_parts, list(fresh.difference(words)))):
+            for at in range(0, len(parts), 2000):
+                part = parts[at:at + 2000]
+                self.ids.update(zip(part, encode(part), strict=True))
         get = self.ids.__getitem__
         return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, c)), "<u4") for i, c in enumerate(cut)]
 

@@ -160,3 +160,9 @@ def test_crc_of_ids(spark):
     docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
     packed = packing.pack(docs, PATH)
     assert packing.digest(packed).first().ids_crc32 == zlib.crc32(bytes(packed.first().ids))
+
+
+def test_words_alone_equal_the_whole_tokenizer():
+    encoder, draw = packing.WordEncoder(PATH), random.Random(8)
+    words = ["".join(draw.choice("etaoinshrdluqz") for _ in range(draw.randint(1, 18))).encode() for _ in range(3000)]
+    assert encoder.worded and encoder._encode_words(words) == encoder._encode_parts(words)
