@@ -67,10 +67,10 @@ def _strict(payload: Column, kind: T.StructType) -> Column:
     """The one object that the whole text is, as an array of none or one.
 
     Read as the content of an array, so that anything after the object makes it malformed
-    or a second element.
+    or a second element. The check is a filter over the parsed form, which thus stands in the plan once.
     """
     parsed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), T.ArrayType(kind), STRICT_JSON)
-    return F.when(F.size(parsed) == 1, parsed)
+    return F.get(F.filter(F.array(parsed), lambda objects: F.size(objects) == 1), F.lit(0))
 
 
 def _pws_observation(payload: Column) -> Column:

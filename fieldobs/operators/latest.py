@@ -34,38 +34,55 @@ def latest_per_station(readings: DataFrame, as_of: dt.datetime | None = None) ->
         *[F.max_by(c, "observed_at").alias(c) for c in rest])
 
 
-def latest_rows(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
-                days: int = RECENT_DAYS, daily: DataFrame | None = None) -> DataFrame:
+def latest_rows(stations: DataFrame, readings: DataFrame, as_of: dt.datetime, days: int = RECENT_DAYS,
+                daily: DataFrame | None = None, last_seen: DataFrame | None = None) -> DataFrame:
     """``latest_per_station`` for a known dimension, without reading all history.
 
-    The last days come first; older rows are read only for stations silent since. When
+    ``last_seen`` is the newest row of every station that has any, as a ``ReadingStore`` keeps it:
+    it answers by itself. Only if some of its rows are newer than ``as_of``, which one small job
+    asks, are the readings of those stations searched.
+
+    Without it the last days come first; older rows are read only for stations silent since. When
     there are none, adaptive execution drops the older branch before its scan starts.
     With the rollup given, one small job asks it for the last day of each silent station, and
     older partitions are left out that cannot hold its latest row: the rollup only says that a
     station has rows on a day, so all days since the earliest of these days are read, however
-    far it lags. A silent station that the rollup doesn't know has all its history read.
+    far it lags. For a silent station that the rollup doesn't know that is the day it was added
+    (``created_at``; all history, where the dimension doesn't say).
     """
+    if last_seen is not None:
+        newest = last_seen.select(*[c for c in readings.columns if c in last_seen.columns]).join(
+            stations.select("station_id"), "station_id", "left_semi")
+        told = F.col("observed_at") <= clock.instant(as_of)
+        ahead = newest.where(~told).select("station_id")
+        if ahead.isEmpty():
+            return newest
+        sought = latest_rows(ahead, readings.join(ahead, "station_id", "left_semi"), as_of, days, daily)
+        return newest.where(told).unionByName(sought.select(*newest.columns))
     since = as_of - dt.timedelta(days=days)
     recent = latest_per_station(scan.readings_since(readings, since, as_of))
-    silent = stations.select("station_id").join(recent.select("station_id"), "station_id", "left_anti")
+    added = F.col("created_at").cast("date") if "created_at" in stations.columns else F.lit(None).cast("date")
+    silent = stations.select("station_id", added.alias("added")).join(recent.select("station_id"), "station_id", "left_anti")
     before = readings.where(F.col("observed_at") < clock.instant(since))
     if daily is not None and "obs_date" in readings.columns:
         # A local day reaches from a day before the UTC date of its name to a day after; only one
         # that ended before ``since`` surely has a row that is asked for.
         past = daily.where(F.col("day") < F.lit(since.date() - dt.timedelta(days=1)))
         last = past.join(silent, "station_id", "left_semi").groupBy("station_id").agg(F.max("day").alias("day"))
-        told = silent.distinct().join(last, "station_id", "left").agg(
-            F.min("day").alias("first"), F.count_if(F.col("day").isNull()).alias("unknown")).first()
-        if told["first"] is not None and not told["unknown"]:
-            before = before.where(F.col("obs_date") >= F.lit(told["first"] - dt.timedelta(days=1)))
+        reach = F.coalesce("day", "added")
+        told = silent.join(last, "station_id", "left").agg(
+            F.min(reach).alias("first"), F.count_if(reach.isNull()).alias("unknown")).first()
+        if not told["unknown"]:  # without a silent station nothing older is read at all
+            first = told["first"]
+            before = before.where(F.col("obs_date") >= F.lit(first - dt.timedelta(days=1)) if first else F.lit(False))
     older = latest_per_station(before.join(silent, "station_id", "left_semi"))
     return recent.unionByName(older)
 
 
 def with_latest(stations: DataFrame, readings: DataFrame, as_of: dt.datetime, *columns: str,
-                daily: DataFrame | None = None) -> DataFrame:
+                daily: DataFrame | None = None, last_seen: DataFrame | None = None) -> DataFrame:
     """Stations with the chosen columns of their latest row; nulls where there is none."""
-    newest = latest_rows(stations, readings.select(*_scanned(readings, columns)), as_of, daily=daily)
+    newest = latest_rows(stations, readings.select(*_scanned(readings, columns)), as_of, daily=daily, last_seen=last_seen)
     return stations.join(newest.select("station_id", "observed_at", *columns), "station_id", "left")
 
 
@@ -135,14 +152,14 @@ def headline(high: Column, low: Column, rain: Column, gust: Column) -> Column:
 
 
 def station_cards(stations: DataFrame, readings: DataFrame, as_of: dt.datetime,
-                  daily: DataFrame | None = None) -> DataFrame:
+                  daily: DataFrame | None = None, last_seen: DataFrame | None = None) -> DataFrame:
     """Stations with latest reading, trailing-hour wind, today's figures and headline.
 
-    Reads the last days only, unless a station has been silent for longer; with the rollup
-    given, of that station's days only the last.
+    Reads the last days only, unless a station has been silent for longer and no table of newest
+    rows is given (``latest_rows``).
     """
     latest_columns = ["temp_c", "temp_indoor_c", "wind_speed_kph", "precip_total_mm"]
-    cards = (with_latest(stations, readings, as_of, *latest_columns, daily=daily)
+    cards = (with_latest(stations, readings, as_of, *latest_columns, daily=daily, last_seen=last_seen)
              .join(_recent_figures(readings, stations, as_of), "station_id", "left")
              .withColumn("rain", F.col("precip_total_mm")))
     return cards.withColumn("summary", headline(

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.operators import buckets, compare, daily as daily_ops, latest, network, scan, summary
+from fieldobs.operators import buckets, compare, daily as daily_ops, latest, maintenance, network, scan, summary
 from fieldobs.plans import timewin
 from fieldobs.schema import DAILY_METRICS
 from fieldobs.session import use_utc
+from fieldobs.sources.store import DailyStore, ReadingStore
 
 # Daily column that stands for a measurement in charts of daily rows.
 DAILY_OF = {"temp_c": "temp_avg"}
@@ -28,32 +29,60 @@ class Answer:
 
 @dataclass(frozen=True)
 class Network:
-    """Stations, raw readings and the daily rollup, asked as of an instant."""
+    """Stations, raw readings and the daily rollup, asked as of an instant.
+
+    Stores also tell each station's newest row (``last_seen``), the (station_id, obs_date) merged
+    since the rollup ran (``touched``), and since when the raw rows are whole (``horizon``).
+    Plain tables without them give the same answers from more reading.
+    """
 
     stations: DataFrame
     readings: DataFrame
     daily: DataFrame
+    last_seen: DataFrame | None = None
+    touched: DataFrame | None = None
+    horizon: dt.datetime | None = None
 
     def __post_init__(self) -> None:
         use_utc(self.stations.sparkSession)
 
+    @classmethod
+    def of_stores(cls, stations: DataFrame, raw: ReadingStore, rollup: DailyStore) -> Network:
+        raw.recover()
+        rollup.recover()
+        touched = raw.touched()
+        if touched is None:
+            touched = raw.read([]).select("station_id", "obs_date")
+        return cls(stations, raw.read(), rollup.read(), raw.latest(), touched, raw.horizon())
+
+    def days(self, as_of: dt.datetime, station_ids: list | None = None) -> DataFrame:
+        """The rollup with its live tail, as the nightly job would leave it now: days that it has not taken in yet
+        come from the raw rows."""
+        stored, stations = scan.of_stations(self.daily, station_ids), scan.of_stations(self.stations, station_ids)
+        raw = scan.of_stations(self.readings, station_ids)
+        touched = (maintenance.behind(stored, raw, stations) if self.touched is None
+                   else scan.of_stations(self.touched, station_ids))
+        return maintenance.live_rollup(stored, raw, stations, touched, self.horizon or maintenance.prune_cutoff(as_of))
+
     def station_list(self) -> DataFrame:
         return scan.station_list(self.stations)
 
     def station_readings(self, station_id, as_of: dt.datetime, range_name: str = "today",
                          window: tuple | None = None, limit: int | None = None) -> Answer:
         """Rows of one station. Today and 7d (or a custom window) come raw, 30d is aggregated
-        from raw rows, longer ranges read the rollup. There is no cap unless one is asked for."""
+        from raw rows, longer ranges read the rollup and, for the days it lacks, the raw rows. There
+        is no cap unless one is asked for."""
         one = scan.of_stations(self.readings, [station_id])
         known = scan.of_stations(self.stations, [station_id])
-        newest = latest.latest_rows(known, one, as_of, daily=scan.of_stations(self.daily, [station_id]))
+        seen = None if self.last_seen is None else scan.of_stations(self.last_seen, [station_id])
+        newest = latest.latest_rows(known, one, as_of, daily=scan.of_stations(self.daily, [station_id]), last_seen=seen)
         if window:
             rows = scan.readings_between(one, *window).orderBy("observed_at")
             return Answer("raw", rows.limit(limit) if limit else rows, newest)
         name = timewin.checked_range(range_name)
         start = timewin.range_start(name, as_of)
         if name in ("1y", "all"):
-            rows = scan.daily_between(self.daily, start.date(), station_ids=[station_id]).orderBy("day")
+            rows = scan.daily_between(self.days(as_of, [station_id]), start.date()).orderBy("day")
             return Answer("daily", rows.limit(limit) if limit else rows, newest)
         if name == "30d":
             live = scan.readings_since(one, start, as_of)
@@ -65,7 +94,7 @@ class Network:
         return Answer("raw", rows.orderBy("observed_at"), newest)
 
     def overview(self, as_of: dt.datetime) -> DataFrame:
-        return latest.station_cards(self.stations, self.readings, as_of, self.daily)
+        return latest.station_cards(self.stations, self.readings, as_of, self.daily, self.last_seen)
 
     def regions(self, as_of: dt.datetime) -> DataFrame:
         return network.region_stats(self.overview(as_of))
@@ -109,7 +138,8 @@ class Network:
                 "stats": compare.compare_day_stats(rows, self.stations, a, b)}
 
     def compare_stations(self, requested: DataFrame, as_of: dt.datetime, range_name: str = "30d") -> DataFrame:
-        """Daily series of the requested stations: short ranges from raw, long ones from the rollup."""
+        """Daily series of the requested stations: short ranges from raw, long ones from the rollup
+        and its live tail."""
         name = timewin.comparison_range(range_name)
         start = timewin.comparison_range_start(name, as_of)
         # A request names a few stations: their ids go into the plan and reach the row groups.
@@ -120,7 +150,7 @@ class Network:
             rows = scan.readings_since(self.readings, start, as_of, ids)
             series = daily_ops.daily_rollup(rows, self.stations)
         else:
-            series = scan.daily_between(self.daily, start.date(), station_ids=ids)
+            series = scan.daily_between(self.days(as_of, ids), start.date())
         return compare.compare_stations(requested, self.stations, series, DAILY_METRICS)
 
     def summarise_days(self, start: dt.date, end: dt.date, label: str) -> DataFrame:

@@ -9,18 +9,18 @@ recomputes whole days from the raw store, replaces them.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
-from fieldobs.operators import ingest, maintenance, scan
+from fieldobs.operators import ingest, scan
 from fieldobs.operators.daily import PARTIAL_MINUTES, partial_aggregates
-from fieldobs.operators.latest import latest_per_station, stale_stations
+from fieldobs.operators.latest import stale_stations
 from fieldobs.session import use_utc
-from fieldobs.sources.store import ReadingStore
+from fieldobs.sources.store import KeyedStore, LatestStore, PartialStore, ReadingStore
 from fieldobs.sources.tables import LANDING
 
 WATERMARK = "2 hours"
@@ -32,13 +32,27 @@ def _run(writer: DataStreamWriter, checkpoint: str, every: str | None) -> Stream
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def landed_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload files as they land; every micro-batch takes the files new since the last.
+def admitted(reader: DataStreamReader, max_files: int | None = None, max_bytes: str | int | None = None) -> DataStreamReader:
+    """Limit what one micro-batch of a file source takes, by files or by bytes (like ``"2g"``).
+
+    A backlog, as after an outage, is then worked off in batches of a size the cluster is made for, oldest files first.
+    """
+    if max_files and max_bytes:
+        raise ValueError("limit files or bytes, not both")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader
+
+
+def landed_payloads(spark: SparkSession, folder: str, max_files: int | None = None,
+                    max_bytes: str | int | None = None) -> DataFrame:
+    """Payload files as they land; every micro-batch takes the files new since the last, up to the limit given.
 
     A line that is no JSON comes as a payload without a source, which goes to quarantine.
     """
     whole = T.StructType([*LANDING.fields, T.StructField("_line", T.StringType())])
-    rows = use_utc(spark).readStream.schema(whole).option("columnNameOfCorruptRecord", "_line").json(folder)
+    reader = admitted(use_utc(spark).readStream.schema(whole), max_files, max_bytes)
+    rows = reader.option("columnNameOfCorruptRecord", "_line").json(folder)
     return rows.withColumn("payload", F.coalesce("payload", "_line")).drop("_line")
 
 
@@ -86,106 +100,52 @@ def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None
     return _run(writer, checkpoint, every)
 
 
-class Versions:
-    """A keyed table kept as versions by micro-batch, folded now and then.
+def _keyed(stream: DataFrame, store: KeyedStore, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Put the groups that each micro-batch changed over the stored ones; replays change nothing."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.merge(batch)
 
-    ``batches/batch=n`` holds what batch n changed, replaced on replay; ``folded/upto=n`` the
-    newest rows after batch n. Whoever reads takes the last complete fold and the batches after
-    it, so neither an interrupted fold nor a late deletion shows. At most ``every`` batches lie
-    there unfolded, however long the stream runs.
-    """
+    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
 
-    def __init__(self, spark: SparkSession, table: str, every: int = 50):
-        self.spark, self.table, self.every = use_utc(spark), table, every
-
-    def _numbers(self, kind: str, prefix: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{kind}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[len(prefix):]) for n in done if n.startswith(prefix))
-
-    def _drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def add(self, rows: DataFrame, batch_id: int, newest: Callable[[DataFrame], DataFrame]) -> None:
-        numbered = rows.withColumn("batch", F.lit(batch_id).cast("long"))
-        numbered.write.mode("overwrite").parquet(f"{self.table}/batches/batch_id={batch_id}")
-        if len(self._numbers("batches", "batch_id=")) > self.every:
-            self.fold(batch_id, newest)
-
-    def fold(self, upto: int, newest: Callable[[DataFrame], DataFrame]) -> None:
-        newest(self.rows()).write.mode("overwrite").parquet(f"{self.table}/folded/upto={upto}")
-        for n in self._numbers("folded", "upto="):
-            if n < upto:
-                self._drop(f"folded/upto={n}")
-        for n in self._numbers("batches", "batch_id="):
-            if n <= upto:
-                self._drop(f"batches/batch_id={n}")
-
-    def rows(self) -> DataFrame:
-        """All rows that count, with their ``batch``."""
-        folds = self._numbers("folded", "upto=")
-        upto = folds[-1] if folds else -1
-        paths = [f"{self.table}/folded/upto={upto}"] if folds else []
-        paths += [f"{self.table}/batches/batch_id={n}" for n in self._numbers("batches", "batch_id=") if n > upto]
-        return self.spark.read.parquet(*paths)
-
-
-def newest_by_batch(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """The latest batch's row of each key."""
-    def newest(rows: DataFrame) -> DataFrame:
-        rest = [c for c in rows.columns if c not in keys]
-        return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-
-    return newest
-
-
-def latest_by_batch(rows: DataFrame) -> DataFrame:
-    """The newest reading per station; of several at the same instant, the latest batch's."""
-    order = F.struct("observed_at", "batch")
-    rest = [c for c in rows.columns if c != "station_id"]
-    return rows.groupBy("station_id").agg(*[F.max_by(c, order).alias(c) for c in rest])
-
-
-def update_versions(stream: DataFrame, table: str, checkpoint: str, every: str | None = None,
-                    keys: tuple[str, ...] = ("station_id", "bucket_start")) -> StreamingQuery:
-    """Keep the groups each micro-batch changed as a version of the table."""
-    versions, newest = Versions(stream.sparkSession, table), newest_by_batch(list(keys))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        versions.add(batch, batch_id, newest)
+def live_partials(readings: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a table of quarter-hour partials current, open windows included.
 
-    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
+    The sums are streaming state; each trigger rewrites the dates of the windows it changed.
+    """
+    partials = tumbling_15m(readings)
+    return _keyed(partials, PartialStore(readings.sparkSession, table, partials.schema), checkpoint, every)
 
 
-def newest_versions(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
-    """Current state of a versioned table: the latest batch's row of each key."""
-    return newest_by_batch(keys)(Versions(spark, table).rows()).drop("batch")
+def partials_so_far(spark: SparkSession, table: str) -> DataFrame:
+    return use_utc(spark).read.parquet(table).drop(PartialStore.partition)
 
 
-def latest_live(readings: DataFrame, table: str, checkpoint: str, every: str | None = None,
-                sequence: str | None = None) -> StreamingQuery:
-    """Latest row per station and micro-batch; ``newest_latest`` folds them.
+def newest_rows(readings: DataFrame, sequence: str | None = None) -> DataFrame:
+    """The newest row of every station as streaming state: one row a station, whatever was streamed.
 
-    ``sequence`` names the column by which the last write of a key within a batch wins.
+    Of several rows at the same instant the one of the latest micro-batch counts, and within a
+    batch the one with the highest ``sequence``.
     """
-    versions = Versions(readings.sparkSession, table)
+    rest = [c for c in readings.columns if c not in ("station_id", "observed_at", sequence)]
+    # The time of the micro-batch: the same for all its rows, and again when it is replayed.
+    dated = readings.withColumn("_batch", F.current_timestamp())
+    order = F.struct("observed_at", "_batch", *([sequence] if sequence else []))
+    row = F.struct("observed_at", *rest)
+    return dated.groupBy("station_id").agg(F.max_by(row, order).alias("_row")).select("station_id", "_row.*")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = maintenance.last_write(batch, sequence) if sequence else batch
-        versions.add(latest_per_station(rows), batch_id, latest_by_batch)
 
-    return _run(readings.writeStream.foreachBatch(write), checkpoint, every)
+def latest_live(readings: DataFrame, table: str, checkpoint: str, every: str | None = None,
+                sequence: str | None = None) -> StreamingQuery:
+    """Keep a table of every station's newest row current; ``newest_latest`` reads it."""
+    newest = newest_rows(readings, sequence)
+    return _keyed(newest, LatestStore(readings.sparkSession, table, newest.schema), checkpoint, every)
 
 
 def newest_latest(spark: SparkSession, table: str) -> DataFrame:
-    return latest_by_batch(Versions(spark, table).rows()).drop("batch")
+    return use_utc(spark).read.parquet(table).drop(LatestStore.partition)
 
 
 def stale_now(stations: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
-    """Staleness alert on the live latest rows: one fold and the batches since."""
+    """The stations that are silent by the live table of newest rows."""
     return stale_stations(stations, newest_latest(stations.sparkSession, table), as_of)

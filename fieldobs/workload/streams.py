@@ -37,8 +37,8 @@ def stream_dedup(t: Tables) -> DataFrame:
 
 def _partials(t: Tables) -> DataFrame:
     folder = work_dir(t.spark, "stream-partials")
-    live.update_versions(live.tumbling_15m(_readings(t)), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return _naive(live.newest_versions(t.spark, f"{folder}/rows", ["station_id", "bucket_start"]), "bucket_start")
+    live.live_partials(_readings(t), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return _naive(live.partials_so_far(t.spark, f"{folder}/rows"), "bucket_start")
 
 
 @query("stream_tumbling_15m", S.select([S.READINGS], f"""

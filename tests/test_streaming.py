@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldobs.operators.daily import daily_rollup, quarter_hour_partials, rollup_from_partials
 from fieldobs.session import work_dir
-from fieldobs.sources.store import ReadingStore
+from fieldobs.sources.store import LatestStore, ReadingStore
 from fieldobs.sources.tables import LANDING
 from fieldobs.streaming import live
 from tests.conftest import at
@@ -57,9 +57,10 @@ def test_partials_equal_batch(spark, make, tmp_path):
     rows, stations = readings(make), make.stations({"station_id": "a", "timezone": "Asia/Kolkata"}, {"station_id": "b"})
     folder = work_dir(spark, "test-partials")
     source = stream(spark, rows, f"{folder}/in", PARTS)
-    live.update_versions(live.tumbling_15m(source), f"{folder}/out", f"{folder}/cp").awaitTermination()
-    assert live.Versions(spark, f"{folder}/out").rows().select("batch").distinct().count() >= 2
-    got = live.newest_versions(spark, f"{folder}/out", ["station_id", "bucket_start"])
+    query = live.live_partials(source, f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 2
+    got = live.partials_so_far(spark, f"{folder}/out")
     want = quarter_hour_partials(rows)
     order = ["station_id", "bucket_start"]
     naive = got.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
@@ -106,14 +107,26 @@ def test_every_line_is_stored_or_quarantined(spark, tmp_path):
 
 
 def test_corrected_row_of_a_later_batch_wins(spark, make):
+    """Over restarts from the checkpoint: the state goes on, older rows change nothing."""
     folder = work_dir(spark, "test-corrected")
-    versions = live.Versions(spark, folder, every=2)
-    for batch, (instant, temp) in enumerate([("10:00", 1.0), ("10:00", 2.0), ("09:00", 9.0), ("10:00", 3.0), ("08:00", 0.0)]):
+    for instant, temp in [("10:00", 1.0), ("10:00", 2.0), ("09:00", 9.0), ("10:00", 3.0), ("08:00", 0.0)]:
         rows = make.readings({"observed_at": f"2024-01-01 {instant}", "temp_c": temp})
-        versions.add(rows, batch, live.latest_by_batch)
-        versions.add(rows, batch, live.latest_by_batch)  # replayed
-    assert [r.temp_c for r in live.newest_latest(spark, folder).collect()] == [3.0]
-    assert len(versions._numbers("batches", "batch_id=")) <= 2 and len(versions._numbers("folded", "upto=")) == 1
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        live.latest_live(source, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert [r.temp_c for r in live.newest_latest(spark, f"{folder}/out").collect()] == [3.0]
+    live.latest_live(source, f"{folder}/out", f"{folder}/cp").awaitTermination()  # nothing new
+    assert [r.temp_c for r in live.newest_latest(spark, f"{folder}/out").collect()] == [3.0]
+
+
+def test_a_replayed_trigger_changes_nothing(spark, make):
+    rows = make.readings({"station_id": "a", "observed_at": "2024-01-01 10:00", "temp_c": 1.0},
+                         {"station_id": "b", "observed_at": "2024-01-01 11:00", "temp_c": 2.0})
+    store = LatestStore(spark, work_dir(spark, "test-replay") + "/t", rows.schema)
+    later = make.readings({"station_id": "a", "observed_at": "2024-01-01 12:00", "temp_c": 3.0})
+    for batch in (rows, later, later, rows):
+        store.merge(batch)
+    assert {r.station_id: r.temp_c for r in store.latest().collect()} == {"a": 3.0, "b": 2.0}
 
 
 def test_last_write_within_a_batch_wins(spark, make):
@@ -132,10 +145,10 @@ def test_rows_behind_the_watermark_wait_for_the_batch_rollup(spark, make):
     late = make.readings({"station_id": "a", "observed_at": "2024-01-01 01:00", "temp_c": 50.0})
     folder = work_dir(spark, "test-late")
     source = stream(spark, rows, f"{folder}/in", PARTS)
-    run = lambda: live.update_versions(live.tumbling_15m(source), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    run = lambda: live.live_partials(source, f"{folder}/out", f"{folder}/cp").awaitTermination()
     run()
     late.write.mode("append").parquet(f"{folder}/in")
     run()
-    got = live.newest_versions(spark, f"{folder}/out", ["station_id", "bucket_start"])
+    got = live.partials_so_far(spark, f"{folder}/out")
     peak = got.agg(F.max("temp_c__max")).first()[0]
     assert peak == 21.0 and daily_rollup(rows.unionByName(late), stations).agg(F.max("temp_max")).first()[0] == 50.0
