@@ -37,9 +37,13 @@ def circular_mean(deg: Column) -> Column:
     return bearing(F.avg(east_part(deg)), F.avg(north_part(deg)))
 
 
+def whole_degrees(mean: Column) -> Column:
+    """A bearing in whole degrees in [0, 360)."""
+    return (js_round(mean, 0) % F.lit(360.0)).cast("int")
+
+
 def circular_mean_int(deg: Column) -> Column:
-    """Whole degrees in [0, 360)."""
-    return (js_round(circular_mean(deg), 0) % F.lit(360.0)).cast("int")
+    return whole_degrees(circular_mean(deg))
 
 
 def sector_index(deg: Column, sectors: int) -> Column:

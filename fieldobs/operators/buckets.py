@@ -28,6 +28,42 @@ def bucket_6h(readings: DataFrame, stations: DataFrame, metrics: Iterable[str])
     return with_6h_labels(rows)
 
 
+def partial_mean(metric: str) -> Column:
+    """``bucket_mean`` over quarter-hour partials."""
+    if metric == "wind_dir":
+        n = F.nullif(F.sum("wind_n"), F.lit(0))
+        mean = wind.bearing(F.sum("wind_east") / n, F.sum("wind_north") / n)
+        return wind.whole_degrees(mean).alias(metric)
+    return js_round(F.sum(f"{metric}__sum") / F.nullif(F.sum(f"{metric}__n"), F.lit(0)), 1).alias(metric)
+
+
+def _local_partials(partials: DataFrame, stations: DataFrame) -> DataFrame:
+    """Partials on the station's clock: every zone's offset is whole quarter hours, so none straddles an hour."""
+    return scan.with_local_time(partials.withColumn("observed_at", F.col("bucket_start").cast("timestamp_ntz")).drop("bucket_start"), stations)
+
+
+def bucket_6h_from_partials(partials: DataFrame, stations: DataFrame, metrics: Iterable[str]) -> DataFrame:
+    """``bucket_6h`` from a live table of partials, without its readings: at most 24 rows a bucket."""
+    start = clock.six_hour_start(F.col("local_ts"))
+    rows = (_local_partials(partials, stations).groupBy("station_id", start.alias("bucket_start"))
+            .agg(*[partial_mean(m) for m in metrics]))
+    return with_6h_labels(rows)
+
+
+def bucket_daily_from_partials(partials: DataFrame, stations: DataFrame, metrics: Iterable[str]) -> DataFrame:
+    """``bucket_daily`` from partials."""
+    return (_local_partials(partials, stations).groupBy("station_id", F.col("local_day").alias("day"))
+            .agg(*[partial_mean(m) for m in metrics]).withColumn("label", text.axis_day(F.col("day"))))
+
+
+def hourly_wind_from_partials(partials: DataFrame, stations: DataFrame) -> DataFrame:
+    """``hourly_wind_direction`` from partials."""
+    return (_local_partials(partials.where("wind_n > 0"), stations)
+            .groupBy("station_id", clock.hour_start(F.col("local_ts")).alias("hour_start"))
+            .agg(partial_mean("wind_dir").alias("direction"))
+            .withColumn("label", text.hour_label(F.col("hour_start"))))
+
+
 def with_6h_labels(rows: DataFrame) -> DataFrame:
     start = F.col("bucket_start")
     label, day = text.hour_label(start), text.weekday_day(start)

@@ -98,7 +98,8 @@ PARTIAL_MINUTES = 15
 
 def partial_aggregates() -> list[Column]:
     aggs = []
-    for src in dict.fromkeys(src for src, _ in MEANS.values()):
+    # Chart points are means of any of these, also of those the rollup takes the peak of.
+    for src in dict.fromkeys(src for src, _ in (*MEANS.values(), *PEAKS.values())):
         aggs += [F.sum(F.col(src).cast("double")).alias(f"{src}__sum"), F.count(src).alias(f"{src}__n")]
     for src in dict.fromkeys(src for src, _ in PEAKS.values()):
         aggs.append(F.max(src).alias(f"{src}__max"))

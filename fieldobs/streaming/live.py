@@ -26,14 +26,15 @@ from fieldobs.sources.tables import LANDING
 WATERMARK = "2 hours"
 
 
-def _run(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+def _run(writer: DataStreamWriter, checkpoint: str, every: str | None, name: str | None = None) -> StreamingQuery:
     """Start a writer: continuously, a micro-batch ``every`` so often, or once over what is there."""
+    writer = writer.queryName(name) if name else writer
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def admitted(reader: DataStreamReader, max_files: int | None = None, max_bytes: str | int | None = None) -> DataStreamReader:
-    """Limit what one micro-batch of a file source takes, by files or by bytes (like ``"2g"``).
+def admitted(reader: DataStreamReader, max_files: int | None = None, max_bytes: int | None = None) -> DataStreamReader:
+    """Limit what one micro-batch of a file source takes, by files or by bytes.
 
     A backlog, as after an outage, is then worked off in batches of a size the cluster is made for, oldest files first.
     """
@@ -45,7 +46,7 @@ def admitted(reader: DataStreamReader, max_files: int | None = None, max_bytes:
 
 
 def landed_payloads(spark: SparkSession, folder: str, max_files: int | None = None,
-                    max_bytes: str | int | None = None) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """Payload files as they land; every micro-batch takes the files new since the last, up to the limit given.
 
     A line that is no JSON comes as a payload without a source, which goes to quarantine.
@@ -95,9 +96,11 @@ def tumbling_15m(readings: DataFrame) -> DataFrame:
             .withColumn("bucket_start", F.col("window.start")).drop("window"))
 
 
-def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None = None,
+              name: str | None = None) -> StreamingQuery:
+    """Append the stream's rows to a parquet table, each once. ``name`` is what ``accounts`` knows the stream by."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", table)
-    return _run(writer, checkpoint, every)
+    return _run(writer, checkpoint, every, name)
 
 
 def _keyed(stream: DataFrame, store: KeyedStore, checkpoint: str, every: str | None) -> StreamingQuery:

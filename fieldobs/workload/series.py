@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldobs.functions import clock
 from fieldobs.functions.wind import compass
 from fieldobs.operators import buckets, daily, latest, scan, sunshine
-from fieldobs.plans import timewin
+from fieldobs.plans import sqlfunctions, timewin
 from fieldobs.schema import DAILY_COLUMNS
 from fieldobs.workload import sql as S
 from fieldobs.workload.adapters import AS_OF, DAILY_AS_OF, Tables
@@ -325,3 +325,40 @@ def feels_like(t: Tables) -> DataFrame:
 @query("latest_per_station", S.select([S.READINGS, S.latest(S.READING_COLUMNS)], "SELECT * FROM latest"))
 def latest_per_station(t: Tables) -> DataFrame:
     return latest.latest_per_station(t.readings, AS_OF)
+
+
+@query("readings_daily_sql", S.select([*BASE, S.rollup("observed_at >= TIMESTAMP '2024-01-10 07:30:00'")],
+                                      f"SELECT {S.DAILY_LIST} FROM rollup WHERE station_id = 7"))
+def readings_daily_sql(t: Tables) -> DataFrame:
+    """One station's days by the SQL table function."""
+    sqlfunctions.register(t.spark, t.readings, t.stations, ("sql_readings", "sql_stations"))
+    return t.spark.sql("SELECT 7L AS station_id, * FROM readings_daily(7, TIMESTAMP_NTZ'2024-01-10 07:30:00')").select(*DAILY_COLUMNS)
+
+
+@query("rollup_days_sql", S.select([*BASE, S.rollup()], f"SELECT {S.DAILY_LIST} FROM rollup"))
+def rollup_days_sql(t: Tables) -> DataFrame:
+    sqlfunctions.register(t.spark, t.readings, t.stations, ("sql_readings", "sql_stations"))
+    return t.spark.sql("SELECT * FROM rollup_days(TIMESTAMP_NTZ'1970-01-01 00:00:00')").select(*DAILY_COLUMNS)
+
+
+@query("partials_6h", S.select([*BASE, f"""six AS (
+  SELECT station_id, {_SIX} AS bucket_start, {_means} FROM loc GROUP BY station_id, {_SIX})"""],
+    f"SELECT *, {_SIX_LABELS} FROM six"))
+def partials_6h(t: Tables) -> DataFrame:
+    """Six-hour chart points from quarter-hour partials."""
+    return buckets.bucket_6h_from_partials(daily.quarter_hour_partials(t.readings), t.stations, METRICS)
+
+
+@query("partials_daily", S.select(BASE, f"""
+SELECT station_id, local_day AS day, {_means}, strftime(local_day, '%b %-d') AS label
+FROM loc GROUP BY station_id, local_day"""))
+def partials_daily(t: Tables) -> DataFrame:
+    return buckets.bucket_daily_from_partials(daily.quarter_hour_partials(t.readings), t.stations, METRICS)
+
+
+@query("partials_hourly_wind", S.select(BASE, f"""
+SELECT station_id, date_trunc('hour', local_ts) AS hour_start, {S.circ_int('wind_dir')} AS direction,
+  strftime(date_trunc('hour', local_ts), '%H:00') AS label
+FROM loc WHERE wind_dir IS NOT NULL GROUP BY station_id, date_trunc('hour', local_ts)"""))
+def partials_hourly_wind(t: Tables) -> DataFrame:
+    return buckets.hourly_wind_from_partials(daily.quarter_hour_partials(t.readings), t.stations)

@@ -203,3 +203,63 @@ def network_compare(t: Tables) -> DataFrame:
     asked = t.spark.createDataFrame([(3,), (7,), (24,), (99,)], "station_id long")
     rows = _network(t).compare_stations(asked, AS_OF, "30d")
     return rows.select("station_id", "name", "day", "temp_avg", "sunshine_hours")
+
+
+_NEW = 99
+
+
+def _with_new_station(t: Tables) -> DataFrame:
+    """The stations and one more, which never reported."""
+    added = t.stations.where("station_id = 7").withColumn("station_id", F.lit(_NEW).cast("long")).withColumn("name", F.lit("New"))
+    return t.stations.unionByName(added)
+
+
+@query("network_overview_stores", S.select([S.STATIONS, S.READINGS, f"""newest AS (
+  SELECT station_id, observed_at, temp_c FROM readings WHERE observed_at <= {_AS_OF} AND NOT ({_SILENT})
+  QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC) = 1)""",
+    f"known AS (SELECT station_id FROM stations UNION ALL SELECT {_NEW})"], """
+SELECT cast(k.station_id AS bigint) AS station_id, n.observed_at, n.temp_c FROM known k LEFT JOIN newest n ON n.station_id = k.station_id"""))
+def network_overview_stores(t: Tables) -> DataFrame:
+    """The stores' own table of newest rows answers: two merges, one rollup between them, half of the stations silent,
+    one that never reported."""
+    raw, daily = _stores(t)
+    raw.merge(_batch(t, f"NOT ({_SILENT}) AND observed_at <= {_AS_OF} AND event_id % 3 = 0"), "event_id")
+    daily.merge(raw, t.stations)
+    raw.merge(_batch(t, f"NOT ({_SILENT}) AND observed_at <= {_AS_OF} AND event_id % 3 <> 0"), "event_id")
+    return Network.of_stores(_with_new_station(t), raw, daily).overview(AS_OF).select("station_id", "observed_at", "temp_c")
+
+
+@query("store_latest", S.select([S.READINGS], f"""
+SELECT {S.READING_COLUMNS} FROM readings WHERE observed_at >= TIMESTAMP '2024-01-15 00:00:00' AND station_id <> 5
+QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC) = 1"""))
+def store_latest(t: Tables) -> DataFrame:
+    """The table of newest rows after merges out of order, a prune and a delete."""
+    raw, daily = _stores(t)
+    raw.merge(_batch(t, "observed_at >= timestamp_ntz'2024-01-20' and event_id % 2 = 0"), "event_id")
+    raw.merge(_batch(t, "observed_at < timestamp_ntz'2024-01-20' or event_id % 2 = 1"), "event_id")
+    raw.prune(_PRUNED_AT, _RETENTION)
+    delete_stations(raw, daily, t.stations, t.stations.where("station_id = 5").select("station_id"))
+    return raw.latest().select(*READING_COLUMNS)
+
+
+_TAIL = "observed_at >= timestamp_ntz'2024-01-28' or event_id % 11 = 0"
+
+
+@query("network_live_tail", S.select([S.STATIONS, S.READINGS, S.LOCAL, S.rollup()], f"SELECT {S.DAILY_LIST} FROM rollup"))
+def network_live_tail(t: Tables) -> DataFrame:
+    """The rollup ran two days ago; rows since then, and late ones of any day, come from the raw store."""
+    raw, daily = _stores(t)
+    raw.merge(_batch(t, f"not ({_TAIL})"), "event_id")
+    daily.merge(raw, t.stations)
+    raw.merge(_batch(t, _TAIL), "event_id")
+    return Network.of_stores(t.stations, raw, daily).days(AS_OF).select(*DAILY_COLUMNS)
+
+
+@query("network_1y_behind", S.select([S.STATIONS, S.READINGS, S.LOCAL, S.rollup()], f"""
+SELECT {S.DAILY_LIST} FROM rollup WHERE station_id = {_STATION} AND day >= DATE '2023-01-30'"""))
+def network_1y_behind(t: Tables) -> DataFrame:
+    """Plain tables, the rollup two days behind and its last day half done."""
+    from fieldobs.operators.daily import daily_rollup
+
+    rollup = daily_rollup(t.readings.where("observed_at < timestamp_ntz'2024-01-28 12:00:00'"), t.stations)
+    return Network(t.stations, t.readings, rollup).station_readings(_STATION, AS_OF, "1y").data.select(*DAILY_COLUMNS)

@@ -11,7 +11,7 @@ from fieldobs.operators.daily import rollup_from_partials
 from fieldobs.schema import READING_COLUMNS, SOURCE_DEVICE, SOURCE_PWS
 from fieldobs.session import work_dir
 from fieldobs.sources.store import ReadingStore
-from fieldobs.streaming import live
+from fieldobs.streaming import accounts, alerts, live
 from fieldobs.workload import sql as S
 from fieldobs.workload.adapters import Tables
 from fieldobs.workload.collection import DEVICE_ROWS, PWS_ROWS, device_payloads, pws_payloads
@@ -116,3 +116,67 @@ def stream_ingest(t: Tables) -> DataFrame:
                          f"{folder}/quarantine").awaitTermination()
     return store.read().select("station_id", "observed_at", "temp_c", "humidity", "wind_dir", "feels_like_c",
                                "elevation")
+
+
+@query("stream_alerts", S.select([S.STATIONS, S.READINGS, """limits AS (
+  SELECT station_id, name, wunderground_id, created_at, CASE WHEN source = 'weathercloud' THEN 120 ELSE 30 END AS minutes FROM stations),
+seen AS (SELECT station_id, created_at AS told, false AS reported FROM limits
+  UNION SELECT station_id, observed_at, true FROM readings),
+gaps AS (SELECT s.*, minutes, name, wunderground_id, lead(s.told) OVER (PARTITION BY s.station_id ORDER BY s.told) AS next
+  FROM seen s JOIN limits l ON l.station_id = s.station_id),
+clock AS (SELECT max(observed_at) - INTERVAL 2 HOUR AS now FROM readings)"""], """
+SELECT station_id, 'silent' AS kind, told + to_minutes(minutes) AS "at", CASE WHEN reported THEN told END AS observed_at,
+  name || ' (' || wunderground_id || '): no data in last ' || minutes || ' minutes' AS issue
+FROM gaps WHERE coalesce(next, (SELECT now FROM clock)) > told + to_minutes(minutes)
+UNION ALL
+SELECT station_id, 'returned', next, CASE WHEN reported THEN told END, NULL FROM gaps WHERE next > told + to_minutes(minutes)"""))
+def stream_alerts(t: Tables) -> DataFrame:
+    """Every silence of every station, by event time; those at the end of the file fire without a reading."""
+    folder = work_dir(t.spark, "stream-alerts")
+    found = alerts.silence_alerts(_readings(t), t.stations, by_event_time=True)
+    live.append_to(found, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows")
+
+
+_CUT = "2024-01-20 00:00:00"
+
+
+@query("stream_accounting", S.select([S.READINGS, f"""first AS (SELECT * FROM readings WHERE observed_at >= TIMESTAMP '{_CUT}'),
+clock AS (SELECT date_trunc('milliseconds', max(observed_at)) - INTERVAL 2 HOUR AS now FROM first),
+counts AS (SELECT 2 * (SELECT count(*) FROM first) + (SELECT count(*) FROM readings) AS landed,
+  (SELECT count(*) FROM readings, clock WHERE observed_at <= now) AS late,
+  (SELECT count(*) FROM first) + (SELECT count(*) FROM first, clock WHERE observed_at > now) AS duplicates)"""], """
+SELECT landed, cast(landed - late - duplicates AS bigint) AS kept, duplicates, late,
+  cast(landed - late - duplicates AS bigint) AS written FROM counts"""))
+def stream_accounting(t: Tables) -> DataFrame:
+    """The newer readings, the same again, then all there are: what comes again is a duplicate or too late, and every row
+    is accounted for. (Spark takes a row as late by the watermark of the micro-batch before.)"""
+    folder = work_dir(t.spark, "stream-accounting")
+    rows = t.readings
+    newer = rows.where(F.col("observed_at") >= F.lit(_CUT).cast("timestamp_ntz"))
+    for part in (newer, newer, rows):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = live.admitted(t.spark.readStream.schema(rows.schema), max_files=1).parquet(f"{folder}/in")
+    listener = accounts.Accounts(t.spark, f"{folder}/accounts", {folder})
+    t.spark.streams.addListener(listener)
+    query = live.append_to(live.redelivery_free(source), f"{folder}/rows", f"{folder}/checkpoint", name=folder)
+    query.awaitTermination()
+    listener.settled(query)
+    t.spark.streams.removeListener(listener)
+    written = t.spark.read.parquet(f"{folder}/rows").agg(F.count("*").alias("written"))
+    return accounts.totals(t.spark, f"{folder}/accounts").drop("query").join(written)
+
+
+@query("stream_ingest_backlog", S.select([S.READINGS, PWS_ROWS], """
+SELECT cast(station_id AS varchar) AS station_id, observed_at, temp_c, humidity, wind_dir, feels_like_c, elevation FROM pws"""))
+def stream_ingest_backlog(t: Tables) -> DataFrame:
+    """Three files that waited are worked off one a micro-batch, with the rows one batch would give."""
+    folder = work_dir(t.spark, "stream-backlog")
+    rows = pws_payloads(t).select(F.col("station_id").cast("string").alias("station_id"), F.lit(SOURCE_PWS).alias("source"),
+                                  F.col("event_id").alias("ingest_seq"), "payload")
+    for part in range(3):
+        rows.where(F.col("ingest_seq") % 3 == part).coalesce(1).write.mode("append").json(f"{folder}/landing")
+    store = ReadingStore(t.spark, f"{folder}/store")
+    payloads = live.landed_payloads(t.spark, f"{folder}/landing", max_files=1)
+    live.ingest_to_store(payloads, store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().select("station_id", "observed_at", "temp_c", "humidity", "wind_dir", "feels_like_c", "elevation")

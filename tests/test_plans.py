@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
-from fieldobs.operators import compare, daily, latest, maintenance, scan, summary, sunshine
+from fieldobs.operators import compare, daily, ingest, latest, maintenance, scan, summary, sunshine
 from fieldobs.plans.requests import Network
 from fieldobs.plans.timewin import Period
 from fieldobs.schema import READING_COLUMNS
@@ -174,3 +174,11 @@ def test_older_readings_are_not_scanned_without_silent_stations(stored):
     assert len(rows.collect()) == 15
     final = plan(rows, "simple").split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final and final.count("FileScan") == 1 and "Union" not in final
+
+
+def test_a_payload_is_parsed_once(spark):
+    """One ``from_json`` in the plans of accepted and of rejected payloads."""
+    rows = spark.createDataFrame([("s", "x", 1, "{}")], "station_id string, source string, ingest_seq long, payload string")
+    for made in (ingest.ingest_pws(rows), ingest.ingest_device(rows), ingest.rejected_pws(rows), ingest.rejected_device(rows)):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert text.count("from_json") == 1, text
