@@ -32,8 +32,9 @@ class Network:
     """Stations, raw readings and the daily rollup, asked as of an instant.
 
     Stores also tell each station's newest row (``last_seen``), the (station_id, obs_date) merged
-    since the rollup ran (``touched``), and since when the raw rows are whole (``horizon``).
-    Plain tables without them give the same answers from more reading.
+    since the rollup ran (``touched``), and since when the raw rows are whole (``horizon``). From
+    plain tables latest rows take more reading, and long ranges end with the rollup, unless
+    ``live_tail`` asks for the days after each station's last rolled one.
     """
 
     stations: DataFrame
@@ -42,6 +43,7 @@ class Network:
     last_seen: DataFrame | None = None
     touched: DataFrame | None = None
     horizon: dt.datetime | None = None
+    live_tail: bool = False
 
     def __post_init__(self) -> None:
         use_utc(self.stations.sparkSession)
@@ -59,6 +61,8 @@ class Network:
         """The rollup with its live tail, as the nightly job would leave it now: days that it has not taken in yet
         come from the raw rows."""
         stored, stations = scan.of_stations(self.daily, station_ids), scan.of_stations(self.stations, station_ids)
+        if self.touched is None and not self.live_tail:
+            return stored
         raw = scan.of_stations(self.readings, station_ids)
         touched = (maintenance.behind(stored, raw, stations) if self.touched is None
                    else scan.of_stations(self.touched, station_ids))

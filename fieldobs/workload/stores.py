@@ -262,4 +262,5 @@ def network_1y_behind(t: Tables) -> DataFrame:
     from fieldobs.operators.daily import daily_rollup
 
     rollup = daily_rollup(t.readings.where("observed_at < timestamp_ntz'2024-01-28 12:00:00'"), t.stations)
-    return Network(t.stations, t.readings, rollup).station_readings(_STATION, AS_OF, "1y").data.select(*DAILY_COLUMNS)
+    net = Network(t.stations, t.readings, rollup, live_tail=True)
+    return net.station_readings(_STATION, AS_OF, "1y").data.select(*DAILY_COLUMNS)
