@@ -1,30 +1,29 @@
 """Scoring documents by prediction by partial matching, trained on the corpus itself.
 
-A text is a sequence of words and one end. The context trie is path-compressed at its two deep
-anchors, and each level is left by an escape whose weight is estimated from the counts:
+A text is a sequence of words and one end; its bytes run from word to word (``bytecontexts``). The
+trie of byte contexts is path-compressed at one deep anchor:
 
 1. phrases: a run of words up to one whose hash is a multiple of ``phrase_words``, so that the
-   words alone decide where it ends. A phrase known from training is one symbol.
-2. words known from training (and the end), as one symbol each.
-3. bytes: contexts of up to ``order`` bytes within the word, from ``ppm``; escapes by method D,
-   full symbol exclusion. Only words unknown to level 2 get here, so its counts are of distinct
-   words, and all known words are excluded: their whole mass is taken out of the choice.
+   words alone decide where it ends. A phrase that training has elsewhere is one symbol: of V distinct ones, seen c
+   times of N, it weighs (c - D) / (N - D V), with D = n1 / (n1 + 2 n2) from those seen once and twice. The escape to
+   its bytes begins at D V / N and adapts to how often the text at hand has escaped. A training document's own phrases
+   are taken out of c, N and V first, so it does not vouch for itself; what it shares with others, it is scored by.
+2. bytes: contexts of up to ``ORDER`` bytes over the running text, counted by occurrence in all training
+   documents, with estimated escapes and full symbol exclusion. Here a training document's own bytes are in the counts.
 
-On levels 1 and 2 a symbol seen c times of N weighs (c - D) / N and the escape D * distinct / N,
-where D = n1 / (n1 + 2 n2) follows from the symbols seen once and twice. Known phrases are not
-taken out of level 2 (their mass there is next to nothing), so the model's probabilities sum to
-a little less than one, never more.
+All probabilities of texts sum to one at most.
 
 How it runs. Documents are packed into bundles of about ``bundle_bytes`` of text, one compressed
-row each, in the shared folder. Every bundle asks for its distinct words and phrases only; one
-shuffle by key sums their training counts over all bundles; the answers go back to the bundle.
-The byte trie is cut by the last two bytes of the context: contexts that share them lie in one
-shard, and only the levels of no and one byte (at most 2**16 counts) reach every task. So nothing
-that grows with the corpus is broadcast or collected, and no task holds more than a bundle, its
-distinct words, or a shard.
+row each, in the shared folder. Every bundle asks for its distinct byte codes, words and phrases only, as numbers
+(words and phrases by 64-bit hash): per shard of the keys one row with all of them. One shuffle brings the rows of a
+shard together, where their training counts are summed while they stream by, in groups of ``group`` bundles first,
+so that no task reads all bundles of a frequent context. Contexts that end in the same two bytes lie in one shard;
+only the levels of no and one byte (at most 2**16 counts) and the classes of escapes reach every
+task. A second shuffle takes the answers, in the order of the questions, back to the bundles. So nothing that grows
+with the corpus is broadcast or collected, and no task holds more than a bundle, or the distinct keys of a shard.
 
 Defined cases: a null or empty text is one end token; repeated rows count and are scored each;
-without any training document only the end and the uniform byte model are left; an empty
+without any training document only the uniform byte model is left; an empty
 table gives no rows; other columns are ignored. Only A-Z are lower-cased.
 """
 
@@ -41,16 +40,19 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldobs.llm import ppm
-from fieldobs.llm.common import staged, text_bytes
+from fieldobs.llm import bytecontexts as bc
+from fieldobs.llm.common import blocks_for, lean, staged, text_bytes
 
 END = b""
+CODE, WORD, PHRASE = range(3)
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
-
+# Keys ascend; counts are those of training documents, 0 for keys only asked for.
+KEYS = "kind int, shard int, grp int, bundle long, keys binary, counts binary"
+MERGED = "kind int, shard int, keys binary, counts binary, n long, v long, n1 long, n2 long"
+ANSWERS = "bundle long, kind int, shard int, answer binary"
 
 def bundles(docs: DataFrame, held_out: Column, bundle_bytes: int) -> DataFrame:
     """(bundle, blob): the documents as compressed Arrow streams of about ``bundle_bytes`` of text."""
@@ -83,174 +85,313 @@ def bundles(docs: DataFrame, held_out: Column, bundle_bytes: int) -> DataFrame:
     return read.mapInArrow(run, "bundle long, blob binary")
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, behind their number."""
+    raw = np.diff(keys, prepend=np.zeros(1, np.int64)).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(blob[8:], 8 * n, "zstd", asbytes=True), np.int64))
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), "<i8")
+
+
 class Bundle:
-    """One bundle's documents, cut into words and phrases; keys are numbered in sorted order."""
+    """One bundle's documents as numbers: bytes in context, words, phrases."""
 
     def __init__(self, blob: bytes, phrase_words: int):
         table = pa.ipc.open_stream(blob).read_all()
         self.doc_ids = table.column("doc_id").to_pandas(types_mapper=pd.ArrowDtype)
-        self.held_out = table.column("held_out").to_pylist()
-        self.words = [text.lower().split() for text in table.column("text").to_pylist()]
-        distinct = set().union(*self.words)
-        self.stops = {w for w in distinct if not zlib.crc32(w) % phrase_words}
-        distinct.add(END)
-        self.keys = sorted(distinct)
-        self.phrases = [self._phrases(words) for words in self.words]
-
-    def _phrases(self, words: list[bytes]) -> tuple[list[bytes], list[int]]:
-        """Keys of a document's phrases and where each ends; no word holds the space they begin with."""
-        stops = self.stops
-        ends = [i + 1 for i, w in enumerate(words) if w in stops]
-        starts = [0, *ends]
-        ends.append(len(words))
-        digest = xxhash.xxh3_128_digest
-        keys = [b" " + digest(b" ".join(words[a:b])) for a, b in zip(starts, ends)]
-        keys[-1] += b"."  # the last one ends with the text
-        return keys, ends
-
-    def counts(self) -> tuple[list[bytes], list[int]]:
-        """All keys of the bundle with their occurrences in training documents."""
-        seen, phrases, other = Counter(), Counter(), set()
-        for words, (keys, _), held_out in zip(self.words, self.phrases, self.held_out):
-            if held_out:
-                other.update(keys)
-            else:
-                seen.update(words)
-                seen[END] += 1
-                phrases.update(keys)
-        more = sorted(other.union(phrases))
-        return self.keys + more, [seen[k] for k in self.keys] + [phrases[k] for k in more]
-
-
-def asked(packed: DataFrame, phrase_words: int) -> DataFrame:
-    """(bundle, at, key, n): each bundle's distinct keys, numbered, with its own training counts."""
+        self.held_out = np.array(table.column("held_out").to_pylist(), bool)
+        number: dict[bytes, int] = {END: 0}
+        stops: dict[bytes, bool] = {}
+        before, text, words, phrases, cuts = bytes([bc.END]) * bc.ORDER, [], [], [], []
+        digest = xxhash.xxh3_64_intdigest
+        for raw in table.column("text"):
+            own = raw.as_py().lower().split()
+            words.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+            for w in set(own).difference(stops):
+                stops[w] = not zlib.crc32(w) % phrase_words
+            ends = [i + 1 for i, w in enumerate(own) if stops[w]]
+            starts = [0, *ends]
+            ends.append(len(own))
+            parts = [b" ".join(own[a:b]) for a, b in zip(starts, ends)]
+            # The last one ends with the text; the bytes of each include what separates it from the next.
+            phrases.append(np.array([digest(p) for p in parts[:-1]] + [digest(parts[-1] + b"\n")], np.uint64).view(np.int64))
+            line = b" ".join(own)
+            sizes = np.array([len(p) + 1 for p in parts])
+            if len(parts) > 1 and not parts[-1]:
+                sizes[-2:] += [-1, 0]  # nothing follows the last stop word but the end
+            cuts.append(np.cumsum(sizes))
+            text += [before, line, b"\n"]
+        self.words, self.phrases, self.cuts = words, phrases, cuts
+        raw = np.frombuffer(b"".join(text), np.uint8)
+        self.sizes = np.array([len(line) + 1 for line in text[1::3]], np.int64)
+        starts = np.cumsum(self.sizes + bc.ORDER) - self.sizes - bc.ORDER
+        skipped = np.zeros(len(raw) + 1, np.int32)
+        skipped[starts] += 1
+        skipped[starts + bc.ORDER] -= 1
+        codes = bc.codes_of(raw)
+        self.codes = codes[np.cumsum(skipped[:-1])[bc.ORDER:] == 0]
+        self.word_keys = np.fromiter((digest(w) for w in number), np.uint64, len(number)).view(np.int64)
+
+    def trained(self) -> np.ndarray:
+        return np.repeat(~self.held_out, self.sizes)
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of a kind in order, with their occurrences in training documents."""
+        if kind == CODE:
+            keys = np.sort(self.codes)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            seen = np.sort(self.codes[self.trained()])
+            keys = keys[first]
+            return keys, np.searchsorted(seen, keys, "right") - np.searchsorted(seen, keys)
+        if kind == WORD:
+            ids = [w for w, held in zip(self.words, self.held_out) if not held]
+            counts = np.bincount(np.concatenate(ids), minlength=len(self.word_keys)) if ids else np.zeros(len(self.word_keys), np.int64)
+            counts[0] += len(ids)  # the end of every text
+            return bc.summed(self.word_keys, counts)
+        every = np.concatenate(self.phrases)
+        counts = np.repeat(~self.held_out, [len(p) for p in self.phrases]).astype(np.int64)
+        return bc.summed(every, counts)
+
+
+def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+    return bc.shard_of(keys, shards) if kind == CODE else (keys >> 7) % shards
+
+
+def by_shard(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys together by shard, and where each shard begins in it."""
+    own = shard_of(kind, keys, shards)
+    return np.argsort(own, kind="stable"), np.searchsorted(np.sort(own), np.arange(shards + 1))
+
+
+def asked(packed: DataFrame, phrase_words: int, shards: int, group: int) -> DataFrame:
+    """Each bundle's distinct keys by kind and shard, with its own training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("bundle").to_pylist(), batch.column("blob")):
-                keys, n = Bundle(blob.as_buffer(), phrase_words).counts()
-                for at in range(0, len(keys), 50_000):
-                    part = keys[at:at + 50_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(part), number)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                        pa.array(part, pa.binary()), pa.array(n[at:at + 50_000], pa.int64())], ["bundle", "at", "key", "n"])
-
-    return packed.mapInArrow(run, "bundle long, at int, key binary, n long")
+                bundle = Bundle(blob.as_buffer(), phrase_words)
+                for kind in (CODE, WORD, PHRASE):
+                    keys, counts = bundle.keys(kind)
+                    order, begins = by_shard(kind, keys, shards)
+                    rows = []
+                    for shard in range(shards):
+                        at = order[begins[shard]:begins[shard + 1]]
+                        if len(at):
+                            rows.append((kind, shard, zlib.crc32(str(number).encode()) % max(group, 1), number,
+                                         packed_keys(keys[at]), packed_counts(counts[at])))
+                    yield _rows(rows, KEYS)
 
+    return packed.mapInArrow(lean(run), KEYS)
 
-def answered(asked_keys: DataFrame) -> DataFrame:
-    """The asked keys with ``c``, the training count over all bundles, and ``first``, true on one row a key."""
-    by_key = W.partitionBy("key")
-    return asked_keys.withColumn("first", F.row_number().over(by_key.orderBy("bundle")) == 1).withColumn(
-        "c", F.sum("n").over(by_key)).withColumn("phrase", F.startswith(F.col("key"), F.lit(b" ")))
 
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
-def _codes(words: list[bytes], order: int) -> np.ndarray:
-    return np.unique(ppm.word_codes(words, order)[0])
 
+class _Sum:
+    """Counts by key, summed while they stream by."""
 
-def word_bits(words: DataFrame, order: int, block_words: int = 200_000, shards: int = 512) -> DataFrame:
-    """(key, c) of distinct words to (key, c, bits): the byte trie's code length of every word."""
-    n_words = words.count()
-    blocks = max(1, -(-n_words // block_words))
-    blocked = staged(words.select("key", "c", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
-                     .repartition(blocks, "block"), "ppm-words")
+    def __init__(self, most: int = 2_000_000):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, most
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for trained, part in batch.groupby(batch["c"] > 0):
-                codes, n = np.unique(ppm.word_codes(part["key"].tolist(), order)[0], return_counts=True)
-                yield pd.DataFrame({"code": codes, "n": n * int(trained)})
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.held += len(keys)
+        if self.held > self.most + 2 * len(self.parts[0][0]):
+            self.result()
 
-    def requests(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": key[0], "code": _codes(frame["key"].tolist(), order)})
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = bc.summed(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.parts, self.held = [(keys, counts)], len(keys)
+        return keys, counts
 
-    # Every code that occurs, with its count over distinct training words (0: only asked for).
-    counted = staged(blocked.mapInPandas(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ppm-grams")
-    low = counted.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toPandas()
-    low_codes, low_counts = low["code"].to_numpy(np.int64), low["n"].to_numpy(float)
 
-    def costs(frame: pd.DataFrame) -> pd.DataFrame:
-        codes = frame["code"].to_numpy()
-        trie = ppm.Trie(codes, frame["n"].to_numpy(float), order, (low_codes, low_counts))
-        return pd.DataFrame({"code": codes, "bits": trie.cost(codes)})
+def merged(rows: DataFrame, by: list[str], partitions: int) -> DataFrame:
+    """One row per kind, shard (and group) with all keys that occur in training, and their figures."""
+    schema = KEYS + ", n long, v long, n1 long, n2 long"
 
-    shard = F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(0xFFFF)), F.lit(shards))
-    costed = counted.groupBy(shard).applyInPandas(costs, "code long, bits double")
-    wanted = blocked.groupBy("block").applyInPandas(requests, "block long, code long")
-    told = wanted.join(costed, "code")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, _Sum()
 
-    def add(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        told = told.sort_values("code")
-        codes, starts = ppm.word_codes(words["key"].tolist(), order)
-        bits = told["bits"].to_numpy()[np.searchsorted(told["code"].to_numpy(), codes)]
-        return pd.DataFrame({"key": words["key"], "c": words["c"], "bits": np.add.reduceat(bits, starts) if len(starts) else []})
+        def close() -> pa.RecordBatch:
+            keys, counts = total.result()
+            keys, counts = keys[counts > 0], counts[counts > 0]
+            return _rows([(*now, -1, packed_keys(keys), packed_counts(counts), int(counts.sum()), len(keys),
+                           int((counts == 1).sum()), int((counts == 2).sum()))], schema)
 
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(add, "key binary, c long, bits double")
+        for batch in batches:
+            for kind, shard, grp, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("kind", "shard", "grp", "keys", "counts")]):
+                if now != (kind, shard, grp):
+                    if now is not None:
+                        yield close()
+                    now, total = (kind, shard, grp), _Sum()
+                keys = unpacked_keys(keys)
+                total.add(keys, unpacked_counts(counts, len(keys)))
+        if now is not None:
+            yield close()
+
+    if "grp" not in by:
+        rows = rows.withColumn("grp", F.lit(0))
+    together = rows.repartition(partitions, *by).sortWithinPartitions("kind", "shard", "grp")
+    return together.select("kind", "shard", "grp", "bundle", "keys", "counts").mapInArrow(lean(run), schema)
+
+
+def evidence(tables: DataFrame) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
+    """What escapes are estimated from, by level, and the counts of byte pairs: both of bounded size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                keys = unpacked_keys(keys)
+                counts = unpacked_counts(counts, len(keys))
+                rows = [(-1, int(k), float(n), 0.0) for k, n in zip(*bc.pairs(keys, counts))]
+                for level, (novel, seen) in enumerate(bc.Trie(keys, counts).evidence()):
+                    if level > 1:  # shorter contexts are not whole in a shard
+                        rows += [(level, int(c), float(novel[c]), float(seen[c])) for c in np.flatnonzero(novel + seen)]
+                yield _rows(rows, schema)
+
+    schema = "level int, class long, novel double, seen double"
+    sums = tables.where(F.col("kind") == CODE).select("keys", "counts").mapInArrow(lean(run), schema).groupBy("level", "class").agg(
+        F.sum("novel").alias("novel"), F.sum("seen").alias("seen")).orderBy("level", "class").toArrow().to_pandas()
+    pair = sums[sums["level"] == -1]
+    low = pair["class"].to_numpy(np.int64), pair["novel"].to_numpy()
+    found = bc.Trie(np.empty(0, np.int64), np.empty(0), low=low).evidence()
+    for level in range(2, bc.ORDER + 1):
+        part, (novel, seen) = sums[sums["level"] == level], found[level]
+        novel[part["class"]], seen[part["class"]] = part["novel"], part["seen"]
+    return found, low
+
+
+def answered(keys: DataFrame, tables: DataFrame, told: list, low: tuple, groups: int, partitions: int) -> DataFrame:
+    """Per bundle, kind and shard the answers to its keys in their order: log10 costs of codes, counts of others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = bc.escapes(told)
+        table, values, trie = np.empty(0, np.int64), np.empty(0), None
+        now = None
+        for batch in batches:
+            rows = []
+            for kind, shard, grp, bundle, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("kind", "shard", "grp", "bundle", "keys", "counts")]):
+                keys = unpacked_keys(keys)
+                if now != (kind, shard, grp):  # the table comes first, if training has any key of the shard
+                    now, table, values = (kind, shard, grp), np.empty(0, np.int64), np.empty(0)
+                    mine = bundle == -1
+                    if mine:
+                        table, values = keys, unpacked_counts(counts, len(keys)).astype(float)
+                    if kind == CODE:
+                        trie = bc.Trie(table, values, low=low)
+                        values = trie.cost(table, weights)
+                    if mine:
+                        continue
+                at, there = bc._at(table, keys)
+                answer = np.where(there, values[at], 0.0) if len(table) else np.zeros(len(keys))
+                if kind == CODE and not there.all():
+                    answer[~there] = trie.cost(keys[~there], weights)
+                rows.append((bundle, kind, shard, answer.astype("<f4" if kind == CODE else "<f8").tobytes()))
+            yield _rows(rows, ANSWERS)
+
+    every = tables.drop("grp").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    columns = ["kind", "shard", "grp", "bundle", "keys", "counts"]
+    together = keys.select(*columns).unionByName(every.select(*columns)).repartition(partitions, "kind", "shard", "grp")
+    return together.sortWithinPartitions("kind", "shard", "grp", "bundle").mapInArrow(lean(run), ANSWERS)
 
 
 def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 4, phrase_words: int = 16,
-          bundle_bytes: int = 16 << 20) -> DataFrame:
+def phrase_logs(keys: np.ndarray, counts: np.ndarray, trained: bool, figures: dict, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weights of a document's phrases in turn, and which of them escape to their bytes; without the document itself.
+
+    The first escape is weighed by the corpus, which counts for ``prior`` phrases of the text.
+    """
+    d, n, v = _discount(figures["n1"], figures["n2"]), figures["n"], figures["v"]
+    if trained:
+        own = Counter(keys.tolist())
+        mine = np.array([own[k] for k in keys.tolist()])
+        n -= len(keys)
+        v -= len({k for k, c in zip(keys.tolist(), counts - mine) if c == 0})
+        counts = counts - mine
+    unknown = counts <= 0
+    if n <= 0:
+        return np.zeros(len(keys)), unknown
+    before = np.arange(len(keys))
+    escape = (np.cumsum(unknown) - unknown + prior * d * v / n) / (before + prior)
+    known = (1 - escape) * np.where(unknown, 1.0, counts - d) / (n - d * v)
+    return np.log10(np.where(unknown, escape, known)), unknown
+
+
+def score(docs: DataFrame, held_out: Column, phrase_words: int = 16, bundle_bytes: int = 8 << 20,
+          shards: int | None = None, group: int = 1024) -> DataFrame:
     """Score every document of ``docs`` (doc_id, text), learning from those not ``held_out``.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and
-    score, both log10 probabilities of the whole text.
+    score, both log10 probabilities of the whole text. ``shards`` (by default one for 64 MB of text, 32 to 4096) and
+    ``group`` settle how the work is cut, not the result.
     """
     packed = staged(bundles(docs, held_out, bundle_bytes), "lm-bundles")
-    keys = staged(answered(asked(packed, phrase_words)), "lm-keys")
-    once = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)]
-    figures = {r["phrase"]: r for r in keys.where("first and c > 0").groupBy("phrase").agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), *once).collect()}
+    size = packed.agg(F.count("*").alias("n")).first()["n"]
+    groups = blocks_for(size, group)
+    shards = shards or min(max(blocks_for(size * bundle_bytes, 64 << 20), 32), 4096)
+    partitions = 2 * shards
+    keys = staged(asked(packed, phrase_words, shards, groups), "lm-keys")
+    parts = merged(keys, ["kind", "shard", "grp"], partitions)
+    tables = staged(merged(parts.drop("n", "v", "n1", "n2"), ["kind", "shard"], partitions), "lm-tables")
+    figures = {r["kind"]: r.asDict() for r in tables.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).collect()}
     none = {"n": 0, "v": 0, "n1": 0, "n2": 0}
-    word, phrase = figures.get(False, none), figures.get(True, none)
-    n_all, n_distinct = word["n"], word["v"]
-
-    is_word = ~F.col("phrase") & (F.col("key") != F.lit(END))
-    costed = staged(word_bits(keys.where(F.col("first") & is_word).select("key", "c"), order), "lm-bits")
-    mass = costed.where("c > 0").agg(F.sum(F.pow(F.lit(2.0), -F.col("bits")))).first()[0] or 0.0
-
-    d_word, d_phrase = _discount(word["n1"], word["n2"]), _discount(phrase["n1"], phrase["n2"])
-    # One end more than was seen, so that the level never is empty.
-    ends_more = n_all + 1
-    word_escape = d_word * max(n_distinct, 1) / ends_more
-    novel = np.log10(word_escape) - np.log10(max(1.0 - mass, 1e-12))
-    phrase_escape = np.log10(d_phrase * phrase["v"] / phrase["n"]) if phrase["n"] else 0.0
-    n_phrases = max(phrase["n"], 1)
-
-    def tell(blob: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    word, phrase = figures.get(WORD, none), figures.get(PHRASE, none)
+    told, low = evidence(tables)
+    back = answered(keys, tables, told, low, groups, partitions)
+
+    def tell(blob: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         bundle = Bundle(blob["blob"].iloc[0], phrase_words)
-        names, own = bundle.counts()
-        counts, bits = np.array(own, float), np.zeros(len(names))
-        counts[told["at"].to_numpy()] = told["c"].to_numpy()
-        bits[told["at"].to_numpy()] = told["bits"].to_numpy()
-        at = {k: i for i, k in enumerate(names)}
-        end, known = at[END], counts > 0
-        base = np.log10((counts + 1) / (n_all + n_distinct + 1))
-        seen = counts + (np.arange(len(names)) == end)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.where(seen > 0, np.log10((seen - d_word) / ends_more), novel - bits * np.log10(2))
-            phrase_logs = np.where(known, np.log10((counts - d_phrase) / n_phrases), np.nan)
-        rows = []
-        for words, (keys, ends) in zip(bundle.words, bundle.phrases):
-            ids = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            ids = np.append(ids, end)
-            ends[-1] += 1  # the end belongs to the last phrase
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs[ids])[np.array(ends) - 1]]))
-            whole = phrase_logs[[at[k] for k in keys]]
-            total = np.where(np.isnan(whole), phrase_escape + sums, whole).sum()
-            rows.append((len(ids), int(known[ids].sum()), n_all, float(base[ids].sum()), float(total)))
+        of = {(k, s): a for k, s, a in zip(answers["kind"], answers["shard"], answers["answer"])}
+
+        def values(kind: int, keys: np.ndarray, form: str) -> np.ndarray:
+            """Answers to distinct keys, as they were asked for by shard."""
+            order, begins = by_shard(kind, keys, shards)
+            out = np.empty(len(keys))
+            for shard in range(shards):
+                at = order[begins[shard]:begins[shard + 1]]
+                if len(at):
+                    out[at] = np.frombuffer(of[kind, shard], form)
+            return out
+
+        order = np.argsort(bundle.codes)
+        keys = bundle.codes[order]
+        fresh = np.append(True, keys[1:] != keys[:-1])
+        costs = values(CODE, keys[fresh], "<f4")
+        spent = np.empty(len(order))
+        spent[order] = costs[np.cumsum(fresh) - 1]
+        del order, keys, fresh
+        word_keys, where = np.unique(bundle.word_keys, return_inverse=True)
+        counts = values(WORD, word_keys, "<f8")[where]
+        phrase_keys, where = np.unique(np.concatenate(bundle.phrases), return_inverse=True)
+        phrase_counts = values(PHRASE, phrase_keys, "<f8")[where]
+        base = np.log10((counts + 1) / (word["n"] + word["v"] + 1))
+        rows, byte, at = [], 0, 0
+        for words, phrases, cuts, size, held in zip(bundle.words, bundle.phrases, bundle.cuts, bundle.sizes, bundle.held_out):
+            ids = np.append(words, 0)
+            sums = np.diff(np.cumsum(spent[byte:byte + size])[cuts - 1], prepend=0.0)
+            logs, spelt = phrase_logs(phrases, phrase_counts[at:at + len(phrases)], not held, phrase)
+            total = logs.sum() - sums[spelt].sum()
+            rows.append((len(ids), int((counts[ids] > 0).sum()), word["n"], float(base[ids].sum()), float(total)))
+            byte, at = byte + size, at + len(phrases)
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         out.insert(0, "doc_id", bundle.doc_ids.astype("Int64").to_numpy())
         out.insert(1, "held_out", bundle.held_out)
         return out
 
-    # A count that all comes from the bundle itself need not be sent back to it.
-    news = keys.where((F.col("c") != F.col("n")) | (F.col("c") == 0))
-    old = news.where("c > 0").select("bundle", "at", "c", F.lit(0.0).alias("bits"))
-    unknown = news.where((F.col("c") == 0) & is_word).select("bundle", "at", "c", "key").join(
-        costed.where("c = 0").select("key", "bits"), "key").select("bundle", "at", "c", "bits")
-    back = old.unionByName(unknown)
     return packed.groupBy("bundle").cogroup(back.groupBy("bundle")).applyInPandas(tell, SCORES)

@@ -1,6 +1,7 @@
 """Language models, classifiers and their parts."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldobs.llm import langid, lmscore, ppm, quality, toxicity
+from fieldobs.llm import bytecontexts, langid, lmscore, ppm, quality, toxicity
 from fieldobs.llm.common import id_remainder, table
 from fieldobs.llm.kneserney import ClassModels
 
@@ -94,74 +95,156 @@ TEXTS = ["the cat sat on the mat", "the dog sat on the log", "The cat sat on the
          "", None, "the the the the", "on the road again\nand again", "one two three four five six seven eight nine ten"] * 2
 
 
-def plain_scores(rows, order, phrase_words):
+class PlainContexts:
+    """Byte contexts over running text as the books have it: one context, one set of excluded bytes at a time."""
+
+    ALPHABET = 252
+
+    def __init__(self, texts: list[bytes], order: int = 6):
+        self.order, self.after = order, [defaultdict(Counter) for _ in range(order + 1)]
+        for text in texts:
+            whole = b"\n" * order + text
+            for i in range(order, len(whole)):
+                self.after[order][whole[i - order:i]][whole[i]] += 1
+        for k in range(order - 1, -1, -1):  # in how many longer contexts a byte follows
+            for context, seen in self.after[k + 1].items():
+                for symbol in seen:
+                    self.after[k][context[1:]][symbol] += 1
+        self.escapes = [self.estimate(level) for level in self.after]
+
+    @staticmethod
+    def kind(t: int, s: int) -> tuple[int, int]:
+        return (t if t <= 24 else min(24 + math.ceil(4 * math.log2(t / 24)), 199),
+                s if s <= 6 else min(6 + math.ceil(2 * math.log2(s / 6)), 63))
+
+    def estimate(self, level):
+        novel, seen = Counter(), Counter()
+        for counts in level.values():
+            t, s = sum(counts.values()), len(counts)
+            for c in counts.values():
+                if t > 1 and c == 1:
+                    novel[self.kind(t - 1, s - 1)] += 1
+                elif t > 1:
+                    seen[self.kind(t - 1, s)] += c
+        return lambda t, s: (novel[self.kind(t, s)] + 0.5) / (novel[self.kind(t, s)] + seen[self.kind(t, s)] + 1)
+
+    def log10(self, before: bytes, symbol: int) -> float:
+        p, excluded = 1.0, set()
+        for k in range(self.order, -1, -1):
+            counts = self.after[k].get(before[len(before) - k:])
+            if not counts:
+                continue
+            left = sum(c for x, c in counts.items() if x not in excluded)
+            leave = self.escapes[k](sum(counts.values()), len(counts))
+            if symbol in counts:
+                return math.log10(p * (1 - leave) * counts[symbol] / left)
+            p *= leave if left else 1
+            excluded = set(counts)
+        return math.log10(p / (self.ALPHABET - len(excluded)))
+
+    def score(self, text: bytes) -> list[float]:
+        whole = b"\n" * self.order + text
+        return [self.log10(whole[:i], whole[i]) for i in range(self.order, len(whole))]
+
+
+def plain_scores(rows, phrase_words):
     """The model of ``lmscore``, document by document."""
     docs = [(i, zlib.crc32(str(i).encode()) % 7 == 2, (t or "").encode().lower().split()) for i, t in rows]
-    words, phrases = Counter(), Counter()
 
     def cut(tokens):
         out, now = [], []
         for w in tokens:
             now.append(w)
-            if w and not zlib.crc32(w) % phrase_words:
-                out.append(tuple(now))
+            if not zlib.crc32(w) % phrase_words:
+                out.append(b" ".join(now))
                 now = []
-        return [*out, (*now, b"")]  # the end closes the last phrase
+        return [*out, b" ".join(now) + b"\n"]
 
+    words, phrases = Counter(), Counter()
     for _, held, tokens in docs:
         if not held:
             words.update([*tokens, b""])
             phrases.update(cut(tokens))
     n, v = sum(words.values()), len(words)
-
-    def discount(counts):
-        once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
-        return once / (once + 2 * twice) if once and twice else 0.5
-
-    plain = PlainTrie(Counter({w: 1 for w in words if w}), order)
-    mass = sum(2 ** -plain.bits(w) for w in words if w)
-    dw, dp = discount(words), discount(phrases)
-    total = sum(phrases.values())
-
-    def word(w):
-        c = words[w] + (w == b"")
-        if c:
-            return math.log10((c - dw) / (n + 1))
-        return math.log10(dw * max(v, 1) / (n + 1)) - math.log10(max(1 - mass, 1e-12)) - plain.bits(w) * math.log10(2)
-
+    once, twice = sum(c == 1 for c in phrases.values()), sum(c == 2 for c in phrases.values())
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    plain = PlainContexts([b" ".join(t) + b"\n" for _, held, t in docs if not held])
     for i, held, tokens in docs:
-        score = 0.0
-        for p in cut(tokens):
-            if phrases[p]:
-                score += math.log10((phrases[p] - dp) / total)
+        mine = Counter() if held else Counter(cut(tokens))
+        others = Counter({p: c - mine[p] for p, c in phrases.items() if c > mine[p]})
+        total, escaped, score, at = sum(others.values()), 0, 0.0, 0
+        costs = plain.score(b" ".join(tokens) + b"\n")
+        for k, p in enumerate(cut(tokens)):
+            size = len(p) + (not p.endswith(b"\n") and at + len(p) < len(costs) - 1)
+            if p == b"\n" and at == len(costs):  # the end went with the last stop word's separator
+                size = 0
+            escape = (escaped + 2 * d * len(others) / total) / (k + 2) if total else 1.0
+            if others[p]:
+                score += math.log10((1 - escape) * (others[p] - d) / (total - d * len(others)))
             else:
-                score += (math.log10(dp * len(phrases) / total) if total else 0.0) + sum(map(word, p))
+                score += math.log10(escape) + sum(costs[at:at + size])
+                escaped += 1
+            at += size
+        assert at == len(costs)
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in [*tokens, b""])
         yield i, held, len(tokens) + 1, sum(words[w] > 0 for w in [*tokens, b""]), n, base, score
 
 
-@pytest.mark.parametrize("phrase_words", [2, 16])
-def test_lm_scores_equal_plain_model(spark, phrase_words):
+@pytest.mark.parametrize("phrase_words, options", [(2, {}), (16, {}), (2, {"shards": 5, "group": 2}), (1, {})])
+def test_lm_scores_equal_plain_model(spark, phrase_words, options):
     rows = list(enumerate(TEXTS))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     held_out = id_remainder(F.col("doc_id"), 7) == 2
-    got = lmscore.score(docs, held_out, phrase_words=phrase_words, bundle_bytes=60).orderBy("doc_id").collect()
-    want = list(plain_scores(rows, 4, phrase_words))
+    got = lmscore.score(docs, held_out, phrase_words=phrase_words, bundle_bytes=60, **options).orderBy("doc_id").collect()
+    want = list(plain_scores(rows, phrase_words))
     assert any(w[1] for w in want) and [tuple(r)[:5] for r in got] == [w[:5] for w in want]
     assert [r.base_score for r in got] == pytest.approx([w[5] for w in want])
-    assert [r.score for r in got] == pytest.approx([w[6] for w in want])
+    assert [r.score for r in got] == pytest.approx([w[6] for w in want], rel=1e-5)
+
+
+def test_byte_contexts_sum_to_one_and_cross_words():
+    texts = [b"the cat sat on the mat\n", b"the dog sat on the log\n", b"\xc3\xa9t\xc3\xa9 a\x00b\n", b"\n"]
+    raw = [np.frombuffer(b"\n" * 6 + t, np.uint8) for t in texts]
+    codes, counts = np.unique(np.concatenate([bytecontexts.codes_of(r) for r in raw]), return_counts=True)
+    trie = bytecontexts.Trie(codes, counts)
+    weights = bytecontexts.escapes(trie.evidence())
+    symbols = [b for b in range(256) if b not in (9, 11, 12, 13)]
+    for before in (b"\n\n\n\n\n\n", b"sat on", b" on th", b"zzzzzz", b"e cat ", b"\xf0\xf1\xf2\xf3\xf4\xf5"):
+        asked = np.array([int.from_bytes(bytes([x]) + before[::-1], "little") for x in symbols])
+        assert np.power(10.0, -trie.cost(asked, weights)).sum() == pytest.approx(1)
+    plain = PlainContexts(texts)
+    for text in (*texts, b"the sat cat on\n", b"qq the\n"):
+        got = -trie.cost(bytecontexts.codes_of(np.frombuffer(b"\n" * 6 + text, np.uint8)), weights)
+        assert got == pytest.approx(plain.score(text))
+    # The word before matters.
+    after = {w: -trie.cost(bytecontexts.codes_of(np.frombuffer(w + b"sat", np.uint8)), weights).sum() for w in (b"e cat ", b" the  ")}
+    assert after[b"e cat "] > after[b" the  "] + 0.3
 
 
 def test_lm_without_training(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
     rows = lmscore.score(docs, F.lit(True)).orderBy("doc_id").collect()
-    assert [r.train_tokens for r in rows] == [0, 0] and rows[0].base_score == 0 and rows[0].score < rows[1].score < 0
+    assert [r.train_tokens for r in rows] == [0, 0] and rows[0].base_score == 0
+    assert [r.score for r in rows] == pytest.approx([-11 * math.log10(252), -math.log10(252)], rel=1e-6)
 
 
 def test_lm_beats_unigrams_on_held_out_text(spark):
-    docs = table(spark, f"{DATA}/sf0.01", "documents")
-    row = lmscore.score(docs, id_remainder(F.col("doc_id"), 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert row[0] > row[1]
+    """Document by document, not only in the sum."""
+    docs = table(spark, f"{DATA}/sf0.1", "documents")
+    rows = lmscore.score(docs, id_remainder(F.col("doc_id"), 7) == 2).where("held_out").select("score", "base_score").collect()
+    assert sum(r.score > r.base_score for r in rows) > 0.9 * len(rows) > 1000
+    assert sum(r.score for r in rows) > 0.85 * sum(r.base_score for r in rows)
+
+
+def test_a_text_does_not_vouch_for_itself(spark):
+    """A training text scores like others of its kind; a copy elsewhere lifts it."""
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ran", "sel", "dop", "vim", "gus")]
+    text = lambda n: " ".join(random.Random(n).choices(words, k=60))
+    rows = [(n, text(n)) for n in range(40)] + [(100, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lmscore.score(docs, F.lit(False)).collect()}
+    single = sorted(got[n] for n in range(40) if n != 5)
+    assert got[5] == pytest.approx(got[100]) and got[5] > single[-1] + 0.2
 
 
 def accuracy(scored, truth, on):
