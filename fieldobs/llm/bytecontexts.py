@@ -26,12 +26,22 @@ _T, _S = 200, 64
 CLASSES = _T * _S
 
 
-def codes_of(text: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The code of each byte of a text behind its first ``order`` bytes."""
-    wide = text.astype(np.int64)
-    codes = wide[order:].copy()
-    for back in range(1, order + 1):
-        codes |= wide[order - back:len(wide) - back] << (8 * back)
+def codes_of(text: np.ndarray, starts: np.ndarray, begin: int, end: int, order: int = ORDER) -> np.ndarray:
+    """The codes of the bytes from ``begin`` to ``end`` of texts that lie one behind the other from ``starts`` on.
+
+    No context reaches into the text before: line feeds stand there.
+    """
+    from_byte = max(begin - 7, 0)
+    held = np.concatenate([np.zeros(7 - (begin - from_byte), np.uint8), text[from_byte:end]])
+    eight = np.ndarray((end - begin,), ">u8", held, 0, (1,))
+    codes = (eight & ((1 << 8 * (order + 1)) - 1)).astype(np.int64)
+    near = starts[np.searchsorted(starts, begin - order):np.searchsorted(starts, end)]
+    stops = np.append(starts, len(text))[np.searchsorted(starts, near, "right")]
+    for reach in range(order):  # bytes of its own text before this one
+        at = near[near + reach < stops] + reach
+        at = at[(at >= begin) & (at < end)] - begin
+        fed = sum(END << 8 * back for back in range(reach + 1, order + 1))
+        codes[at] = codes[at] & ((1 << 8 * (reach + 1)) - 1) | fed
     return codes
 
 

@@ -3,7 +3,7 @@
 A text is a sequence of words and one end; its bytes run from word to word (``bytecontexts``). The
 trie of byte contexts is path-compressed at one deep anchor:
 
-1. phrases: a run of words up to one whose hash is a multiple of ``phrase_words``, so that the
+1. phrases: a run of words up to one that its hash makes a stop word, one in ``phrase_words``, so that the
    words alone decide where it ends. A phrase that training has elsewhere is one symbol: of V distinct ones, seen c
    times of N, it weighs (c - D) / (N - D V), with D = n1 / (n1 + 2 n2) from those seen once and twice. The escape to
    its bytes begins at D V / N and adapts to how often the text at hand has escaped. A training document's own phrases
@@ -15,7 +15,7 @@ All probabilities of texts sum to one at most.
 
 How it runs. Documents are packed into bundles of about ``bundle_bytes`` of text, one compressed
 row each, in the shared folder. Every bundle asks for its distinct byte codes, words and phrases only, as numbers
-(words and phrases by 64-bit hash): per shard of the keys one row with all of them. One shuffle brings the rows of a
+(words and phrases as 64-bit hashes: of a billion words, two may meet): per shard of the keys one row with all of them. One shuffle brings the rows of a
 shard together, where their training counts are summed while they stream by, in groups of ``group`` bundles first,
 so that no task reads all bundles of a frequent context. Contexts that end in the same two bytes lie in one shard;
 only the levels of no and one byte (at most 2**16 counts) and the classes of escapes reach every
@@ -30,14 +30,12 @@ table gives no rows; other columns are ignored. Only A-Z are lower-cased.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +43,6 @@ from pyspark.sql import functions as F
 from fieldobs.llm import bytecontexts as bc
 from fieldobs.llm.common import blocks_for, lean, staged, text_bytes
 
-END = b""
 CODE, WORD, PHRASE = range(3)
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
@@ -104,64 +101,131 @@ def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), "<i8")
 
 
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def multipliers(n: int) -> np.ndarray:
+    """The first ``n`` of a fixed row of odd 64-bit numbers."""
+    return np.random.Generator(np.random.PCG64(20_240_601)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+
+
+def hashed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """A 64-bit hash of each stretch of values: the sum of values times multipliers by place, mixed.
+
+    Two stretches that differ in one value never meet, others once in about 2**56.
+    """
+    out = np.empty(len(starts), np.uint64)
+    sizes = stops - starts
+    factor = multipliers(int(sizes.max(initial=0)))
+    totals = np.cumsum(sizes)
+    at = 0
+    while at < len(starts):
+        upto = max(int(np.searchsorted(totals, totals[at] - sizes[at] + most)), at + 1)
+        size = sizes[at:upto]
+        begins = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(begins, size)
+        part = values[np.repeat(starts[at:upto], size) + place].astype(np.uint64) + np.uint64(1)
+        out[at:upto] = np.add.reduceat(part * factor[place], begins)
+        at = upto
+    out += sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift in (33, 29):
+        out ^= out >> np.uint64(shift)
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ out >> np.uint64(32)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    text = np.frombuffer(b"".join(words), np.uint8)
+    stops = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return hashed(text, stops - np.array([len(w) for w in words], np.int64), stops)
+
+
+#: The token behind the last word. No word has its hash but by chance.
+END = np.uint64(0x1D8E4E27C47D124F)
+
+
 class Bundle:
-    """One bundle's documents as numbers: bytes in context, words, phrases."""
+    """One bundle's documents as flat arrays: bytes in context, tokens, phrases.
+
+    A token is a word, or the end of a text. ``tokens`` and ``phrases`` are hashes; ``doc_tokens``, ``doc_phrases`` and
+    ``doc_bytes`` tell where each document begins, ``phrase_bytes`` where the bytes of each phrase do.
+    """
 
     def __init__(self, blob: bytes, phrase_words: int):
         table = pa.ipc.open_stream(blob).read_all()
         self.doc_ids = table.column("doc_id").to_pandas(types_mapper=pd.ArrowDtype)
         self.held_out = np.array(table.column("held_out").to_pylist(), bool)
-        number: dict[bytes, int] = {END: 0}
-        stops: dict[bytes, bool] = {}
-        before, text, words, phrases, cuts = bytes([bc.END]) * bc.ORDER, [], [], [], []
-        digest = xxhash.xxh3_64_intdigest
-        for raw in table.column("text"):
-            own = raw.as_py().lower().split()
-            words.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
-            for w in set(own).difference(stops):
-                stops[w] = not zlib.crc32(w) % phrase_words
-            ends = [i + 1 for i, w in enumerate(own) if stops[w]]
-            starts = [0, *ends]
-            ends.append(len(own))
-            parts = [b" ".join(own[a:b]) for a, b in zip(starts, ends)]
-            # The last one ends with the text; the bytes of each include what separates it from the next.
-            phrases.append(np.array([digest(p) for p in parts[:-1]] + [digest(parts[-1] + b"\n")], np.uint64).view(np.int64))
-            line = b" ".join(own)
-            sizes = np.array([len(p) + 1 for p in parts])
-            if len(parts) > 1 and not parts[-1]:
-                sizes[-2:] += [-1, 0]  # nothing follows the last stop word but the end
-            cuts.append(np.cumsum(sizes))
-            text += [before, line, b"\n"]
-        self.words, self.phrases, self.cuts = words, phrases, cuts
-        raw = np.frombuffer(b"".join(text), np.uint8)
-        self.sizes = np.array([len(line) + 1 for line in text[1::3]], np.int64)
-        starts = np.cumsum(self.sizes + bc.ORDER) - self.sizes - bc.ORDER
-        skipped = np.zeros(len(raw) + 1, np.int32)
-        skipped[starts] += 1
-        skipped[starts + bc.ORDER] -= 1
-        codes = bc.codes_of(raw)
-        self.codes = codes[np.cumsum(skipped[:-1])[bc.ORDER:] == 0]
-        self.word_keys = np.fromiter((digest(w) for w in number), np.uint64, len(number)).view(np.int64)
-
-    def trained(self) -> np.ndarray:
-        return np.repeat(~self.held_out, self.sizes)
+        texts = table.column("text").to_pylist()
+        raw = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
+        last = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1  # the line feed put behind each text
+        del texts
+        word = ~_SPACES[raw]
+        edge = np.flatnonzero(np.diff(word, prepend=False))
+        starts, stops = edge[::2], edge[1::2]  # a word ends before some space, at the latest that line feed
+        hashes = hashed(raw, starts, stops)
+        upto = np.searchsorted(starts, last)  # words up to the end of each document
+        n_words = np.diff(upto, prepend=0)
+
+        # Words with one space between them, and a line feed at the end.
+        word[stops] = True
+        text = raw.copy()
+        text[stops] = 0x20
+        full = n_words > 0
+        text[stops[upto[full] - 1]] = bc.END
+        word[last[~full]] = True
+        place = np.cumsum(word, dtype=np.int32)
+        self.text = text[word]
+        ends = np.empty(len(last), np.int64)
+        ends[full], ends[~full] = place[stops[upto[full] - 1]], place[last[~full]]
+        self.doc_bytes = np.append(0, ends[:-1])
+
+        # Tokens: every document's words and its end.
+        self.doc_tokens = np.cumsum(n_words + 1) - n_words - 1
+        is_end = np.zeros(len(hashes) + len(last), bool)
+        is_end[self.doc_tokens + n_words] = True
+        self.tokens = np.empty(len(is_end), np.uint64)
+        self.tokens[is_end], self.tokens[~is_end] = END, hashes
+        byte = np.empty(len(is_end), np.int64)  # where the bytes of the next token begin
+        byte[is_end], byte[~is_end] = ends, place[stops]
+        final = np.flatnonzero(is_end)[full] - 1
+        byte[final] -= 1  # the line feed is the end's
+        # Phrases begin with a document and behind each stop word.
+        begins = np.zeros(len(is_end), bool)
+        begins[self.doc_tokens] = True
+        begins[1:] |= stop_words(self.tokens[:-1], phrase_words) & ~is_end[:-1]
+        first = np.flatnonzero(begins)
+        self.phrases = hashed(self.tokens, first, np.append(first[1:], len(begins))).view(np.int64)
+        self.phrase_bytes = np.append(0, byte[first[1:] - 1])
+        self.doc_phrases = np.searchsorted(first, self.doc_tokens)
+        self.tokens = self.tokens.view(np.int64)
+
+    def per_document(self, starts: np.ndarray, total: int) -> np.ndarray:
+        return np.diff(np.append(starts, total))
+
+    def code_parts(self, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """Where each stretch of the text begins, and its codes."""
+        for begin in range(0, len(self.text), size):
+            yield begin, bc.codes_of(self.text, self.doc_bytes, begin, min(begin + size, len(self.text)))
 
     def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of a kind in order, with their occurrences in training documents."""
         if kind == CODE:
-            keys = np.sort(self.codes)
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            seen = np.sort(self.codes[self.trained()])
-            keys = keys[first]
-            return keys, np.searchsorted(seen, keys, "right") - np.searchsorted(seen, keys)
-        if kind == WORD:
-            ids = [w for w, held in zip(self.words, self.held_out) if not held]
-            counts = np.bincount(np.concatenate(ids), minlength=len(self.word_keys)) if ids else np.zeros(len(self.word_keys), np.int64)
-            counts[0] += len(ids)  # the end of every text
-            return bc.summed(self.word_keys, counts)
-        every = np.concatenate(self.phrases)
-        counts = np.repeat(~self.held_out, [len(p) for p in self.phrases]).astype(np.int64)
-        return bc.summed(every, counts)
+            trained = np.repeat(~self.held_out, self.per_document(self.doc_bytes, len(self.text)))
+            parts = []
+            for begin, codes in self.code_parts():
+                own = trained[begin:begin + len(codes)]
+                keys, counts = np.unique(codes[own], return_counts=True)
+                other = np.unique(codes[~own])
+                parts += [(keys, counts), (other, np.zeros(len(other), np.int64))]
+        else:
+            keys, starts = (self.tokens, self.doc_tokens) if kind == WORD else (self.phrases, self.doc_phrases)
+            parts = [(keys, np.repeat(~self.held_out, self.per_document(starts, len(keys))).astype(np.int64))]
+        return bc.summed(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def stop_words(tokens: np.ndarray, phrase_words: int) -> np.ndarray:
+    """Whether a phrase ends with each of these words."""
+    return (tokens >> np.uint64(40)) % np.uint64(phrase_words) == 0
 
 
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
@@ -299,7 +363,8 @@ def answered(keys: DataFrame, tables: DataFrame, told: list, low: tuple, groups:
                 answer = np.where(there, values[at], 0.0) if len(table) else np.zeros(len(keys))
                 if kind == CODE and not there.all():
                     answer[~there] = trie.cost(keys[~there], weights)
-                rows.append((bundle, kind, shard, answer.astype("<f4" if kind == CODE else "<f8").tobytes()))
+                form = "<f4" if kind == CODE else "<f8"
+                rows.append((bundle, kind, shard, pa.compress(answer.astype(form).tobytes(), "zstd", asbytes=True)))
             yield _rows(rows, ANSWERS)
 
     every = tables.drop("grp").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -312,28 +377,37 @@ def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def phrase_logs(keys: np.ndarray, counts: np.ndarray, trained: bool, figures: dict, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """log10 weights of a document's phrases in turn, and which of them escape to their bytes; without the document itself.
+def phrase_logs(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray, trained: np.ndarray, figures: dict,
+                prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weights of documents' phrases in turn, and which of them escape to their bytes; each without its own document.
 
-    The first escape is weighed by the corpus, which counts for ``prior`` phrases of the text.
+    ``starts`` tells where each document begins, ``trained`` which ones are in the counts. A text's first escape is
+    weighed by the corpus, which counts for ``prior`` phrases of the text.
     """
-    d, n, v = _discount(figures["n1"], figures["n2"]), figures["n"], figures["v"]
-    if trained:
-        own = Counter(keys.tolist())
-        mine = np.array([own[k] for k in keys.tolist()])
-        n -= len(keys)
-        v -= len({k for k, c in zip(keys.tolist(), counts - mine) if c == 0})
-        counts = counts - mine
-    unknown = counts <= 0
-    if n <= 0:
-        return np.zeros(len(keys)), unknown
-    before = np.arange(len(keys))
-    escape = (np.cumsum(unknown) - unknown + prior * d * v / n) / (before + prior)
-    known = (1 - escape) * np.where(unknown, 1.0, counts - d) / (n - d * v)
-    return np.log10(np.where(unknown, escape, known)), unknown
-
-
-def score(docs: DataFrame, held_out: Column, phrase_words: int = 16, bundle_bytes: int = 8 << 20,
+    d = _discount(figures["n1"], figures["n2"])
+    sizes = np.diff(np.append(starts, len(keys)))
+    doc = np.repeat(np.arange(len(starts)), sizes)
+    order = np.lexsort((keys, doc))
+    fresh = np.append(True, (keys[order][1:] != keys[order][:-1]) | (doc[order][1:] != doc[order][:-1]))[:len(keys)]
+    heads = np.flatnonzero(fresh)
+    mine = np.empty(len(keys))
+    mine[order] = np.repeat(np.diff(np.append(heads, len(keys))), np.diff(np.append(heads, len(keys))))
+    others = counts - np.where(trained[doc], mine, 0)
+    lost = np.zeros(len(keys))
+    lost[order[heads]] = others[order[heads]] <= 0
+    n = figures["n"] - np.where(trained, sizes, 0)
+    v = figures["v"] - np.where(trained, np.add.reduceat(lost, starts), 0)
+    unknown = others <= 0
+    before = np.arange(len(keys)) - np.repeat(starts, sizes)
+    escaped = np.cumsum(unknown) - unknown
+    escaped -= np.repeat(escaped[starts], sizes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = (escaped + prior * (d * v / n)[doc]) / (before + prior)
+        known = (1 - escape) * (others - d) / (n - d * v)[doc]
+        return np.where(n[doc] > 0, np.log10(np.where(unknown, escape, known)), 0.0), unknown
+
+
+def score(docs: DataFrame, held_out: Column, phrase_words: int = 32, bundle_bytes: int = 32 << 20,
           shards: int | None = None, group: int = 1024) -> DataFrame:
     """Score every document of ``docs`` (doc_id, text), learning from those not ``held_out``.
 
@@ -362,36 +436,30 @@ def score(docs: DataFrame, held_out: Column, phrase_words: int = 16, bundle_byte
         def values(kind: int, keys: np.ndarray, form: str) -> np.ndarray:
             """Answers to distinct keys, as they were asked for by shard."""
             order, begins = by_shard(kind, keys, shards)
-            out = np.empty(len(keys))
+            out = np.empty(len(keys), form)
             for shard in range(shards):
                 at = order[begins[shard]:begins[shard + 1]]
                 if len(at):
-                    out[at] = np.frombuffer(of[kind, shard], form)
+                    out[at] = np.frombuffer(pa.decompress(of.pop((kind, shard)), len(at) * out.itemsize, "zstd", asbytes=True), form)
             return out
 
-        order = np.argsort(bundle.codes)
-        keys = bundle.codes[order]
-        fresh = np.append(True, keys[1:] != keys[:-1])
-        costs = values(CODE, keys[fresh], "<f4")
-        spent = np.empty(len(order))
-        spent[order] = costs[np.cumsum(fresh) - 1]
-        del order, keys, fresh
-        word_keys, where = np.unique(bundle.word_keys, return_inverse=True)
-        counts = values(WORD, word_keys, "<f8")[where]
-        phrase_keys, where = np.unique(np.concatenate(bundle.phrases), return_inverse=True)
-        phrase_counts = values(PHRASE, phrase_keys, "<f8")[where]
+        keys, _ = bundle.keys(CODE)
+        costs = values(CODE, keys, "<f4")
+        spent = np.empty(len(bundle.text), np.float32)
+        for begin, codes in bundle.code_parts():
+            order = np.argsort(codes)
+            spent[begin:begin + len(codes)][order] = costs[np.searchsorted(keys, codes[order])]
+        del keys, costs
+        words, where = np.unique(bundle.tokens, return_inverse=True)
+        counts = values(WORD, words, "<f8")[where]
+        phrases, where = np.unique(bundle.phrases, return_inverse=True)
+        logs, spelt = phrase_logs(bundle.phrases, values(PHRASE, phrases, "<f8")[where], bundle.doc_phrases, ~bundle.held_out, phrase)
+        logs = logs - np.where(spelt, np.add.reduceat(spent, bundle.phrase_bytes, dtype=np.float64), 0.0)
         base = np.log10((counts + 1) / (word["n"] + word["v"] + 1))
-        rows, byte, at = [], 0, 0
-        for words, phrases, cuts, size, held in zip(bundle.words, bundle.phrases, bundle.cuts, bundle.sizes, bundle.held_out):
-            ids = np.append(words, 0)
-            sums = np.diff(np.cumsum(spent[byte:byte + size])[cuts - 1], prepend=0.0)
-            logs, spelt = phrase_logs(phrases, phrase_counts[at:at + len(phrases)], not held, phrase)
-            total = logs.sum() - sums[spelt].sum()
-            rows.append((len(ids), int((counts[ids] > 0).sum()), word["n"], float(base[ids].sum()), float(total)))
-            byte, at = byte + size, at + len(phrases)
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        out.insert(0, "doc_id", bundle.doc_ids.astype("Int64").to_numpy())
-        out.insert(1, "held_out", bundle.held_out)
-        return out
+        return pd.DataFrame({
+            "doc_id": bundle.doc_ids.astype("Int64").to_numpy(), "held_out": bundle.held_out,
+            "n_tokens": bundle.per_document(bundle.doc_tokens, len(bundle.tokens)),
+            "n_known": np.add.reduceat((counts > 0).astype(np.int64), bundle.doc_tokens), "train_tokens": word["n"],
+            "base_score": np.add.reduceat(base, bundle.doc_tokens), "score": np.add.reduceat(logs, bundle.doc_phrases)})
 
     return packed.groupBy("bundle").cogroup(back.groupBy("bundle")).applyInPandas(tell, SCORES)
