@@ -34,7 +34,8 @@ def codes_of(text: np.ndarray, starts: np.ndarray, begin: int, end: int, order:
     from_byte = max(begin - 7, 0)
     held = np.concatenate([np.zeros(7 - (begin - from_byte), np.uint8), text[from_byte:end]])
     eight = np.ndarray((end - begin,), ">u8", held, 0, (1,))
-    codes = (eight & ((1 << 8 * (order + 1)) - 1)).astype(np.int64)
+    codes = eight.astype(np.int64)
+    codes &= (1 << 8 * (order + 1)) - 1
     near = starts[np.searchsorted(starts, begin - order):np.searchsorted(starts, end)]
     stops = np.append(starts, len(text))[np.searchsorted(starts, near, "right")]
     for reach in range(order):  # bytes of its own text before this one
@@ -53,7 +54,11 @@ def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sum of their counts."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    return runs_of(keys[order], counts[order])
+
+
+def runs_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``summed`` of keys in order."""
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 

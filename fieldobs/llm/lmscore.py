@@ -109,7 +109,7 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20_240_601)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
 
 
-def hashed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+def hashed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each stretch of values: the sum of values times multipliers by place, mixed.
 
     Two stretches that differ in one value never meet, others once in about 2**56.
@@ -151,14 +151,32 @@ class Bundle:
     ``doc_bytes`` tell where each document begins, ``phrase_bytes`` where the bytes of each phrase do.
     """
 
-    def __init__(self, blob: bytes, phrase_words: int):
+    def __init__(self, blob: bytes, phrase_words: int, block: int = 4 << 20):
         table = pa.ipc.open_stream(blob).read_all()
         self.doc_ids = table.column("doc_id").to_pandas(types_mapper=pd.ArrowDtype)
         self.held_out = np.array(table.column("held_out").to_pylist(), bool)
-        texts = table.column("text").to_pylist()
-        raw = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
-        last = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1  # the line feed put behind each text
-        del texts
+        texts = table.column("text")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        names = ("text", "tokens", "phrases", "doc_bytes", "doc_tokens", "doc_phrases", "phrase_bytes")
+        parts: dict[str, list[np.ndarray]] = {name: [] for name in names}
+        at = 0
+        while at < len(upto):  # a block of documents at a time
+            stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + block)), at + 1)
+            whole = {"doc_bytes": "text", "doc_tokens": "tokens", "doc_phrases": "phrases", "phrase_bytes": "text"}
+            read = dict(zip(names, self._read(texts.slice(at, stop - at).to_pylist(), phrase_words)))
+            for name, other in whole.items():
+                parts[name].append(read[name] + sum(len(x) for x in parts[other]))
+            for name in names[:3]:
+                parts[name].append(read[name])
+            at = stop
+        for name in names:
+            setattr(self, name, np.concatenate(parts.pop(name)))
+
+    @staticmethod
+    def _read(texts: list[bytes], phrase_words: int) -> tuple[np.ndarray, ...]:
+        last = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
+        # A line feed behind each text.
+        raw = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
         word = ~_SPACES[raw]
         edge = np.flatnonzero(np.diff(word, prepend=False))
         starts, stops = edge[::2], edge[1::2]  # a word ends before some space, at the latest that line feed
@@ -173,31 +191,28 @@ class Bundle:
         full = n_words > 0
         text[stops[upto[full] - 1]] = bc.END
         word[last[~full]] = True
-        place = np.cumsum(word, dtype=np.int32)
-        self.text = text[word]
-        ends = np.empty(len(last), np.int64)
-        ends[full], ends[~full] = place[stops[upto[full] - 1]], place[last[~full]]
-        self.doc_bytes = np.append(0, ends[:-1])
+        text = text[word]
+        behind = np.cumsum(stops - starts + 1)  # each word with the byte behind it
+        ends = np.append(0, behind)[upto] + np.cumsum(~full)
+        behind += np.repeat(np.cumsum(~full), n_words)  # and the texts of an end alone before it
 
         # Tokens: every document's words and its end.
-        self.doc_tokens = np.cumsum(n_words + 1) - n_words - 1
+        doc_tokens = np.cumsum(n_words + 1) - n_words - 1
         is_end = np.zeros(len(hashes) + len(last), bool)
-        is_end[self.doc_tokens + n_words] = True
-        self.tokens = np.empty(len(is_end), np.uint64)
-        self.tokens[is_end], self.tokens[~is_end] = END, hashes
+        is_end[doc_tokens + n_words] = True
+        tokens = np.empty(len(is_end), np.uint64)
+        tokens[is_end], tokens[~is_end] = END, hashes
         byte = np.empty(len(is_end), np.int64)  # where the bytes of the next token begin
-        byte[is_end], byte[~is_end] = ends, place[stops]
-        final = np.flatnonzero(is_end)[full] - 1
-        byte[final] -= 1  # the line feed is the end's
+        byte[is_end], byte[~is_end] = ends, behind
+        byte[np.flatnonzero(is_end)[full] - 1] -= 1  # the line feed is the end's
         # Phrases begin with a document and behind each stop word.
         begins = np.zeros(len(is_end), bool)
-        begins[self.doc_tokens] = True
-        begins[1:] |= stop_words(self.tokens[:-1], phrase_words) & ~is_end[:-1]
+        begins[doc_tokens] = True
+        begins[1:] |= stop_words(tokens[:-1], phrase_words) & ~is_end[:-1]
         first = np.flatnonzero(begins)
-        self.phrases = hashed(self.tokens, first, np.append(first[1:], len(begins))).view(np.int64)
-        self.phrase_bytes = np.append(0, byte[first[1:] - 1])
-        self.doc_phrases = np.searchsorted(first, self.doc_tokens)
-        self.tokens = self.tokens.view(np.int64)
+        phrases = hashed(tokens, first, np.append(first[1:], len(begins))).view(np.int64)
+        return (text, tokens.view(np.int64), phrases, np.append(0, ends[:-1]), doc_tokens,
+                np.searchsorted(first, doc_tokens), np.append(0, byte[first[1:] - 1]))
 
     def per_document(self, starts: np.ndarray, total: int) -> np.ndarray:
         return np.diff(np.append(starts, total))
@@ -211,16 +226,22 @@ class Bundle:
         """Distinct keys of a kind in order, with their occurrences in training documents."""
         if kind == CODE:
             trained = np.repeat(~self.held_out, self.per_document(self.doc_bytes, len(self.text)))
-            parts = []
+            total = _Sum()
             for begin, codes in self.code_parts():
                 own = trained[begin:begin + len(codes)]
-                keys, counts = np.unique(codes[own], return_counts=True)
-                other = np.unique(codes[~own])
-                parts += [(keys, counts), (other, np.zeros(len(other), np.int64))]
-        else:
-            keys, starts = (self.tokens, self.doc_tokens) if kind == WORD else (self.phrases, self.doc_phrases)
-            parts = [(keys, np.repeat(~self.held_out, self.per_document(starts, len(keys))).astype(np.int64))]
-        return bc.summed(*(np.concatenate(x) for x in zip(*parts)))
+                other = _distinct(codes[~own])[0]
+                total.add(other, np.zeros(len(other), np.int64))
+                total.add(*_distinct(codes[own]))
+            return total.result()
+        keys, starts = (self.tokens, self.doc_tokens) if kind == WORD else (self.phrases, self.doc_phrases)
+        return bc.summed(keys, np.repeat(~self.held_out, self.per_document(starts, len(keys))).astype(np.int64))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their occurrences, sorting in place."""
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def stop_words(tokens: np.ndarray, phrase_words: int) -> np.ndarray:
@@ -268,19 +289,27 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 class _Sum:
     """Counts by key, summed while they stream by."""
 
-    def __init__(self, most: int = 2_000_000):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, most: int = 1_000_000):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.held, self.most = 0, most
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
+        self.keys.append(keys)
+        self.counts.append(counts)
         self.held += len(keys)
-        if self.held > self.most + 2 * len(self.parts[0][0]):
+        if self.held > self.most + len(self.keys[0]):
             self.result()
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = bc.summed(*(np.concatenate(x) for x in zip(*self.parts)))
-        self.parts, self.held = [(keys, counts)], len(keys)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []  # let go before sorting
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        counts = counts[order]
+        del order
+        keys, counts = bc.runs_of(keys, counts)
+        self.keys, self.counts, self.held = [keys], [counts], len(keys)
         return keys, counts
 
 
@@ -446,7 +475,7 @@ def score(docs: DataFrame, held_out: Column, phrase_words: int = 32, bundle_byte
         keys, _ = bundle.keys(CODE)
         costs = values(CODE, keys, "<f4")
         spent = np.empty(len(bundle.text), np.float32)
-        for begin, codes in bundle.code_parts():
+        for begin, codes in bundle.code_parts(2 << 20):
             order = np.argsort(codes)
             spent[begin:begin + len(codes)][order] = costs[np.searchsorted(keys, codes[order])]
         del keys, costs
