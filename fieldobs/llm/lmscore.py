@@ -217,7 +217,7 @@ class Bundle:
     def per_document(self, starts: np.ndarray, total: int) -> np.ndarray:
         return np.diff(np.append(starts, total))
 
-    def code_parts(self, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def code_parts(self, size: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
         """Where each stretch of the text begins, and its codes."""
         for begin in range(0, len(self.text), size):
             yield begin, bc.codes_of(self.text, self.doc_bytes, begin, min(begin + size, len(self.text)))
@@ -474,16 +474,19 @@ def score(docs: DataFrame, held_out: Column, phrase_words: int = 32, bundle_byte
 
         keys, _ = bundle.keys(CODE)
         costs = values(CODE, keys, "<f4")
-        spent = np.empty(len(bundle.text), np.float32)
-        for begin, codes in bundle.code_parts(2 << 20):
+        spent = np.zeros(len(bundle.phrases))
+        for begin, codes in bundle.code_parts():
             order = np.argsort(codes)
-            spent[begin:begin + len(codes)][order] = costs[np.searchsorted(keys, codes[order])]
+            part = np.empty(len(codes))
+            part[order] = costs[np.searchsorted(keys, codes[order])]
+            first, after = np.searchsorted(bundle.phrase_bytes, (begin, begin + len(codes)), "right")
+            spent[first - 1:after] += np.add.reduceat(part, np.append(0, bundle.phrase_bytes[first:after] - begin))
         del keys, costs
         words, where = np.unique(bundle.tokens, return_inverse=True)
         counts = values(WORD, words, "<f8")[where]
         phrases, where = np.unique(bundle.phrases, return_inverse=True)
         logs, spelt = phrase_logs(bundle.phrases, values(PHRASE, phrases, "<f8")[where], bundle.doc_phrases, ~bundle.held_out, phrase)
-        logs = logs - np.where(spelt, np.add.reduceat(spent, bundle.phrase_bytes, dtype=np.float64), 0.0)
+        logs = logs - np.where(spelt, spent, 0.0)
         base = np.log10((counts + 1) / (word["n"] + word["v"] + 1))
         return pd.DataFrame({
             "doc_id": bundle.doc_ids.astype("Int64").to_numpy(), "held_out": bundle.held_out,
