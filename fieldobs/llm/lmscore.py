@@ -479,7 +479,8 @@ def score(docs: DataFrame, held_out: Column, phrase_words: int = 32, bundle_byte
             order = np.argsort(codes)
             part = np.empty(len(codes))
             part[order] = costs[np.searchsorted(keys, codes[order])]
-            first, after = np.searchsorted(bundle.phrase_bytes, (begin, begin + len(codes)), "right")
+            first = np.searchsorted(bundle.phrase_bytes, begin, "right")  # the phrase before it goes on here
+            after = np.searchsorted(bundle.phrase_bytes, begin + len(codes))
             spent[first - 1:after] += np.add.reduceat(part, np.append(0, bundle.phrase_bytes[first:after] - begin))
         del keys, costs
         words, where = np.unique(bundle.tokens, return_inverse=True)

@@ -202,6 +202,18 @@ def test_lm_scores_equal_plain_model(spark, phrase_words, options):
     assert [r.score for r in got] == pytest.approx([w[6] for w in want], rel=1e-5)
 
 
+def test_lm_scores_do_not_depend_on_the_bundles(spark):
+    """Also where a bundle is read in several parts, cut anywhere."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("etaoinshr", k=draw.randint(1, 9))) for _ in range(4000)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.choice([0, 5, 700, 3000])))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, many = (sorted(map(tuple, lmscore.score(docs, F.col("doc_id") % 5 == 0, bundle_bytes=size).collect())) for size in (32 << 20, 300_000))
+    assert sum(len(t) for _, t in rows) > 5 << 20
+    assert [r[:5] for r in one] == [r[:5] for r in many] and [r[5] for r in one] == pytest.approx([r[5] for r in many])
+    assert [r[6] for r in one] == pytest.approx([r[6] for r in many], rel=1e-6)
+
+
 def test_byte_contexts_sum_to_one_and_cross_words():
     texts = [b"the cat sat on the mat\n", b"the dog sat on the log\n", b"\xc3\xa9t\xc3\xa9 a\x00b\n", b"\n"]
     whole = np.frombuffer(b"".join(texts), np.uint8)
