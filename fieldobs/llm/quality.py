@@ -40,10 +40,10 @@ _RUNS = re.compile(rb"([A-Z])[A-Z]+|([a-z\x80-\xff])[a-z\x80-\xff]+|([0-9])[0-9]
 
 
 def shape(word: bytes) -> bytes:
-    """' Aa%%%' for 'Whou%%%': one letter for a run, a digit for a number, marks as they are (at most four)."""
+    """' Aa%%%' for 'Whou%%%': one letter for a run, a digit for a number, marks as they are. The whole word counts."""
     plain = re.sub(rb"[0-9]", b"9", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", word)))
     plain = _RUNS.sub(lambda m: m[0][:1], plain)
-    return b" " + plain[:8]
+    return b" " + plain
 
 
 def index_vector(term: bytes, dims: int, marks: int = 8) -> np.ndarray:

@@ -209,7 +209,7 @@ def test_lm_scores_do_not_depend_on_the_bundles(spark):
     rows = [(i, " ".join(draw.choices(words, k=draw.choice([0, 5, 700, 3000])))) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     one, many = (sorted(map(tuple, lmscore.score(docs, F.col("doc_id") % 5 == 0, bundle_bytes=size).collect())) for size in (32 << 20, 300_000))
-    assert sum(len(t) for _, t in rows) > 5 << 20
+    assert sum(len(t) for _, t in rows) > 2 << 20
     assert [r[:5] for r in one] == [r[:5] for r in many] and [r[5] for r in one] == pytest.approx([r[5] for r in many])
     assert [r[6] for r in one] == pytest.approx([r[6] for r in many], rel=1e-6)
 
