@@ -113,14 +113,14 @@ class WordEncoder:
     the string of a special token goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, remember: int = 500_000, keep: int = 300_000):
+    def __init__(self, path: str, remember: int = 350_000, keep: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # Words of a-z alone need no normalising, and white space is all there is to cut them at.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        suffix, vocabulary = self.plain.model.end_of_word_suffix, self.plain.get_vocab()
+        self.plain = None, pre_tokenizers.WhitespaceSplit()
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.worded = bool(self.ends.any())
@@ -132,7 +132,9 @@ class WordEncoder:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of a-z in one call; the token that ends a word tells where the next begins."""
-        encoded = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain
+        encoded = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
         ids = np.array(encoded[0].ids, "<u4")
         raw, stops = ids.tobytes(), (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
         return [raw[a:b] for a, b in itertools.pairwise([0, *stops])]
