@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldobs.session import work_dir
 
@@ -48,6 +49,18 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def map_texts(docs: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType, rows: int = 2000) -> DataFrame:
+    """``mapInArrow`` over whole texts, at most ``rows`` of them in a batch.
+
+    Spark's 10,000 rows a batch are meant for numbers: as texts they take tens of megabytes on
+    both sides of the pipe. The limit is the session's and stays in force until the frame is run.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return docs.mapInArrow(lean(run), schema)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

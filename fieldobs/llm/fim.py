@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import lean, text_bytes
+from fieldobs.llm.common import map_texts, text_bytes
 
 #: The sentinel buffer, and where each one lies in it.
 SENTINELS = b"<P><S><M>"
@@ -158,7 +158,7 @@ def transform(docs: DataFrame, seed: int = 1, percent: int = 90, spm_percent: in
             yield _batch(rows, MADE)
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInArrow(lean(run), MADE)
+    return map_texts(read, run, MADE)
 
 
 def restore(made: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def restore(made: DataFrame) -> DataFrame:
                 rows.append((*row, table.read(), table.sha256()))
             yield _batch(rows, RESTORED)
 
-    return made.select(*names[:5], F.col("output").cast("binary"), "output_sha256").mapInArrow(lean(run), RESTORED)
+    return map_texts(made.select(*names[:5], F.col("output").cast("binary"), "output_sha256"), run, RESTORED)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldobs.llm import ppm
-from fieldobs.llm.common import lean, staged, text_bytes
+from fieldobs.llm.common import map_texts, staged, text_bytes
 
 UNKNOWN = "und"
 #: So many documents of each label are drawn whatever their length.
@@ -223,5 +223,5 @@ def identify(docs: DataFrame, tries: dict[str, ppm.Trie], sharpness: float = 8.0
                        *[F.col(c).alias(name) for c, name in zip(keep, kept)])
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), *[read.schema[name] for name in kept]])
-    told = read.mapInArrow(lean(run), schema)
+    told = map_texts(read, run, schema)
     return told.select("doc_id", "lang_pred", "score", *[F.col(name).alias(c) for c, name in zip(keep, kept)])

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import blocks_for, lean, staged, text_bytes
+from fieldobs.llm.common import blocks_for, lean, map_texts, staged, text_bytes
 from fieldobs.llm.components import components, joined
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cid", "sketch"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
-    return read.mapInArrow(lean(run), "doc_id long, text_hash long, n long, cid long, sketch array<long>")
+    return map_texts(read, run, "doc_id long, text_hash long, n long, cid long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 200_000) -> DataFrame:

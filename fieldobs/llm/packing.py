@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import lean, text_bytes
+from fieldobs.llm.common import map_texts, text_bytes
 
 PIECES = ("doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         encode.trim()  # the worker goes on to other work
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInArrow(lean(run), PIECES)
+    return map_texts(read, run, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

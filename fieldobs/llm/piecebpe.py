@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import lean, text_bytes
+from fieldobs.llm.common import map_texts, text_bytes
 
 SPACE = "▁"  # stands for a space inside pieces
 _CUT, _NEXT = b"\xff", b"\xfe"  # no byte of UTF-8
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, model_path: str, begin: bool = True, end: bool = Tru
         encoder.trim()  # the worker goes on to other work
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInArrow(lean(run), ENCODED)
+    return map_texts(read, run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -386,4 +386,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [text_of(pieces, np.frombuffer(i.as_py(), "<u4")) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(run), DECODED)
+    return map_texts(encoded.select("doc_id", "n_tokens", "ids"), run, DECODED)

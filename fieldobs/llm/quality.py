@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import lean, staged, text_bytes
+from fieldobs.llm.common import map_texts, staged, text_bytes
 from fieldobs.llm.langid import sample
 
 REPEAT = b" repeat"
@@ -223,4 +223,4 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return read.mapInArrow(lean(run), "doc_id long, score double")
+    return map_texts(read, run, "doc_id long, score double")

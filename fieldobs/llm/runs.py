@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldobs.llm.common import WORD, lean, text_bytes
+from fieldobs.llm.common import WORD, map_texts, text_bytes
 
 RUN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")]))
 _ARROW_RUN = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
@@ -237,7 +237,7 @@ def collapse(docs: DataFrame, least: int = 12) -> DataFrame:
                 [batch.column(c) for c in keep] + [pa.array(runs, _ARROW_RUN), pa.array(collapsed, pa.binary()).cast(pa.string())],
                 [*keep, "runs", "collapsed"])
 
-    return read.mapInArrow(lean(run), schema)
+    return map_texts(read, run, schema)
 
 
 def planted(docs: DataFrame) -> DataFrame:
