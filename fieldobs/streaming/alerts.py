@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fieldobs.functions import clock
 from fieldobs.operators.latest import stale_minutes
+from fieldobs.session import use_timers
 from fieldobs.streaming.live import WATERMARK, with_event_time
 
 SILENT, RETURNED = "silent", "returned"
@@ -101,8 +102,10 @@ def silence_alerts(readings: DataFrame, stations: DataFrame, by_event_time: bool
     By default the clock is that of the triggers: a station is told of when its limit has passed,
     also if nothing at all arrives. ``by_event_time`` takes the watermark (newest instant less
     ``delay``) instead, so that a replay of the same files gives the same alerts. Stations of the
-    dimension that never report are told of once. Unknown stations are ignored.
+    dimension that never report are told of once. Unknown stations are ignored. The session's
+    streams keep their state in RocksDB from then on.
     """
+    use_timers(readings.sparkSession)
     micros = clock.micros(F.col("observed_at"))
     wait = stale_minutes(F.col("source")).cast("long") * 60_000_000
     known = stations.select("station_id", wait.alias("wait"), clock.micros(F.col("created_at")).alias("added"))

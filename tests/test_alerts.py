@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fieldobs.session import work_dir
 from fieldobs.sources.store import ReadingStore
 from fieldobs.sources.tables import LANDING
@@ -54,6 +55,15 @@ def test_silences_by_event_time_over_a_restart(spark, make):
     assert now == {"never": "NEVER (never): no data in last 30 minutes"}
 
 
+def test_alerts_in_a_session_with_the_default_state_store(spark):
+    """Timers need RocksDB, which a session that others built may not have."""
+    plain, sf = spark.newSession(), "/root/testdata/sf0.001"
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    got, want = (sorted(map(str, entry.queries()["stream_alerts"](s, sf).collect())) for s in (plain, spark))
+    assert got == want != []
+
+
 def test_an_alert_fires_without_any_input(spark, make):
     """By the clock of the triggers: a station that stops is told of once, and once when it is back."""
     folder = work_dir(spark, "test-clock")
