@@ -7,7 +7,7 @@ the piece's length on. When a piece fits nowhere and all bins are open, the full
 first. What is still open at the end of the stream has been handed to nobody, so it is packed
 once more, longest piece first.
 
-A task's memory is its open bins and one batch of texts. Nothing is shuffled: the sequences
+A task's memory is its open bins, one batch of texts and of pieces, and the ids of words met. Nothing is shuffled: the sequences
 of a task hold documents of that task, at the cost of about one partly filled sequence each.
 Sequence numbers come from the partition and a counter, so a task that runs again after a
 lost executor numbers its sequences alike.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import map_texts, text_bytes
+from fieldobs.llm.common import map_texts, text_bytes, trim_heap
 
 PIECES = ("doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
@@ -113,7 +113,7 @@ class WordEncoder:
     the string of a special token goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, remember: int = 350_000, keep: int = 150_000):
+    def __init__(self, path: str, remember: int = 120_000, keep: int = 60_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,6 +183,16 @@ class WordEncoder:
         return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, c)), "<u4") for i, c in enumerate(cut)]
 
 
+def chunks(texts: list[bytes], most: int = 256, size: int = 1 << 20) -> Iterator[slice]:
+    """Ranges of at most ``most`` texts; one ends with the text that takes it to ``size`` bytes."""
+    start = held = 0
+    for at, text in enumerate(texts, 1):
+        held += len(text)
+        if at - start == most or held >= size or at == len(texts):
+            yield slice(start, at)
+            start, held = at, 0
+
+
 @functools.cache
 def _encoder(path: str) -> WordEncoder:
     """One per Python worker, which serves several tasks in turn."""
@@ -204,11 +214,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         def pieces():
             for batch in batches:
                 doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for at in range(0, len(texts), 256):
-                    for doc_id, ids in zip(doc_ids[at:at + 256], encode(texts[at:at + 256])):
+                for part in chunks(texts):
+                    for doc_id, ids in zip(doc_ids[part], encode(texts[part])):
                         ids = np.concatenate([ids, end])
                         for piece, start in enumerate(range(0, len(ids), capacity)):
                             yield doc_id, piece, start, ids[start:start + capacity]
+                    trim_heap()  # cutting a text into words frees as much as all that is kept
 
         sequence = TaskContext.get().partitionId() << 33
         rows = []
@@ -218,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 rows.append((doc_id, piece, start, len(ids), ids.tobytes(), sequence, offset))
                 offset += len(ids)
             sequence += 1
-            if len(rows) >= 2000:
+            if len(rows) >= 500:
                 yield _batch(rows)
                 rows = []
         if rows:
@@ -226,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         encode.trim()  # the worker goes on to other work
 
     read = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return map_texts(read, run, PIECES)
+    return map_texts(read, run, PIECES, rows=500)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -166,3 +166,14 @@ def test_words_alone_equal_the_whole_tokenizer():
     encoder, draw = packing.WordEncoder(PATH), random.Random(8)
     words = ["".join(draw.choice("etaoinshrdluqz") for _ in range(draw.randint(1, 18))).encode() for _ in range(3000)]
     assert encoder.worded and encoder._encode_words(words) == encoder._encode_parts(words)
+
+
+def test_a_packing_task_holds_few_words_and_texts():
+    """350,000 words were kept, and 256 texts of any length cut at once."""
+    parts = list(packing.chunks([b"x" * 700_000] * 5 + [b""] * 600))
+    assert [(p.start, p.stop) for p in parts] == [(0, 2), (2, 4), (4, 260), (260, 516), (516, 605)]
+    assert list(packing.chunks([])) == []
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for at in range(0, 260_000, 20_000):
+        encode([b" ".join(b"%d" % i for i in range(at, at + 20_000))])
+    assert len(encode.ids) <= 140_000
