@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldobs.llm import langid, linededup, mixing, neardup, packing
+from fieldobs.llm import langid, langmodel, linededup, mixing, neardup, packing
 from fieldobs.llm.common import WORD, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,20 +27,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language, which becomes their ``lang``; texts far from all of them or without a letter go.
 
     The hash of the text deals the documents in two halves. Each half is told, and its limits are
-    fitted, by the languages learned from the other one, so no text vouches for itself or its
+    fitted on all its labelled documents, by the languages learned from all of the other one, so no text vouches for itself or its
     copies; only a language that one half alone has is taken from there. A label stays unless
     another language is clearly nearer.
     """
     half = F.pmod(F.xxhash64(F.lit(5), F.coalesce("text", F.lit(""))), F.lit(2))
-    learned = [langid.fit(docs, half == i) for i in (0, 1)]
-    if not any(learned):  # nothing is labelled: any text with a letter may be in some language
+    langs, measured = langmodel.measure(docs.select(*COLUMNS), half)
+    if not langs:  # nothing is labelled: any text with a letter may be in some language
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}"))).select(*COLUMNS)
-    told = []
-    for i in (0, 1):
-        tries = learned[i] | learned[1 - i]
-        told.append(langid.identify(docs.where(half == i), tries, keep=tuple(COLUMNS[1:]),
-                                    limits=langid.limits(docs, half == i, tries), label="lang"))
-    known = told[0].unionByName(told[1]).where(F.col("lang_pred") != langid.UNKNOWN)
+    known = langmodel.tell(langs, measured, langmodel.limits(langs, measured)).where(F.col("lang_pred") != langid.UNKNOWN)
     return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
