@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldobs.llm import ppm
-from fieldobs.llm.common import blocks_for, map_texts, staged
+from fieldobs.llm.common import blocks_for, map_texts, scratch, staged
 from fieldobs.llm.langid import BELIEVED, FAMILIAR, FAR, FAR_TAIL, LEAST_KEPT, UNKNOWN
 
 UNIT = 1 << 16
@@ -133,6 +133,13 @@ def measure(docs: DataFrame, fold: Column, order: int = 4) -> tuple[list[str], D
     a bit; ``size`` is the number of bytes coded. Without any label there are no languages, and the
     rows come as they are.
     """
+    with scratch(docs.sparkSession) as keep:
+        langs, measured = _measured(docs, fold, order)
+        return langs, keep(measured, "measured") if langs else docs
+
+
+def _measured(docs: DataFrame, fold: Column, order: int) -> tuple[list[str], DataFrame]:
+    """What ``measure`` returns, over frames that are staged on the way."""
     columns = docs.columns
     blocks = _blocks(docs, fold)
     counts = _counts(blocks, order)
@@ -168,7 +175,7 @@ def measure(docs: DataFrame, fold: Column, order: int = 4) -> tuple[list[str], D
 
     schema = docs.withColumns({"fold": F.lit(0).cast("long"), "size": F.lit(0).cast("long"),
                                "bits": F.lit(None).cast("array<long>")}).schema
-    return langs, staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(add_up, schema), "measured")
+    return langs, blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(add_up, schema)
 
 
 def _quantile(counts: dict[int, int], q: float) -> float:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import WORD, word_count
+from fieldobs.llm.common import WORD, scratch, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -58,24 +58,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int =
 
     Returns doc_id, source, size, source_size, target, taken (words, repeats counted), epochs
     (whole copies), cut (words of one more, partial copy), and the columns named in ``keep``.
+
+    Totals are taken from the sizes alone and staged, so Spark knows how small they are before it
+    plans the rows, which are shuffled once, by bucket.
     """
     rows = docs.select(F.struct("doc_id", "source", *keep).alias("row"), F.col("source").alias("source"),
                        word_count("text").alias("size"), hash_key(F.col("doc_id"), seed).alias("key"),
                        F.xxhash64("text").alias("tie"))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
-    sources = targets(totals.select("source", "source_size"), weights, share, max_epochs).withColumnRenamed("source", "of")
-    counts = totals.select(F.col("source").alias("of"), F.ceil(F.col("documents") / bucket_rows).cast("long").alias("buckets"))
-    sources = sources.join(counts, sources["of"].eqNullSafe(counts["of"])).select(sources["*"], "buckets")
-
     # A key's first eight hex digits place it in [0, 1): ranges of keys are buckets.
-    ranged = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2 ** 32)).cast("long")
-    placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).withColumn("bucket", ranged)
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("in_source"), F.col("bucket").alias("in_bucket"),
-                         F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
+    rows = rows.withColumn("place", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
+
+    def placed(df: DataFrame, sources: DataFrame) -> DataFrame:
+        ranged = F.floor(F.col("place") * F.col("buckets") / F.lit(2 ** 32)).cast("long")
+        return df.join(sources, df["source"].eqNullSafe(sources["of"])).withColumn("bucket", ranged)
+
+    with scratch(docs.sparkSession) as keep_staged:
+        sizes = staged(rows.select("source", "size", "place"), "mix-sizes")
+        totals = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), "mix-totals")
+        wanted = targets(totals.select("source", "source_size"), weights, share, max_epochs).withColumnRenamed("source", "of")
+        counts = totals.select(F.col("source").alias("in_source"), F.ceil(F.col("documents") / bucket_rows).cast("long").alias("buckets"))
+        sources = keep_staged(wanted.join(counts, F.col("of").eqNullSafe(F.col("in_source"))).drop("in_source"), "mix-sources")
+        sums = placed(sizes, sources).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+        before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        starts = keep_staged(sums.select(F.col("source").alias("in_source"), F.col("bucket").alias("in_bucket"),
+                                         F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start")), "mix-starts")
+    placed_rows = placed(rows, sources)
     inside = W.partitionBy("source", "bucket").orderBy("key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    summed = placed_rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     summed = summed.join(starts, summed["source"].eqNullSafe(starts["in_source"]) & (summed["bucket"] == starts["in_bucket"]))
 
     budget = F.round("target").cast("long")

@@ -37,10 +37,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldobs.llm.common import blocks_for, lean, map_texts, staged, text_bytes
+from fieldobs.llm.common import blocks_for, lean, map_texts, scratch, staged, text_bytes
 from fieldobs.llm.components import components, joined
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Columns that tell rows apart: id, whether it is null, text.
+_ROW = ["__neardup_id", "__neardup_no_id", "__neardup_h1", "__neardup_h2"]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -78,6 +80,11 @@ class Shingler:
         return out
 
 
+def _text_hash() -> tuple[Column, Column]:
+    """128 bits that stand for a text; a null text has its own."""
+    return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")
+
+
 def _key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
@@ -95,8 +102,8 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                     pa.array([_key(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cid", "sketch"])
 
-    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
-    return map_texts(read, run, "doc_id long, text_hash long, n long, cid long, sketch array<long>")
+    read = docs.select(F.col("doc_id").cast("long"), F.struct(*_text_hash()).alias("text_hash"), text_bytes().alias("text"))
+    return map_texts(read, run, "doc_id long, text_hash struct<h1: long, h2: long>, n long, cid long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, small: int = 200_000) -> DataFrame:
@@ -258,7 +265,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     names it, and that document is the one that is kept. A last column, text_hash, tells rows
     of one id apart.
     """
-    similarity = Similarity(percent, k)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, words, Similarity(percent, k), k, short), "near-duplicates")
+
+
+def _components(docs: DataFrame, words: int, similarity: Similarity, k: int, short: int) -> DataFrame:
+    """What ``near_duplicates`` returns, over frames that are staged on the way."""
     sets = staged(sketches(docs, words, k), "near-sketches")
     reps = staged(sets.where("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
@@ -274,8 +286,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept; of rows that repeat an id and text, one."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that are kept; of rows that repeat an id and text, one.
+
+    Repeats meet by the keys of the join, which are never null, so the texts are shuffled once.
+    """
+    def keyed(df: DataFrame, *text_hash: Column) -> DataFrame:
+        doc_id = F.col("doc_id").cast("long")
+        return df.withColumns(dict(zip(_ROW, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), *text_hash))))
+
+    kept = near_duplicates(docs, words, percent).where("kept")
+    kept = keyed(kept, F.col("text_hash.h1"), F.col("text_hash.h2")).select(*_ROW).distinct()
+    return keyed(docs, *_text_hash()).dropDuplicates(_ROW).join(kept, _ROW, "left_semi").select(*docs.columns)
